@@ -17,9 +17,9 @@ def exact_delta(later: Column, earlier: Column) -> Column:
 
 def percent_change(later: Column, earlier: Column) -> Column:
     """Change in percent of |earlier|, two decimals; NULL when earlier is zero."""
-    delta = later.cast(EXACT) - earlier.cast(EXACT)
-    share = F.try_divide(delta * F.lit(100).cast("decimal(3,0)"), F.abs(earlier.cast(EXACT)))
-    return F.round(share, scope.PERCENT_DECIMALS).cast("double")
+    delta = exact_delta(later, earlier)
+    share = F.try_divide(delta, F.abs(earlier)) * F.lit(100.0)
+    return F.round(share, scope.PERCENT_DECIMALS)
 
 
 def within(got: Column, want: Column, relative: Column | float, absolute: Column | float = 0.0) -> Column:

@@ -124,7 +124,7 @@ def select_frozen(questions: DataFrame, per_stratum: int = 3) -> DataFrame:
 def grade(answer: Column, expected_value: Column, expected_text: Column, relative: Column, absolute: Column) -> Column:
     """True when the answer matches; an unparseable number is simply wrong."""
     as_text = F.upper(F.btrim(answer)) == F.upper(expected_text)
-    number = F.try_cast(F.btrim(answer), "double") if hasattr(F, "try_cast") else F.btrim(answer).try_cast("double")
+    number = F.btrim(answer).try_cast("double")
     as_number = within(number, expected_value, relative, absolute) & ~F.isnan(number)
     return F.coalesce(F.when(expected_text.isNotNull(), as_text).otherwise(as_number), F.lit(False))
 
