@@ -15,6 +15,7 @@ from factloom.functions.filings import mapped
 from factloom.functions.text import strip
 from factloom.operators.gates import violations
 from factloom.operators.scan import Scan, block_scan, line_block, per_key_top
+from factloom.session import cut_lineage
 
 
 def _part(text: Column) -> Column:
@@ -152,7 +153,10 @@ def heading_rows(lines: DataFrame, keys: list[str]) -> DataFrame:
 def section_rows(headings: DataFrame, documents: DataFrame, keys: list[str]) -> DataFrame:
     """Sections from heading rows; `documents` gives (keys, form, n_lines).
 
-    Runs of equal items are islands: the end of a section is the first line of the next island."""
+    Runs of equal items are islands: the end of a section is the first line of the next island.
+    Headings are a few rows per document and every scan reads its input twice, so their lineage is
+    cut once here instead of reading the lines again for each scan."""
+    headings = cut_lineage(headings)
     with_previous = block_scan(
         headings, keys, ["line_no"], line_block("line_no"), previous=Scan("last_before", F.col("item"))
     )
