@@ -31,12 +31,10 @@ def _unit(rows) -> np.ndarray:
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best scores, ties broken by the smaller id."""
     rounded = np.round(scores, 9)
+    keep = np.arange(len(ids))
     if len(ids) > k:
-        floor = np.partition(rounded, -k)[-k]
-        keep = np.flatnonzero(rounded >= floor)
-    else:
-        keep = np.arange(len(ids))
-    return keep[np.lexsort((ids[keep], -rounded[keep]))][:k]
+        keep = np.flatnonzero(rounded >= np.partition(rounded, -k)[-k])
+    return np.array(sorted(keep, key=lambda i: (-rounded[i], ids[i]))[:k], dtype=int)
 
 
 def _scored(ids, matrix, query_ids, queries, k, id_col) -> pd.DataFrame:
