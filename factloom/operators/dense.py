@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom import scope
-from factloom.operators.lexical import metadata_filter, top_hits
+from factloom.operators.lexical import _scope_columns, metadata_filter, top_hits
 
 # Bound for sending the query matrix to every executor; larger query sets take the grid.
 MAX_BROADCAST_VALUES = 4_000_000
@@ -37,13 +37,24 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.array(sorted(keep, key=lambda i: (-rounded[i], ids[i]))[:k], dtype=int)
 
 
-def _scored(ids, matrix, query_ids, queries, k, id_col) -> pd.DataFrame:
-    similarity = matrix @ queries.T
-    parts = [
-        pd.DataFrame({"query_id": q, id_col: ids[pick], "score": similarity[pick, j]})
-        for j, q in enumerate(query_ids)
-        for pick in [_best(ids, similarity[:, j], k)]
-    ]
+def _allowed(vectors: pd.DataFrame, question, scoped: dict[str, str]) -> np.ndarray:
+    """Row positions inside a query's own metadata scope; an empty list allows everything."""
+    keep = np.ones(len(vectors), dtype=bool)
+    for document, wanted in scoped.items():
+        values = getattr(question, wanted)
+        if values is not None and len(values):
+            keep &= vectors[document].isin(list(values)).to_numpy()
+    return np.flatnonzero(keep)
+
+
+def _scored(vectors: pd.DataFrame, queries: pd.DataFrame, units: np.ndarray, k: int, id_col: str, scoped: dict[str, str]) -> pd.DataFrame:
+    ids = vectors[id_col].to_numpy()
+    similarity = _unit(vectors["embedding"]) @ units.T
+    parts = []
+    for j, question in enumerate(queries.itertuples(index=False)):
+        rows = _allowed(vectors, question, scoped)
+        pick = rows[_best(ids[rows], similarity[rows, j], k)]
+        parts.append(pd.DataFrame({"query_id": question.query_id, id_col: ids[pick], "score": similarity[pick, j]}))
     return pd.concat(parts, ignore_index=True)
 
 
@@ -61,29 +72,31 @@ def dense_search(corpus: DataFrame, queries: DataFrame, top_k: int = scope.DEFAU
 
     Rows without a vector are left out. Query sets within the bound travel as one broadcast
     matrix; beyond it the work is laid out as a grid of query blocks and vector slices."""
-    vectors = metadata_filter(corpus, **filters).filter("embedding is not null").select(id_col, "embedding")
-    asked = queries.filter("vector is not null").select("query_id", "vector")
+    scoped = _scope_columns(corpus, queries)
+    vectors = metadata_filter(corpus, **filters).filter("embedding is not null").select(id_col, *scoped, "embedding")
+    asked = queries.filter("vector is not null").select("query_id", *scoped.values(), "vector")
+    output = _output(vectors, asked, id_col)
     head = asked.select(F.size("vector").alias("n")).first()
     if head is None:
-        return top_hits(vectors.sparkSession.createDataFrame([], _output(vectors, asked, id_col)), top_k, id_col)
+        return top_hits(vectors.sparkSession.createDataFrame([], output), top_k, id_col)
     bound = max(1, MAX_BROADCAST_VALUES // head.n)
     found = asked.limit(bound + 1).toPandas()
     if len(found) > bound:
-        return dense_grid(vectors, asked, top_k, id_col)
-    shared = vectors.sparkSession.sparkContext.broadcast((found["query_id"].to_numpy(), _unit(found["vector"])))
+        return dense_grid(vectors, asked, top_k, id_col, scoped)
+    shared = vectors.sparkSession.sparkContext.broadcast((found.drop(columns="vector"), _unit(found["vector"])))
 
     def score(batches):
         # candidates so far are merged with each batch, so a task holds one batch plus k per query
-        query_ids, matrix = shared.value
+        questions, units = shared.value
         held = None
         for batch in batches:
             if len(batch):
-                new = _scored(batch[id_col].to_numpy(), _unit(batch["embedding"]), query_ids, matrix, top_k, id_col)
+                new = _scored(batch, questions, units, top_k, id_col, scoped)
                 held = new if held is None else _trim(pd.concat([held, new]), top_k, id_col)
         if held is not None:
             yield held
 
-    return top_hits(vectors.mapInPandas(score, _output(vectors, asked, id_col)), top_k, id_col)
+    return top_hits(vectors.mapInPandas(score, output), top_k, id_col)
 
 
 def _trim(candidates: pd.DataFrame, k: int, id_col: str) -> pd.DataFrame:
@@ -91,7 +104,7 @@ def _trim(candidates: pd.DataFrame, k: int, id_col: str) -> pd.DataFrame:
     return keyed.groupby("query_id", sort=False).head(k).drop(columns="_s")
 
 
-def dense_grid(vectors: DataFrame, queries: DataFrame, top_k: int, id_col: str) -> DataFrame:
+def dense_grid(vectors: DataFrame, queries: DataFrame, top_k: int, id_col: str, scoped: dict[str, str] | None = None) -> DataFrame:
     """Exact search for query sets of any size: every (query block, vector slice) cell is one
     bounded group, and each cell returns k rows per query."""
     blocks = max(1, math.ceil(queries.count() / GRID_QUERIES))
@@ -106,7 +119,7 @@ def dense_grid(vectors: DataFrame, queries: DataFrame, top_k: int, id_col: str)
     def cell(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if v.empty or q.empty:
             return pd.DataFrame({"query_id": q["query_id"][:0], id_col: v[id_col][:0], "score": np.zeros(0)})
-        return _scored(v[id_col].to_numpy(), _unit(v["embedding"]), q["query_id"].to_numpy(), _unit(q["vector"]), top_k, id_col)
+        return _scored(v, q, _unit(q["vector"]), top_k, id_col, scoped or {})
 
     scored = (
         left.groupBy("_b", "_s")

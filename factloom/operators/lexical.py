@@ -45,11 +45,33 @@ def top_hits(scores: DataFrame, top_k: int, id_col: str) -> DataFrame:
     return ranked.select("query_id", "rank", id_col, "score")
 
 
+# Document column -> query column with the allowed values (an empty array allows everything).
+REQUEST_SCOPE = {"ticker": "tickers", "fiscal_year": "fiscal_years"}
+
+
+def _scope_columns(docs: DataFrame, queries: DataFrame) -> dict[str, str]:
+    """Per-query filters apply where both sides carry the columns."""
+    return {d: q for d, q in REQUEST_SCOPE.items() if d in docs.columns and q in queries.columns}
+
+
+def _in_scope(scoped: dict[str, str]) -> Column:
+    ok = F.lit(True)
+    for document, allowed in scoped.items():
+        ok = ok & ((F.size(allowed) <= 0) | F.array_contains(F.col(allowed), F.col(document)))
+    return ok
+
+
+def _scoped_terms(queries: DataFrame, analyser: str, scoped: dict[str, str]) -> DataFrame:
+    terms = F.explode(F.array_distinct(ANALYSERS[analyser](F.col("query")))).alias("term")
+    return queries.select("query_id", *[F.coalesce(F.col(q), F.array()).alias(q) for q in scoped.values()], terms)
+
+
 def cover_density(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str = "id", analyser: str = "plain") -> DataFrame:
     """Rank by 0.1 for every matching position. Matches are counted inside each task first, so
     only one row per (query, document) pair with a match reaches the shuffle."""
-    tokens = docs.select(id_col, F.explode(ANALYSERS[analyser](F.col("text"))).alias("term"))
-    matched = tokens.join(query_terms(queries, analyser), "term")
+    scoped = _scope_columns(docs, queries)
+    tokens = docs.select(id_col, *scoped, F.explode(ANALYSERS[analyser](F.col("text"))).alias("term"))
+    matched = tokens.join(_scoped_terms(queries, analyser, scoped), "term").filter(_in_scope(scoped))
     scores = matched.groupBy("query_id", id_col).agg(
         (F.count(F.lit(1)) * F.lit(scope.COVER_WEIGHT)).alias("score")
     )
@@ -57,14 +79,16 @@ def cover_density(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str =
 
 
 def postings(docs: DataFrame, id_col: str = "id", analyser: str = "plain", terms: DataFrame | None = None) -> DataFrame:
-    """(id, term, tf, length). With `terms`, only postings of those terms are built."""
-    analysed = docs.select(id_col, ANALYSERS[analyser](F.col("text")).alias("tokens"))
+    """(id, term, length, tf, plus ticker and fiscal year where the documents have them). With
+    `terms`, only postings of those terms are built."""
+    carried = [c for c in REQUEST_SCOPE if c in docs.columns]
+    analysed = docs.select(id_col, *carried, ANALYSERS[analyser](F.col("text")).alias("tokens"))
     tokens = analysed.select(
-        id_col, F.size("tokens").alias("length"), F.explode("tokens").alias("term")
+        id_col, *carried, F.size("tokens").alias("length"), F.explode("tokens").alias("term")
     )
     if terms is not None:
         tokens = tokens.join(terms.select("term").distinct(), "term", "left_semi")
-    return tokens.groupBy(id_col, "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+    return tokens.groupBy(id_col, *carried, "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, analyser: str = "plain") -> DataFrame:
@@ -87,15 +111,17 @@ def bm25_scores(index: DataFrame, terms: DataFrame, stats: DataFrame, id_col: st
         F.col("idf") * tf * (BM25_K1 + 1)
         / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / avg_length))
     )
+    scoped = _scope_columns(index, terms)
     return (
         index.join(weighted, "term")
+        .filter(_in_scope(scoped))
         .groupBy("query_id", id_col)
         .agg(F.sum(part).alias("score"))
     )
 
 
 def bm25(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str = "id", analyser: str = "plain") -> DataFrame:
-    terms = query_terms(queries, analyser)
+    terms = _scoped_terms(queries, analyser, _scope_columns(docs, queries))
     index = postings(docs, id_col, analyser, terms)
     return top_hits(bm25_scores(index, terms, corpus_stats(docs, analyser), id_col), top_k, id_col)
 

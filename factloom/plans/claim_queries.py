@@ -215,3 +215,40 @@ def token_bucket_shedding(spark, folder):
     """One request per half day on average, bursts of three."""
     decided = token_bucket(table(spark, folder, "events"), "user_id", "ts", "event_id", BUCKET_RATE, BUCKET_BURST)
     return decided.select("user_id", "event_id", F.col("allowed").cast("int").alias("allowed"), F.round("tokens_left", 6).alias("tokens_left"))
+
+
+# --- questions answered end to end ---------------------------------------------------------------------
+
+def filing_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of documents with filing metadata: the source gives the filer, the key the year."""
+    from factloom.plans.document_queries import chunked
+
+    docs = table(spark, folder, "documents").select(
+        "doc_id", F.get(F.array(*[F.lit(t) for t in scope.TICKERS]), F.substring("source", 4, 3).cast("int") % len(scope.TICKERS)).alias("ticker"),
+        (F.col("doc_id") % 2 + 1996).cast("int").alias("fiscal_year"),
+    )
+    return chunked(spark, folder).join(docs, "doc_id").select(
+        "chunk_id", F.col("doc_id").cast("string").alias("accession_no"), "ticker", "fiscal_year", "item_section", "text"
+    )
+
+
+@query(
+    "answer_memos",
+    f"""WITH {FACT_CTES}, asked AS (SELECT n_nationkey, {_ticker_sql('n_nationkey')} AS ticker, 1996 + n_nationkey % 2 AS fy, CASE WHEN n_nationkey % 3 = 0 THEN 'net income' WHEN n_nationkey % 3 = 1 THEN 'total assets' ELSE 'head count' END AS label,
+            CASE WHEN n_nationkey % 3 = 0 THEN 'NetIncomeLoss' WHEN n_nationkey % 3 = 1 THEN 'Assets' END AS concept FROM nation),
+    found AS (SELECT a.*, f.value, f.unit FROM asked a LEFT JOIN anchored f ON f.ticker = a.ticker AND f.concept = a.concept AND f.fiscal_year = a.fy)
+    SELECT n_nationkey AS request_id, CASE WHEN value IS NULL THEN 'Within what filings did ' || ticker || ' report ' || label || ' for fiscal year ' || fy || '? The and of.'
+            ELSE ticker || ' ' || label || ' for fiscal year ' || fy || ' was ' || format('{{:,.2f}}', value) || ' ' || unit END AS answer_summary,
+        0 AS replans, CAST(value IS NOT NULL AS INTEGER) AS n_numeric, 0 AS n_unverified, 1.0::DOUBLE AS verified_fraction FROM found""",
+)
+def answer_memos(spark, folder):
+    """A question per nation about a figure of its filer, through the whole loop."""
+    from factloom.plans.answering import answer
+
+    label = F.element_at(F.array(F.lit("net income"), F.lit("total assets"), F.lit("head count")), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    asked = table(spark, folder, "nation").select(
+        F.col("n_nationkey").alias("request_id"),
+        F.format_string("Within what filings did %s report %s for fiscal year %d? The and of.", _ticker("n_nationkey"), label, F.col("n_nationkey") % 2 + 1996).alias("question"),
+    )
+    memos = answer(asked, filing_chunks(spark, folder), anchored(spark, folder), years=(1996, 1997))
+    return memos.select("request_id", "answer_summary", "replans", "n_numeric", "n_unverified", "verified_fraction")

@@ -52,8 +52,10 @@ def load_stream(rows: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
 
 
 def shed_stream(requests: DataFrame, key: str, ts: str, rate: float = scope.ASK_RATE, capacity: float = scope.ASK_BURST) -> DataFrame:
-    """Token bucket per caller over a stream. The state is two numbers per caller; rows of a
-    caller within a micro-batch are decided in time order, batch piece by batch piece."""
+    """Token bucket per caller over a stream. The state is two numbers per caller.
+
+    A caller's rows of one micro-batch are decided together in time order, so bound the
+    micro-batch at the source (for files: `maxFilesPerTrigger`)."""
     output = T.StructType([requests.schema[key]]).add("at_us", T.LongType()).add("allowed", T.BooleanType())
     state_type = T.StructType().add("tokens", T.DoubleType()).add("last_us", T.LongType())
 
