@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 import operator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,7 @@ def calculate(expression: str | None) -> tuple[float | None, str | None]:
         return None, str(problem) or type(problem).__name__
 
 
-@F.pandas_udf(_RESULT)
-def evaluate(expression: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame(list(map(calculate, expression)), columns=["value", "error"])
+@F.arrow_udf(_RESULT)
+def evaluate(expression: pa.Array) -> pa.Array:
+    values, errors = zip(*[calculate(text) for text in expression.to_pylist()]) if len(expression) else ((), ())
+    return pa.StructArray.from_arrays([pa.array(values, pa.float64()), pa.array(errors, pa.string())], names=["value", "error"])

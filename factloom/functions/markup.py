@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,9 +69,9 @@ def visible_text(page: str | None) -> str | None:
     return "".join(reader.pieces)
 
 
-@F.pandas_udf(T.StringType())
-def raw_text(html: pd.Series) -> pd.Series:
-    return html.map(visible_text)
+@F.arrow_udf(T.StringType())
+def raw_text(html: pa.Array) -> pa.Array:
+    return pa.array([visible_text(page.as_py()) for page in html], pa.string())
 
 
 def html_to_text(html: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -120,16 +120,14 @@ def stem(word: str) -> str:
     return word.replace("Y", "y")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_all(tokens: pd.Series) -> pd.Series:
-    column = pa.array(tokens, type=pa.list_(pa.string()), from_pandas=True)
-    encoded = column.flatten().dictionary_encode()
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stem_all(tokens: pa.Array) -> pa.Array:
+    """Stems of token lists; every distinct token of the batch is stemmed once."""
+    encoded = tokens.flatten().dictionary_encode()
     stems = pa.array([stem(word) for word in encoded.dictionary.to_pylist()], pa.string())
-    flat = stems.take(encoded.indices) if len(encoded) else pa.array([], pa.string())
-    ends = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).cumsum()
-    values = flat.to_pylist()
-    starts = [0, *ends[:-1]] if len(ends) else []
-    return pd.Series([values[a:b] for a, b in zip(starts, ends)], dtype=object)
+    sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, stems.take(encoded.indices))
 
 
 def lexemes(text: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,9 +52,10 @@ def hash_encode(batch: pa.Array, dimension: int) -> np.ndarray:
 def hashing_encoder(dimension: int):
     """Encoder: token-list column in, ARRAY<DOUBLE> of the given dimension out."""
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def encode(tokens: pd.Series) -> pd.Series:
-        batch = pa.array(tokens, type=pa.list_(pa.string()), from_pandas=True)
-        return pd.Series(list(hash_encode(batch, dimension)), dtype=object)
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def encode(tokens: pa.Array) -> pa.Array:
+        vectors = hash_encode(tokens, dimension)
+        offsets = np.arange(0, vectors.size + 1, dimension, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel()))
 
     return encode

@@ -7,7 +7,7 @@ go to the Arrow function; the text stays in the JVM, where chunk texts are slice
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,19 +36,21 @@ def packed_ranges(lengths: np.ndarray, tabular: np.ndarray, start: int, end: int
     return list(zip(cuts[:-1], cuts[1:]))
 
 
-@F.pandas_udf(T.ArrayType(_RANGE))
-def pack(lengths: pd.Series, tabular: pd.Series, spans: pd.Series) -> pd.Series:
-    out = []
+@F.arrow_udf(T.ArrayType(_RANGE))
+def pack(lengths: pa.Array, tabular: pa.Array, spans: pa.Array) -> pa.Array:
+    names, starts, ends, offsets = [], [], [], [0]
     for size, rows, tiles in zip(lengths, tabular, spans):
-        size, rows = np.asarray(size, dtype=np.int64), np.asarray(rows, dtype=bool)
-        out.append(
-            [
-                {"name": t["name"], "start_line": a, "end_line": b}
-                for t in tiles
-                for a, b in packed_ranges(size, rows, t["start_line"], t["end_line"])
-            ]
-        )
-    return pd.Series(out, dtype=object)
+        size, rows = (x.values.to_numpy(zero_copy_only=False) for x in (size, rows))
+        for tile in tiles.as_py():
+            for first, last in packed_ranges(size.astype(np.int64), rows.astype(bool), tile["start_line"], tile["end_line"]):
+                names.append(tile["name"])
+                starts.append(first)
+                ends.append(last)
+        offsets.append(len(names))
+    ranges = pa.StructArray.from_arrays(
+        [pa.array(names, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["name", "start_line", "end_line"]
+    )
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ranges)
 
 
 def chunk_rows(documents: DataFrame, keys: list[str], lines: str = "lines", spans: str = "spans") -> DataFrame:

@@ -21,10 +21,15 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
 
 
+def _run_hash(words: Column, start: Column, size: int) -> Column:
+    """Hash of `size` words from the 1-based position `start`."""
+    return F.xxhash64(*[F.get(words, start - 1 + k) for k in range(size)])
+
+
 def _word_runs(text: Column, size: int) -> Column:
     def runs(words: Column) -> Column:
         starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1))
-        return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, size), "\t")))
+        return F.transform(starts, lambda i: _run_hash(words, i, size))
 
     return F.get(F.transform(F.array(_words(text)), runs), 0)
 
@@ -49,7 +54,7 @@ def passages_in(docs: DataFrame, passages: DataFrame, doc_id: str, passage_id: s
         return docs.select(doc_id, F.explode(F.array_distinct(runs)).alias("run")).join(keys, "run").select(passage_id, doc_id)
 
     def words(size: int, members: DataFrame) -> DataFrame:
-        anchor = F.xxhash64(F.array_join(F.slice("inner", 1, size), "\t"))
+        anchor = _run_hash(F.col("inner"), F.lit(1), size)
         return anchored(members, anchor, _word_runs(F.col("text"), size))
 
     def chars(size: int, members: DataFrame) -> DataFrame:

@@ -10,9 +10,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from factloom import scope
 from factloom.operators.lexical import _scope_columns, metadata_filter, top_hits
@@ -23,7 +25,7 @@ GRID_QUERIES, GRID_VECTORS = 2_000, 20_000
 
 
 def _unit(rows) -> np.ndarray:
-    matrix = np.array([np.asarray(r, dtype=np.float64) for r in rows])
+    matrix = np.asarray(rows) if isinstance(rows, np.ndarray) and rows.ndim == 2 else np.array([np.asarray(r, dtype=np.float64) for r in rows])
     length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
@@ -47,15 +49,23 @@ def _allowed(vectors: pd.DataFrame, question, scoped: dict[str, str]) -> np.ndar
     return np.flatnonzero(keep)
 
 
-def _scored(vectors: pd.DataFrame, queries: pd.DataFrame, units: np.ndarray, k: int, id_col: str, scoped: dict[str, str]) -> pd.DataFrame:
+def _scored(vectors: pd.DataFrame, units: np.ndarray, questions: pd.DataFrame, query_units: np.ndarray, k: int, id_col: str, scoped: dict[str, str]) -> pd.DataFrame:
     ids = vectors[id_col].to_numpy()
-    similarity = _unit(vectors["embedding"]) @ units.T
+    similarity = units @ query_units.T
     parts = []
-    for j, question in enumerate(queries.itertuples(index=False)):
-        rows = _allowed(vectors, question, scoped)
-        pick = rows[_best(ids[rows], similarity[rows, j], k)]
-        parts.append(pd.DataFrame({"query_id": question.query_id, id_col: ids[pick], "score": similarity[pick, j]}))
-    return pd.concat(parts, ignore_index=True)
+    for j, question in enumerate(questions.itertuples(index=False)):
+        rows = _allowed(vectors, question, scoped) if scoped else None
+        own, scores = (ids, similarity[:, j]) if rows is None else (ids[rows], similarity[rows, j])
+        pick = _best(own, scores, k)
+        parts.append((np.full(len(pick), j), own[pick], scores[pick]))
+    which, found, scores = (np.concatenate(x) for x in zip(*parts))
+    return pd.DataFrame({"query_id": questions["query_id"].to_numpy()[which], id_col: found, "score": scores})
+
+
+def _batch_units(column: pa.Array) -> np.ndarray:
+    """Unit vectors of an Arrow list column; lists of one length need no per-row conversion."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _unit(flat.reshape(len(column), -1))
 
 
 def _output(corpus: DataFrame, queries: DataFrame, id_col: str) -> T.StructType:
@@ -90,13 +100,15 @@ def dense_search(corpus: DataFrame, queries: DataFrame, top_k: int = scope.DEFAU
         questions, units = shared.value
         held = None
         for batch in batches:
-            if len(batch):
-                new = _scored(batch, questions, units, top_k, id_col, scoped)
+            if batch.num_rows:
+                vectors = batch.drop_columns(["embedding"]).to_pandas()
+                new = _scored(vectors, _batch_units(batch.column("embedding")), questions, units, top_k, id_col, scoped)
                 held = new if held is None else _trim(pd.concat([held, new]), top_k, id_col)
         if held is not None:
-            yield held
+            yield pa.RecordBatch.from_pandas(held, schema=arrow, preserve_index=False)
 
-    return top_hits(vectors.mapInPandas(score, output), top_k, id_col)
+    arrow = to_arrow_schema(output)
+    return top_hits(vectors.mapInArrow(score, output), top_k, id_col)
 
 
 def _trim(candidates: pd.DataFrame, k: int, id_col: str) -> pd.DataFrame:
@@ -119,7 +131,7 @@ def dense_grid(vectors: DataFrame, queries: DataFrame, top_k: int, id_col: str,
     def cell(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if v.empty or q.empty:
             return pd.DataFrame({"query_id": q["query_id"][:0], id_col: v[id_col][:0], "score": np.zeros(0)})
-        return _scored(v, q, _unit(q["vector"]), top_k, id_col, scoped or {})
+        return _scored(v, _unit(v["embedding"]), q, _unit(q["vector"]), top_k, id_col, scoped or {})
 
     scored = (
         left.groupBy("_b", "_s")

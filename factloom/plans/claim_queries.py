@@ -11,7 +11,7 @@ from factloom.operators import claims as cl
 from factloom.operators import facts as fa
 from factloom.operators.lexical import lexical_search
 from factloom.operators.rate_limit import token_bucket
-from factloom.plans.catalog import query, table
+from factloom.plans.catalog import query, table, texts
 from factloom.plans.facts_queries import FACT_CTES, _ticker, _ticker_sql, anchored, facts
 from factloom.plans.retrieval_queries import arm_sql, passages
 
@@ -39,7 +39,7 @@ def plan_scope_clamp(spark, folder):
 
 def passage_hits(spark: SparkSession, folder: str, top_k: int = scope.ANSWER_TOP_K) -> DataFrame:
     """Top documents per benchmark passage, with their text."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = texts(spark, folder, "documents", "doc_id", "text")
     hits = lexical_search(docs, passages(spark, folder), top_k, id_col="doc_id", scorer="bm25")
     return docs.join(hits, "doc_id").withColumnRenamed("query_id", "request_id")
 

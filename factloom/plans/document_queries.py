@@ -17,7 +17,7 @@ from factloom.operators import sections as sc
 from factloom.operators.gates import violations
 from factloom.operators.lexical import ANALYSERS
 from factloom.operators.scan import Scan, block_scan, time_block
-from factloom.plans.catalog import query, table
+from factloom.plans.catalog import query, table, texts
 from factloom.plans.index_queries import WS_SQL
 
 NL = "chr(10)"
@@ -43,20 +43,20 @@ def normalise_sql(value: str) -> str:
 
 # Pages hold no tables and only four entities, so plain replacements describe them fully.
 PAGE_SQL = (
-    "replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->|<script>.*?</script>|<style>.*?</style>', '', 'gs'), "
-    f"'</?(p|div|br|h[1-6]|li|table|tbody)(\\s[^>]*)?>', {NL}, 'gi'), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->|<script>.*?</script>|<style>.*?</style>', '', 'gs'), "
+    f"'</?(p|div|br|h[1-6]|li|table|tbody)(\\s[^>]*)?>', {NL}, 'gi'), '<[^>]*>', '', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
 )
 
 
 @query("html_extract", f"SELECT page_id, text, md5(text) AS text_hash FROM (SELECT page_id, {normalise_sql(PAGE_SQL)} AS text FROM pages)")
 def html_extract(spark, folder):
-    pages = table(spark, folder, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
+    pages = texts(spark, folder, "pages", "page_id", "html").select("page_id", html_to_text(F.col("html")).alias("text"))
     return pages.withColumn("text_hash", F.md5("text"))
 
 
 @query("normalise_text", f"SELECT doc_id, md5({normalise_sql('text')}) AS text_hash FROM documents")
 def normalise_text(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.md5(tx.normalise(F.col("text"))).alias("text_hash"))
+    return texts(spark, folder, "documents", "doc_id", "text").select("doc_id", F.md5(tx.normalise(F.col("text"))).alias("text_hash"))
 
 
 @query(
@@ -80,7 +80,7 @@ def tidy_row(spark, folder):
 )
 def extraction_ratio(spark, folder):
     ratio = F.length("text") / F.greatest(F.length("html"), F.lit(1))
-    pages = table(spark, folder, "pages").select("page_id", "html", html_to_text(F.col("html")).alias("text"))
+    pages = texts(spark, folder, "pages", "page_id", "html").select("page_id", "html", html_to_text(F.col("html")).alias("text"))
     return pages.select("page_id", F.round(ratio, 6).alias("ratio"), (ratio < 0.8).cast("int").alias("implausible"))
 
 
@@ -222,7 +222,7 @@ chunks AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start_
 
 
 def chunked(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    docs = texts(spark, folder, "documents", "doc_id", "text").select("doc_id", F.split("text", "\n").alias("lines"))
     rows = ck.chunk_rows(docs.withColumn("spans", ck.whole_span(F.col("lines"))), ["doc_id"])
     return rows.withColumn("chunk_id", ck.chunk_id(F.col("doc_id"), F.col("chunk_index")))
 
@@ -255,7 +255,7 @@ def chunk_validity(spark, folder):
         "text", F.when(kind == 2, F.lit("lost")).when(kind == 4, F.repeat("text", F.lit(4))).otherwise(F.col("text"))
     )
     repeated = edited.unionByName(good.filter((kind == 3) & (F.col("start_line") == 0)))
-    lines = table(spark, folder, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    lines = texts(spark, folder, "documents", "doc_id", "text").select("doc_id", F.split("text", "\n").alias("lines"))
     return ck.validity_gate(repeated, lines, "doc_id")
 
 
@@ -267,7 +267,7 @@ def chunk_validity(spark, folder):
     FROM (SELECT doc_id, regexp_extract_all(lower(text), '\\p{L}+') AS t FROM documents)""",
 )
 def tokenize_terms(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", ANALYSERS["plain"](F.col("text")).alias("t"))
+    docs = texts(spark, folder, "documents", "doc_id", "text").select("doc_id", ANALYSERS["plain"](F.col("text")).alias("t"))
     return docs.select(
         "doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_terms"), F.md5(tx.or_query(F.col("t"))).alias("query_hash")
     )
@@ -275,5 +275,5 @@ def tokenize_terms(spark, folder):
 
 @query("tokenize_terms_stemmed")
 def tokenize_terms_stemmed(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", ANALYSERS["english"](F.col("text")).alias("t"))
+    docs = texts(spark, folder, "documents", "doc_id", "text").select("doc_id", ANALYSERS["english"](F.col("text")).alias("t"))
     return docs.select("doc_id", F.size("t").alias("n_tokens"), tx.or_query(F.col("t")).alias("or_query"))

@@ -15,7 +15,7 @@ from factloom.operators.fusion import hybrid_search, reciprocal_rank_fusion, rer
 from factloom.operators.lexical import lexical_search
 from factloom.operators.scan import per_key_top
 from factloom.plans import retrieval_eval
-from factloom.plans.catalog import query, table
+from factloom.plans.catalog import query, table, texts
 from factloom.plans.document_queries import CHUNK_SQL, chunked
 
 DIMENSION = 256
@@ -183,7 +183,7 @@ EMBED_SQL = f"""toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '
     f"WITH {EMBED_SQL} SELECT doc_id, CAST(b AS INTEGER) AS pos, round(w / n, 6) AS value FROM w JOIN n USING (doc_id) WHERE w <> 0",
 )
 def hash_embed(spark, folder):
-    docs = em.embed(table(spark, folder, "documents").select("doc_id", "text"), ENCODER)
+    docs = em.embed(texts(spark, folder, "documents", "doc_id", "text"), ENCODER)
     return docs.select("doc_id", F.posexplode("embedding").alias("pos", "value")).filter("value <> 0").withColumn("value", F.round("value", 6))
 
 
@@ -194,7 +194,7 @@ def hash_embed(spark, folder):
 )
 def embed_pending(spark, folder):
     """English documents hold a stored vector already; only the others are encoded."""
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    docs = texts(spark, folder, "documents", "doc_id", "text", "lang")
     stored = docs.select("doc_id", F.when(F.col("lang") == "en", F.array(F.lit(1.0))).alias("embedding"))
     done = em.embed_pending(docs, stored, ENCODER, "doc_id")
     return done.select(
@@ -221,7 +221,7 @@ RELEVANT_SQL = "relevant AS (SELECT item_id AS query_id, CAST(doc_id AS VARCHAR)
 def relevant(spark, folder) -> DataFrame:
     """Documents that contain the passage verbatim, as (query_id, accession_no, item_section)."""
     found = passages_in(
-        table(spark, folder, "documents").select("doc_id", "text"),
+        texts(spark, folder, "documents", "doc_id", "text"),
         passages(spark, folder).withColumnRenamed("query", "passage"), "doc_id", "query_id",
     )
     return found.select("query_id", F.col("doc_id").cast("string").alias("accession_no"), F.lit(scope.UNSECTIONED).alias("item_section"))

@@ -1,0 +1,14 @@
+"""Input layout."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a small input stored in few splits.
+
+    A table that already comes in at least as many splits as there are cores, as any large one
+    does, is returned unchanged: its rows are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
