@@ -78,52 +78,52 @@ def cover_density(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str =
     return top_hits(scores, top_k, id_col)
 
 
+DOCUMENT_MARK = ""
+
+
 def postings(docs: DataFrame, id_col: str = "id", analyser: str = "plain", terms: DataFrame | None = None) -> DataFrame:
-    """(id, term, length, tf, plus ticker and fiscal year where the documents have them). With
-    `terms`, only postings of those terms are built."""
+    """(id, term, length, tf, plus ticker and fiscal year where the documents have them).
+
+    With `terms`, only postings of those terms are built. Every document also gets one posting of
+    the empty term, so corpus size and mean length can be read from the same table."""
     carried = [c for c in REQUEST_SCOPE if c in docs.columns]
     analysed = docs.select(id_col, *carried, ANALYSERS[analyser](F.col("text")).alias("tokens"))
     tokens = analysed.select(
-        id_col, *carried, F.size("tokens").alias("length"), F.explode("tokens").alias("term")
-    )
+        id_col, *carried, F.size("tokens").alias("length"),
+        F.explode(F.concat("tokens", F.array(F.lit(DOCUMENT_MARK)))).alias("term"),
+    ).filter("term is not null")
     if terms is not None:
-        tokens = tokens.join(terms.select("term").distinct(), "term", "left_semi")
+        mark = docs.sparkSession.range(1).select(F.lit(DOCUMENT_MARK).alias("term"))
+        tokens = tokens.join(terms.select("term").unionByName(mark).distinct(), "term", "left_semi")
     return tokens.groupBy(id_col, *carried, "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(docs: DataFrame, analyser: str = "plain") -> DataFrame:
-    """One row: n_docs, avg_length."""
-    return docs.select(F.size(ANALYSERS[analyser](F.col("text"))).alias("length")).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length")
-    )
-
+def bm25_weights(index: DataFrame, id_col: str = "id") -> DataFrame:
+    """The postings with their BM25 weight, which does not depend on the query.
 
-def bm25_scores(index: DataFrame, terms: DataFrame, stats: DataFrame, id_col: str = "id") -> DataFrame:
-    """(query_id, id, score) from postings; idf comes from the postings of the query terms."""
-    n_docs, avg_length = stats.select("n_docs").scalar(), stats.select("avg_length").scalar()
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.select(
-        "term", F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
+    Document frequency and corpus statistics are read from the postings themselves. They touch
+    `tf` and avoid filters, so that all three readers share one shuffle of the postings."""
+    present, mark = F.col("tf") > 0, F.col("term") == DOCUMENT_MARK
+    stats = index.agg(
+        F.count_if(present & mark).alias("n_docs"), F.avg(F.when(present & mark, F.col("length"))).alias("avg_length")
     )
-    weighted = terms.join(idf, "term")
+    n_docs, avg_length = stats.select("n_docs").scalar(), stats.select("avg_length").scalar()
+    df = index.groupBy("term").agg(F.count_if(present).alias("df"))
+    idf = df.select("term", F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     tf, length = F.col("tf").cast("double"), F.col("length").cast("double")
-    part = (
-        F.col("idf") * tf * (BM25_K1 + 1)
-        / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / avg_length))
-    )
-    scoped = _scope_columns(index, terms)
-    return (
-        index.join(weighted, "term")
-        .filter(_in_scope(scoped))
-        .groupBy("query_id", id_col)
-        .agg(F.sum(part).alias("score"))
-    )
+    weight = F.col("idf") * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / avg_length))
+    carried = [c for c in REQUEST_SCOPE if c in index.columns]
+    return index.join(idf, "term").select(id_col, *carried, "term", weight.alias("weight"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str = "id", analyser: str = "plain") -> DataFrame:
-    terms = _scoped_terms(queries, analyser, _scope_columns(docs, queries))
-    index = postings(docs, id_col, analyser, terms)
-    return top_hits(bm25_scores(index, terms, corpus_stats(docs, analyser), id_col), top_k, id_col)
+    scoped = _scope_columns(docs, queries)
+    terms = _scoped_terms(queries, analyser, scoped)
+    weights = bm25_weights(postings(docs, id_col, analyser, terms), id_col)
+    scores = (
+        weights.join(terms, "term").filter(_in_scope(scoped)).groupBy("query_id", id_col).agg(F.sum("weight").alias("score"))
+    )
+    return top_hits(scores, top_k, id_col)
 
 
 SCORERS = {"cover_density": cover_density, "bm25": bm25}
