@@ -89,11 +89,11 @@ def chunk_filings(filings: DataFrame) -> DataFrame:
     """Chunks of extracted filings (accession_no, form, text and metadata): sections are found,
     tiled and packed row by row, with no shuffle at all."""
     meta = ["accession_no", "ticker", "cik", "form_type", "fiscal_year", "fiscal_period", "filing_date"]
-    prepared = (
-        filings.withColumn("lines", F.split("text", "\n"))
-        .withColumn("sections", sections_in(F.col("lines"), F.col("form_type")))
-        .withColumn("spans", tile_spans(F.col("sections"), F.size("lines")))
-    )
+    lined = filings.withColumn("lines", F.split("text", "\n"))
+    spans = tile_spans(sections_in(F.col("lines"), F.col("form_type")), F.size("lines"))
+    # Exploding the one-element array keeps the nested expression out of the Arrow call's
+    # arguments, where Spark would not be able to plan it.
+    prepared = lined.select("*", F.explode(F.array(spans)).alias("spans"))
     rows = chunk_rows(prepared, meta)
     return rows.select(
         chunk_id(F.col("accession_no"), F.col("chunk_index")).alias("chunk_id"),
