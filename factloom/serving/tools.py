@@ -20,26 +20,12 @@ from factloom.operators.fusion import retrieve
 
 MAX_TOP_K = 50
 
-# --- fixed values: what the tools say about themselves ---
 DESCRIPTIONS = {
-    "search_filings": (
-        "Search SEC 10-K/10-Q text for a company. Returns filing excerpts with the accession number, fiscal year "
-        "and item section needed to cite them. Use the company's name as it appears in filings ('Apple'), not its ticker."
-    ),
-    "lookup_financial_fact": (
-        "Look up an audited figure from SEC XBRL data — the authoritative source. Prefer this over any number found in "
-        "filing text. Accepts plain labels such as 'revenue', 'net income' or 'total assets'; the correct XBRL concept "
-        "for that specific company is resolved automatically."
-    ),
-    "calculate": (
-        "Evaluate an arithmetic expression. Use this for any computation rather than doing arithmetic mentally, so the "
-        "result is reproducible."
-    ),
+    "search_filings": "Passages of annual and quarterly reports for a query, each with what is needed to cite it. Name companies as their filings do.",
+    "lookup_financial_fact": "A reported figure for a filer, a plain label or concept, and a fiscal year. Reported figures outrank numbers found in text.",
+    "calculate": "The value of an arithmetic expression, so that no figure is worked out by hand.",
 }
-DISCLAIMER = (
-    "Research and citation tool over public SEC filings. Not investment advice. Figures are verified against SEC XBRL "
-    "data where available; unverified figures are flagged in confidence_notes."
-)
+DISCLAIMER = "Research aid over public filings, not investment advice. Figures that could not be verified are named in confidence_notes."
 
 
 @dataclass
@@ -89,7 +75,7 @@ def corpus_scope() -> dict:
         "tickers": list(scope.COMPANY_NAMES),
         "fiscal_years": list(scope.FISCAL_YEARS),
         "forms": list(scope.PERIODIC_FORMS),
-        "note": "Research and citation tool over public SEC filings. Not investment advice. Numeric answers are verified against SEC XBRL data.",
+        "note": DISCLAIMER,
     }
 
 
