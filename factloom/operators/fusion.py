@@ -13,6 +13,7 @@ from factloom.operators.dense import dense_search
 from factloom.operators.gates import union_all
 from factloom.operators.lexical import lexical_search, top_hits
 from factloom.operators.scan import per_key_top
+from factloom.session import cut_lineage
 
 
 def reciprocal_rank_fusion(rankings: list[DataFrame], top_k: int = scope.DEFAULT_TOP_K, k: int = scope.RRF_K, id_col: str = "id") -> DataFrame:
@@ -50,7 +51,9 @@ def rerank(shortlist: DataFrame, docs: DataFrame, queries: DataFrame, top_k: int
            scorer: Callable[[Column, Column], Column] = overlap_score) -> DataFrame:
     """Score (query, text) pairs of the shortlist only; ties keep the earlier rank.
 
-    The shortlist is the small side: the semi-join on its ids reaches the document scan first."""
+    The shortlist is small and read twice, so it is cut from the search that made it; the
+    semi-join on its ids then meets the document scan first."""
+    shortlist = cut_lineage(shortlist)
     texts = docs.join(shortlist.select(id_col).distinct(), id_col, "left_semi").select(id_col, "text")
     pairs = shortlist.join(texts, id_col).join(queries.select("query_id", "query"), "query_id")
     scored = pairs.withColumn("score", F.round(scorer(F.col("query"), F.col("text")), 9)).withColumnRenamed("rank", "rank_in")

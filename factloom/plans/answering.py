@@ -101,7 +101,8 @@ def build_claims(drafts: DataFrame, hits: DataFrame, anchors: DataFrame, years)
 def _round(requests: DataFrame, chunks: DataFrame, anchors: DataFrame, planner: Planner, drafter: Drafter, search, years, top_k: int) -> DataFrame:
     plans = cl.clamp_plan(planner(requests), tickers=tuple(scope.COMPANY_NAMES), years=years)
     found = search(chunks, search_scope(plans), top_k)
-    hits = chunks.join(found, "chunk_id").withColumnRenamed("query_id", "request_id")
+    # A few hits per request, read by the drafter, the citation join and the count.
+    hits = cut_lineage(chunks.join(found, "chunk_id").withColumnRenamed("query_id", "request_id"))
     facts = fa.lookup(fa.enumerate_lookups(plans, years), anchors)
     claims = build_claims(drafter(plans, hits, facts), hits, anchors, years)
     # A request drafts at most one claim per looked-up fact, so its claims stay a short list.

@@ -3,25 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from factloom import scope
 from factloom.operators import metrics
 from factloom.operators.dense import dense_search
-from factloom.operators.fusion import hybrid_search, overlap_score, rerank
+from factloom.operators.fusion import overlap_score, reciprocal_rank_fusion, rerank
 from factloom.operators.gates import union_all
 from factloom.operators.lexical import lexical_search
+from factloom.session import cut_lineage
 
 
 def arms(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = scope.EVAL_K, *, id_col: str = "chunk_id",
          analyser: str = "plain", scorer: str = "cover_density", reranker=overlap_score) -> dict[str, DataFrame]:
-    """Hits per arm. No metadata filter on any arm; the reranker sees five times k fused hits."""
-    options = {"id_col": id_col, "analyser": analyser, "scorer": scorer}
-    shortlist = hybrid_search(chunks, vectors, queries, k * scope.CANDIDATE_MULTIPLIER, **options)
+    """Hits per arm. No metadata filter on any arm; the reranker sees five times k fused hits.
+
+    Both retrievers run once, at the greatest depth any arm needs. Their ranked lists are small
+    and totally ordered, so every arm is a prefix or a fusion of prefixes of the same two lists."""
+    wide = k * scope.CANDIDATE_MULTIPLIER
+    deep = wide * scope.CANDIDATE_MULTIPLIER
+    lexical = cut_lineage(lexical_search(chunks, queries, deep, id_col=id_col, scorer=scorer, analyser=analyser))
+    dense = cut_lineage(dense_search(vectors, queries, deep, id_col=id_col))
+
+    def best(hits: DataFrame, n: int) -> DataFrame:
+        return hits.filter(F.col("rank") <= n)
+
+    def fused(n: int) -> DataFrame:
+        depth = n * scope.CANDIDATE_MULTIPLIER
+        return reciprocal_rank_fusion([best(lexical, depth), best(dense, depth)], n, id_col=id_col)
+
     return {
-        "lexical": lexical_search(chunks, queries, k, **options),
-        "dense": dense_search(vectors, queries, k, id_col=id_col),
-        "hybrid": hybrid_search(chunks, vectors, queries, k, **options),
-        "hybrid + rerank": rerank(shortlist, chunks, queries, k, id_col=id_col, scorer=reranker),
+        "lexical": best(lexical, k),
+        "dense": best(dense, k),
+        "hybrid": fused(k),
+        "hybrid + rerank": rerank(fused(wide), chunks, queries, k, id_col=id_col, scorer=reranker),
     }
 
 

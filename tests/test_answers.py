@@ -263,3 +263,20 @@ def test_shed_stream(spark, tmp_path):
     query.awaitTermination(120)
     got = [r.allowed for r in spark.table("shed").orderBy("at_us").collect()]
     assert got == bucket_by_hand([t for _, _, t in rows], 1.0, 2.0) == [True, True, False, False, True]
+
+
+def test_models_plug_in(spark, chunks, anchors):
+    from factloom.plans.models import model_drafter, model_planner
+
+    def planner(prompts):
+        assert all("Allowed tickers: NVDA (NVIDIA)" in p for p in prompts)
+        return [{"tickers": ["nvda", "TSLA"], "fiscal_years": [2025, 1999], "concepts": ["revenue"], "search_query": "NVIDIA revenue"} for _ in prompts]
+
+    def drafter(prompts):
+        assert all("<filing_excerpt index=\"0\"" in p and "130,497.00 USD" in p for p in prompts)
+        good = {"text": "Revenue was 130,497", "source_index": 0, "quote": "revenue grew to $130.5 billion", "value": 130497.0, "unit": "USD", "period": "FY2025", "concept": "revenue"}
+        return [[good, {**good, "source_index": 7}, {**good, "unit": None}] for _ in prompts]
+
+    ask = spark.createDataFrame([(1, "How much did it sell?")], "request_id int, question string")
+    memo = answer(ask, chunks, anchors, planner=model_planner(planner), drafter=model_drafter(drafter)).first()
+    assert len(memo.claims) == 1 and memo.claims[0].verification.verified and memo.notes == ["2 draft claim(s) dropped as uncitable"]

@@ -212,3 +212,16 @@ def test_embed_pending(spark):
     assert sorted(r.id for r in part.collect()) == [0, 1, 2, 3, 4]
     full = em.embed_pending(docs, stored, encoder).collect()
     assert sorted(r.id for r in full) == list(range(6)) and [len(r.embedding) for r in sorted(full, key=lambda r: r.id)] == [1, 1, 8, 8, 8, 8]
+
+
+def test_vector_index(spark, vectors, tmp_path):
+    from factloom.operators.vector_index import search_vector_index, write_vector_index
+
+    corpus = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id bigint, embedding array<float>")
+    queries = spark.createDataFrame([(i, [float(x) for x in vectors[i]]) for i in range(3)], "query_id int, vector array<double>")
+    write_vector_index(corpus, str(tmp_path / "ix"), 6)
+    assert rows(search_vector_index(spark, str(tmp_path / "ix"), queries, 5, probes=6)) == brute(vectors, vectors[:3], 5)
+    near = search_vector_index(spark, str(tmp_path / "ix"), queries, 1, probes=1)
+    assert sorted(r.id for r in near.collect()) == [0, 1, 2]
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan
