@@ -35,7 +35,8 @@ def embed_pending(docs: DataFrame, vectors: DataFrame, encoder: Encoder, id_col:
     ids first; the next run continues where this one stopped."""
     todo = pending(docs, vectors, id_col)
     if limit is not None:
-        todo = todo.orderBy(id_col).limit(limit)
+        # only ids are ordered and cut; the texts are picked up by a semi-join
+        todo = todo.join(todo.select(id_col).orderBy(id_col).limit(limit), id_col, "left_semi")
     fresh = embed(todo, encoder).select(id_col, "embedding")
     kept = vectors.filter("embedding is not null").select(id_col, "embedding")
     return kept.unionByName(fresh)

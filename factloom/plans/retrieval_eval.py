@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom import scope
+from factloom.functions.filings import mapped
 from factloom.operators import metrics
 from factloom.operators.dense import dense_search
 from factloom.operators.fusion import overlap_score, reciprocal_rank_fusion, rerank
 from factloom.operators.gates import union_all
 from factloom.operators.lexical import lexical_search
+from factloom.operators.questions import case_query, round_robin
+from factloom.operators.sections import sections_in
 from factloom.session import cut_lineage
 
 
@@ -49,3 +52,28 @@ def evaluate(hits_by_arm: dict[str, DataFrame], labels: DataFrame, relevant: Dat
             for name, hits in hits_by_arm.items()
         ]
     )
+
+
+def build_cases(filings: DataFrame, target: int = scope.TARGET_CASES) -> DataFrame:
+    """Labelled cases from extracted filings (accession_no, ticker, form_type, fiscal_year, text):
+    one per annual report and substantive section, drawn evenly over the filers.
+
+    Queries use the company's name and wording of their own, so that no retriever is favoured by
+    words copied from the section it should find. Sections known to be stubs are left out."""
+    lines = F.split("text", "\n")
+    found = filings.filter("form_type = '10-K'").select(
+        "ticker", "fiscal_year", "accession_no", F.inline(sections_in(lines, F.col("form_type")))
+    )
+    stubs = [f"{t}/{s}" for t, names in scope.STUB_ALLOWLIST.items() for s in names]
+    candidates = found.filter(
+        (F.col("end_line") - F.col("start_line") >= scope.MIN_SECTION_LINES) & ~F.concat_ws("/", "ticker", "name").isin(*stubs)
+    ).select("ticker", F.col("name").alias("section"), "fiscal_year", "accession_no")
+    drawn = round_robin(candidates, "ticker", "section", ["fiscal_year", "accession_no"], target=target)
+    name = F.coalesce(mapped(scope.COMPANY_NAMES, F.col("ticker")), F.col("ticker"))
+    return drawn.select(
+        F.format_string("r-%03d-%s-%s-%d", "case_no", "ticker", "section", "fiscal_year").alias("query_id"),
+        case_query(F.col("section"), name, F.col("fiscal_year"), F.col("case_no")).alias("query"),
+        F.array(F.struct("accession_no", F.col("section").alias("item_section"))).alias("relevant"),
+        F.array("ticker").alias("tickers"),
+        F.array("fiscal_year").alias("fiscal_years"),
+    )

@@ -291,3 +291,18 @@ def test_corpus_build(spark, tmp_path):
         corpus.build_chunks(manifest, thin)
     with pytest.raises(GateError, match="thin section"):
         corpus.build_chunks(manifest, pages.withColumn("html", F.lit("<p>Item 7. Discussion here</p><p>See page 9.</p>")), gates=("sections",))
+
+
+def test_retrieval_cases(spark):
+    from factloom.plans.retrieval_eval import build_cases
+
+    titles = {"1": "Business", "1A": "Risk Factors", "7": "Discussion", "7A": "Market Risk", "8": "Statements"}
+    text = "\n".join(line for i, t in titles.items() for line in (f"Item {i}. {t}", *["Body."] * 14))
+    rows = [(f"{t}-{y}", t, "10-K", y, text) for t in ("AAPL", "COST", "JPM") for y in (2024, 2025)] + [("q", "AAPL", "10-Q", 2024, text)]
+    filings = spark.createDataFrame(rows, "accession_no string, ticker string, form_type string, fiscal_year int, text string")
+    cases = build_cases(filings, 6).orderBy("query_id").collect()
+    assert [c.query_id for c in cases[:3]] == ["r-001-AAPL-RISK_FACTORS-2024", "r-002-COST-MDA-2024", "r-003-JPM-BUSINESS-2024"]
+    assert cases[0].query == "What are the principal risks Apple disclosed for fiscal 2024?"
+    assert cases[2].query == "What products and operations does JPMorgan Chase describe for fiscal 2024?" and cases[2].relevant[0].accession_no == "JPM-2024"
+    full = build_cases(filings, 50).collect()
+    assert len(full) == 10 + 10 + 4 and not any("JPM-MDA" in c.query_id for c in full)
