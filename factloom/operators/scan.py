@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_BLOCK, _CARRY = "__block", "__carry_"
+_PLACE, _BLOCK, _CARRY = "__place", "__block", "__carry_"
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,7 @@ def _summary(scan: Scan, order: Column) -> Column:
 
 
 def _carry(scan: Scan, name: str, keys: list[str]) -> Column:
-    along = Window.partitionBy(*keys).orderBy(_BLOCK)
+    along = Window.partitionBy(*[f"{_PLACE}.{k}" for k in keys]).orderBy(f"{_PLACE}.{_BLOCK}")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     after = along.rowsBetween(1, Window.unboundedFollowing)
     return {
@@ -78,21 +78,18 @@ def _merge(scan: Scan, name: str) -> Column:
 def block_scan(
     df: DataFrame, keys: list[str], order: list[str], block: Column, **scans: Scan
 ) -> DataFrame:
-    """Add one column per scan. `block` must not decrease along `order` within a key."""
-    tagged = df.withColumn(_BLOCK, block)
-    window = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
+    """Add one column per scan. `block` must not decrease along `order` within a key.
+
+    Key and block travel as one struct: it is never NULL itself, so rows with a NULL key are
+    scanned as a group of their own instead of being lost in the join."""
+    tagged = df.withColumn(_PLACE, F.struct(*keys, block.alias(_BLOCK)))
+    window = Window.partitionBy(_PLACE).orderBy(*order)
     local = tagged.select("*", *[_local(s, window).alias(n) for n, s in scans.items()])
-    place = F.struct(*order)
-    per_block = tagged.groupBy(*keys, _BLOCK).agg(
-        *[_summary(s, place).alias(n) for n, s in scans.items()]
-    )
-    carried = per_block.select(
-        *keys, _BLOCK, *[_carry(s, n, keys).alias(_CARRY + n) for n, s in scans.items()]
-    )
-    joined = local.join(carried, [*keys, _BLOCK])
-    return joined.select(
-        *df.columns, *[_merge(s, n).alias(n) for n, s in scans.items()]
-    )
+    row = F.struct(*order)
+    per_block = tagged.groupBy(_PLACE).agg(*[_summary(s, row).alias(n) for n, s in scans.items()])
+    carried = per_block.select(_PLACE, *[_carry(s, n, keys).alias(_CARRY + n) for n, s in scans.items()])
+    joined = local.join(carried, _PLACE)
+    return joined.select(*df.columns, *[_merge(s, n).alias(n) for n, s in scans.items()])
 
 
 def time_block(ts: str, seconds: int = 3600) -> Column:
