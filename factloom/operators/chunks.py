@@ -18,6 +18,7 @@ from factloom.functions.text import is_table_row, strip
 from factloom.operators.gates import union_all, violations
 from factloom.operators.scan import Scan, block_scan, line_block
 from factloom.operators.sections import sections_in, tile_spans
+from factloom.session import cut_lineage
 
 _RANGE = T.StructType().add("name", T.StringType()).add("start_line", T.IntegerType()).add("end_line", T.IntegerType())
 
@@ -118,12 +119,12 @@ def with_size(chunks: DataFrame) -> DataFrame:
 
 def validity_gate(chunks: DataFrame, lines: DataFrame, key: str) -> DataFrame:
     """Overlap, oversize, lost table rows, duplicate ids. `lines` is (key, lines array)."""
+    # Everything but the table-row check needs only ids, line numbers and sizes.
+    slim = cut_lineage(chunks.select("chunk_id", key, "start_line", "end_line", F.length("text").alias("n_chars")))
     late = block_scan(
-        chunks, [key], ["start_line", "chunk_id"], line_block("start_line"), reached=Scan("max_before", F.col("end_line"))
+        slim, [key], ["start_line", "chunk_id"], line_block("start_line"), reached=Scan("max_before", F.col("end_line"))
     ).filter("start_line < reached")
-    oversize = chunks.filter(
-        (F.col("end_line") - F.col("start_line") > 1) & (F.length("text") > scope.MAX_CHARS)
-    )
+    oversize = slim.filter((F.col("end_line") - F.col("start_line") > 1) & (F.col("n_chars") > scope.MAX_CHARS))
     # Table rows of each chunk's own line range, cut from the document row before any shuffle.
     rows = lines.select(
         key, F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))), lambda x: is_table_row(x["line"])).alias("rows")
@@ -138,12 +139,12 @@ def validity_gate(chunks: DataFrame, lines: DataFrame, key: str) -> DataFrame:
             )
         )
     )
-    copies = chunks.groupBy("chunk_id").count().filter("count > 1")
+    copies = slim.groupBy("chunk_id").count().filter("count > 1")
     ident = F.col("chunk_id")
     return union_all(
         [
             violations(late, "overlaps previous chunk", ident, F.col("start_line")),
-            violations(oversize, "oversize", ident, F.length("text")),
+            violations(oversize, "oversize", ident, F.col("n_chars")),
             violations(lost, "table row lost", ident, F.lit("")),
             violations(copies, "duplicate chunk id", ident, F.col("count")),
         ]

@@ -45,13 +45,13 @@ def arms(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = sco
 
 def evaluate(hits_by_arm: dict[str, DataFrame], labels: DataFrame, relevant: DataFrame, queries: DataFrame, k: int = scope.EVAL_K,
              id_col: str = "chunk_id") -> DataFrame:
-    """config, n_cases, recall_at_k, mrr, k. labels: (chunk_id, accession_no, item_section)."""
-    return union_all(
-        [
-            metrics.summary(metrics.case_scores(hits.join(labels, id_col), relevant, queries, k), name, k)
-            for name, hits in hits_by_arm.items()
-        ]
-    )
+    """config, n_cases, recall_at_k, mrr, k. labels: (chunk_id, accession_no, item_section).
+
+    All arms are scored in one pass over labels and relevance."""
+    hits = union_all([h.select(F.lit(name).alias("config"), "query_id", "rank", id_col) for name, h in hits_by_arm.items()])
+    cases = queries.select("query_id", F.explode(F.array(*[F.lit(name) for name in hits_by_arm])).alias("config"))
+    scores = metrics.case_scores(hits.join(labels, id_col), relevant, cases, k, by=("config", "query_id"))
+    return metrics.summary(scores, k=k)
 
 
 def build_cases(filings: DataFrame, target: int = scope.TARGET_CASES) -> DataFrame:
