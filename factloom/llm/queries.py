@@ -45,3 +45,12 @@ from factloom.llm import suffix_dedup  # noqa: E402
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(table(spark, folder, "documents", "doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+from factloom.llm import ngram_join  # noqa: E402
+
+
+@query("op2_ngram_jaccard_join")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    joined = ngram_join.join(table(spark, folder, "documents", "doc_id", "text"), ngram_join.Rule(words=4, num=85, den=100))
+    return joined.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")

@@ -34,7 +34,7 @@ CHUNK_BYTES = 32 << 20
 FEW = 64
 MANY = 256
 POSITION_BITS = 24
-COVERED, RUN, SORTED, SHARED = 0, 1, 2, 3
+COVERED, RUN, COMMON, SORTED, SHARED = 0, 1, 2, 3, 4
 ROW = "_row"
 DEALT = "deal long, kind byte, digit long, doc long, row long, span long"
 WINDOWS = "deal long, doc long, row long, start long, offset long, bytes binary"
@@ -151,7 +151,7 @@ def enter(depth: int, gram: int):
         kind[head[sizes > FEW]] = SHARED
         direct = many & (kind == SORTED)
         if direct.any():
-            yield passed(RUN, digit[direct], doc[direct], row[direct], span[direct])
+            yield passed(COMMON, digit[direct], doc[direct], row[direct], span[direct])
         yield record(DEALT_NAMES, digit[~direct], kind[~direct], run[~direct], doc[~direct], row[~direct], span[~direct])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,13 +207,15 @@ def second_digit(depth: int):
                 continue
             later = same_as_before(deal, digit)
             group = np.cumsum(~same_as_before(deal)) - 1
-            runs = np.bincount(group, ~later) + np.bincount(group, kind == SHARED)
+            shared = np.bincount(group, kind == SHARED)
+            runs = np.bincount(group, ~later) + shared
+            onward = np.where((shared > 0) | (runs > MANY), COMMON, RUN).astype(np.int8)
             start, count, _ = unpack(span[later])
             if later.any():
                 yield record(["kind", "digit", "doc", "row", "span"], np.full(later.sum(), COVERED, np.int8), start + count + depth - 1, doc[later], row[later], start)
             others = ~later & (runs[group] > 1)
             if others.any():
-                yield record(["kind", "digit", "doc", "row", "span"], np.full(others.sum(), RUN, np.int8), deal[others], doc[others], row[others], span[others])
+                yield record(["kind", "digit", "doc", "row", "span"], onward[group[others]], deal[others], doc[others], row[others], span[others])
 
     return run
 
@@ -311,9 +313,7 @@ def repeated_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     entered = texts.mapInArrow(enter(depth, gram), DEALT)
     sorted_runs = entered.repartition(n, "deal").sortWithinPartitions("deal", "digit", "doc", "row", "span")
     verdicts = stored(sorted_runs.mapInArrow(second_digit(depth), "kind byte, digit long, doc long, row long, span long"), "suffix-runs")
-    runs = verdicts.where(F.col("kind") == RUN)
-    common = runs.groupBy("digit").count().where(F.col("count") > MANY).select("digit", F.lit(True).alias("common"))
-    runs = runs.join(common, "digit", "left").withColumn("common", F.coalesce("common", F.lit(False)))
+    runs = verdicts.where(F.col("kind").isin(RUN, COMMON)).withColumn("common", F.col("kind") == COMMON)
     each = runs.groupBy(F.col("row").alias(ROW)).agg(F.collect_list(F.struct("digit", "span", "doc", "common")).alias("runs"))
     dealt = rows.repartition(n, ROW)
     contents = dealt.select(ROW, F.col(text_col).cast("string").alias("text")).join(each, ROW).mapInArrow(read_runs(depth), WINDOWS)
