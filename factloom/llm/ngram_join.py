@@ -2,7 +2,7 @@
 
 A text's set is that of its distinct word n-grams (64-bit hashes). Two texts link when their Jaccard similarity is at least ``num / den``.
 
-1. Texts with equal sets form classes; one node stands for each.
+1. Of texts with equal sets in a chunk one is a node; the others belong to it.
 2. A node's tokens are hashed into K groups, K larger than the number of tokens in which two linked sets of this size can differ: so at least one
    non-empty group is equal in both. Each group's content is a key. (K goes by size level; a node whose partners may fall into the next
    level has keys there too. Where too many groups are empty for the argument, the empty ones are keys as well.)
@@ -37,7 +37,9 @@ ROW = "_row"
 COORDINATES = 64
 LEAF = 32
 LEVEL_RATIO = 1.5
-FEATURES = "row long, doc long, n long, s1 long, s2 long, keys array<long>, counts array<int>"
+CHUNK_BYTES = 32 << 20
+KEYS, MEMBER, INFO = 0, 1, 2
+NO_ID = -(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -119,35 +121,131 @@ def group_keys(token: np.ndarray, text: np.ndarray, size: np.ndarray, level: np.
     return keys.view(np.int64), owner
 
 
-def features(rule: Rule):
+def planes(x: np.ndarray) -> bytes:
+    """The eight byte planes of 64-bit values one after another: planes of zeros cost nothing once the exchange compresses."""
+    return np.ascontiguousarray(x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def enter(rule: Rule, n_parts: int):
+    """Keys of the nodes, combined within chunks and packed by target partition; and one record for each text.
+
+    Of equal sets in a chunk the first is the node. Of equal keys in a chunk the first is dealt by key; the others are known to share it and
+    pass through."""
+    tops = np.array(rule.levels[0])
+    names = ["deal", "kind", "x", "y", "z", "w"]
+
+    def packed(deal: int, kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+        data = [planes(c.view(np.uint64)) for c in columns] + [b""] * (4 - len(columns))
+        return pa.RecordBatch.from_arrays([pa.array([deal], pa.int32()), pa.array([kind], pa.int8()), *(pa.array([d], pa.binary()) for d in data)], names=names)
+
+    def combined(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        row, doc, size, s1, s2 = (np.concatenate([f[i] for f in found]) for i in range(5))
+        order = np.lexsort((row, s2, s1, size))
+        same = np.zeros(len(row), bool)
+        same[1:] = (size[order][1:] == size[order][:-1]) & (s1[order][1:] == s1[order][:-1]) & (s2[order][1:] == s2[order][:-1])
+        node = np.empty(len(row), np.int64)
+        node[order] = row[order][~same][np.cumsum(~same) - 1]
+        for at in range(0, len(row), 1 << 13):
+            part = slice(at, at + (1 << 13))
+            yield packed(int(row[at] % n_parts), INFO, row[part], doc[part], size[part], node[part])
+        keys, owner = np.concatenate([f[5] for f in found]), np.concatenate([f[6] for f in found])
+        heads = np.sort(row[order][~same])
+        mine = heads[np.minimum(np.searchsorted(heads, owner), len(heads) - 1)] == owner
+        keys, owner = keys[mine].view(np.uint64), owner[mine]
+        deal = (keys >> np.uint64(32)) % np.uint64(n_parts)
+        order = np.lexsort((owner, keys, deal))
+        keys, owner, deal = keys[order], owner[order], deal[order]
+        head = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+        at = np.flatnonzero(head)
+        run = np.diff(np.append(at, len(keys)))
+        first = np.repeat(owner[at], run)
+        others = np.flatnonzero(~head)
+        for x in range(0, len(others), 1 << 16):
+            part = others[x : x + (1 << 16)]
+            yield packed(int(owner[part[0]] % n_parts), MEMBER, keys[part].view(np.int64), owner[part], first[part])
+        keys, owner, deal, shared = keys[at], owner[at], deal[at], run > 1
+        cut = np.flatnonzero(np.append(True, deal[1:] != deal[:-1]))[: len(keys)]
+        for i, j in zip(cut.tolist(), np.append(cut[1:], len(keys)).tolist()):
+            base = owner[i:j].min()
+            yield packed(
+                int(deal[i]), KEYS, np.diff(keys[i:j], prepend=np.uint64(0)), ((owner[i:j] - base) << 1) | shared[i:j], np.array([base]),
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops = np.array(rule.levels[0])
+        found, read = [], 0
         for batch in batches:
             raw, offs = as_bytes(batch.column("text"))
+            docs, rows = batch.column("doc").to_numpy(), batch.column(ROW).to_numpy()
             for a, b, part, at in slices(raw, offs):
                 token, text = token_sets(part, at, rule.words)
-                n = b - a
-                size = np.bincount(text, minlength=n)
-                row = batch.column(ROW)[a:b]
-                sums = np.zeros((2, n), np.uint64)
+                size = np.bincount(text, minlength=b - a)
+                sums = np.zeros((2, b - a), np.uint64)
                 head = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else np.zeros(0, np.int64)
                 for i, seed in enumerate((0x1234567, 0x89ABCDEF)):
                     if len(head):
                         sums[i, text[head]] = np.add.reduceat(mix(token + np.uint64(seed)), head)
-                sums[0, size == 0] = row.to_numpy()[size == 0]
+                sums[0, size == 0] = rows[a:b][size == 0]
                 low = np.searchsorted(tops, size)
                 high = np.searchsorted(tops, size * rule.den // rule.num)
-                found = [group_keys(token, text, size, x, rule) for x in (low, np.where(high > low, high, -1))]
-                keys, owner = (np.concatenate(x) for x in zip(*found))
-                order = np.argsort(owner, kind="stable")
-                bounds = np.searchsorted(owner[order], np.arange(n + 1)).astype(np.int32)
+                keyed = [group_keys(token, text, size, x, rule) for x in (low, np.where(high > low, high, -1))]
+                keys, owner = (np.concatenate(x) for x in zip(*keyed))
+                found.append((rows[a:b], docs[a:b], size, *sums, keys, rows[a + owner]))
+                read += len(part)
+                if read >= CHUNK_BYTES:
+                    yield from combined(found)
+                    found, read = [], 0
+        if found:
+            yield from combined(found)
+
+    return run
+
+
+def share_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of the keys that more than one node has, each with the key's smallest node; records of texts pass through."""
+    names = ["kind", "x", "y", "z", "w"]
+
+    def out(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+        columns = [*columns, *[np.zeros(len(columns[0]), np.int64)] * (4 - len(columns))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int8)), *(pa.array(c.view(np.int64)) for c in columns)], names=names)
+
+    found = []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["kind"] != KEYS:
+                yield out(r["kind"], *(from_planes(r[c]) for c in "xyzw" if r[c]))
+                continue
+            node = from_planes(r["y"])
+            found.append((np.cumsum(from_planes(r["x"])), (node >> np.uint64(1)).view(np.int64) + from_planes(r["z"]).view(np.int64)[0], (node & np.uint64(1)).astype(bool)))
+    if not found:
+        return
+    keys, node, shared = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((node, keys))
+    keys, node, shared = keys[order], node[order], shared[order]
+    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    run = np.diff(np.append(head, len(keys)))
+    several = np.repeat((run > 1) | np.logical_or.reduceat(shared, head), run)
+    first = np.repeat(node[head], run)
+    yield out(MEMBER, keys[several], node[several], first[several])
+
+
+def points(words: int):
+    """Set size and group counts of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = as_bytes(batch.column("text"))
+            for a, b, part, at in slices(raw, offs):
+                token, text = token_sets(part, at, words)
                 slot = (mix(token + np.uint64(77)) % np.uint64(COORDINATES)).astype(np.int64)
-                counts = np.bincount(text * COORDINATES + slot, minlength=n * COORDINATES).astype(np.int32)
+                counts = np.bincount(text * COORDINATES + slot, minlength=(b - a) * COORDINATES).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    row, batch.column("doc")[a:b], pa.array(size.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys[order])),
-                    pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * COORDINATES).astype(np.int32)), pa.array(counts)),
-                ], names=["row", "doc", "n", "s1", "s2", "keys", "counts"])
+                    batch.column("node")[a:b], pa.array(np.bincount(text, minlength=b - a)),
+                    pa.ListArray.from_arrays(pa.array((np.arange(b - a + 1) * COORDINATES).astype(np.int32)), pa.array(counts)),
+                ], names=["node", "n", "counts"])
 
     return run
 
@@ -256,45 +354,39 @@ def candidates(rule: Rule):
 
 
 def join(documents: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``documents``: row, doc, n_shingles, class_id (smallest row with an equal set), root (smallest row of the component),
+    """One row per row of ``documents``: row, doc, n_shingles, class_id (a row with an equal set), root (smallest row of the component),
     component_id (smallest doc_id of the component).
 
     ``documents`` must give its rows in the same partitions each time it is read, as a stored table does; ``row`` is their running number."""
     n_parts = partitions(documents.sparkSession)
-    rows = documents.select(F.monotonically_increasing_id().alias(ROW), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    known = stored(rows.mapInArrow(features(rule), FEATURES), "features")
-    classes = stored(known.groupBy("n", "s1", "s2").agg(F.min("row").alias("node"), F.min("doc").alias("doc")), "classes")
-    nodes = known.join(classes.where("n > 0").select(F.col("node").alias("row")), "row", "left_semi")
-    keyed = nodes.select(F.explode("keys").alias("key"), F.col("row").alias("node"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
-    keyed = stored(keyed.join(shared, "key"), "keyed")
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    rows = documents.select(F.monotonically_increasing_id().alias(ROW), doc.alias("doc"), F.col(text_col).cast("string").alias("text"))
+    entered = rows.mapInArrow(enter(rule, 3 * n_parts), "deal int, kind byte, x binary, y binary, z binary, w binary")
+    entered = stored(entered.repartition(n_parts, "deal").mapInArrow(share_keys, "kind byte, x long, y long, z long, w long"), "keys")
+    known = entered.where(F.col("kind") == INFO).select(F.col("x").alias("row"), F.nullif("y", F.lit(NO_ID)).alias("doc"), F.col("z").alias("n"), F.col("w").alias("node"))
+    keyed = entered.where(F.col("kind") == MEMBER).select(F.col("x").alias("key"), F.col("y").alias("node"), F.col("z").alias("a"))
     involved = keyed.select(F.col("node").alias(ROW)).distinct()
-    texts = stored(rows.select(ROW, "text").join(involved, ROW, "left_semi"), "texts")
+    texts = stored(rows.select(ROW, "text").join(involved, ROW, "left_semi").select(F.col(ROW).alias("node"), "text"), "texts")
     linked = verifier(rule)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        first = texts.select(F.col(ROW).alias("a"), F.col("text").alias("ta"))
-        second = texts.select(F.col(ROW).alias("b"), F.col("text").alias("tb"))
+        first, second = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
         both = pairs.join(second, "b").join(first, "a")
         return stored(both.select("a", "b", linked("ta", "tb").alias("good")), "verified")
 
-    stars = keyed.where("a != node").select("a", F.col("node").alias("b")).distinct()
-    tested = verified(stars)
-    links = tested.where("good").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = components(links)
-    placed = keyed.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    tested = verified(keyed.where("a != node").select("a", F.col("node").alias("b")).distinct())
+    roots = components(tested.where("good").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    placed = keyed.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     crossed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("key")
-    points = placed.join(crossed, "key", "left_semi").join(known.select(F.col("row").alias("node"), "n", "counts"), "node")
-    points = points.select("key", "node", "root", "n", "counts").repartition(n_parts, "key").sortWithinPartitions("key")
-    across = points.mapInArrow(candidates(rule), "a long, b long").distinct()
+    located = placed.join(crossed, "key", "left_semi").join(texts.mapInArrow(points(rule.words), "node long, n long, counts array<int>"), "node")
+    located = located.select("key", "node", "root", "n", "counts").repartition(n_parts, "key").sortWithinPartitions("key")
+    across = located.mapInArrow(candidates(rule), "a long, b long").distinct()
     more = verified(across.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
     late = more.where("good").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = stored(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(late)), "roots")
-    named = classes.join(roots, "node", "left").select("n", "s1", "s2", "node", "doc", F.coalesce("root", "node").alias("root"))
-    names = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = named.join(names, "root").select("n", "s1", "s2", F.col("node").alias("class_id"), "root", "component_id")
-    out = known.select("row", "doc", "n", "s1", "s2").join(named, ["n", "s1", "s2"])
-    return out.select("row", "doc", F.col("n").alias("n_shingles"), "class_id", "root", "component_id")
+    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(late))
+    placed = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = placed.groupBy("root").agg(F.min("doc").alias("component_id"))
+    return placed.join(names, "root").select("row", "doc", F.col("n").alias("n_shingles"), F.col("node").alias("class_id"), "root", "component_id")
 
 
 def keep_one(documents: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
