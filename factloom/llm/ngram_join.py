@@ -8,8 +8,8 @@ A text's set is that of its distinct word n-grams (64-bit hashes). Two texts lin
    level has keys there too. Where too many groups are empty for the argument, the empty ones are keys as well.)
 3. The smallest node of each key is paired with the others; verified pairs are joined to components.
 4. Keys whose members still lie in different components: there the members' group counts are points of an R-tree. The sum of coordinate minima
-   bounds the overlap of two points, that of two nodes' maxima the overlap of any two points below them. Pairs across components that
-   survive are verified on their texts.
+   bounds the overlap of two points, and with a node's maxima that of any point below it. Pairs across components that survive are verified on
+   their texts: in the first ``ROUNDS`` rounds only so many as would join a key's components if all held, in the last round all that are left.
 
 After step 4 every pair that can link was verified or already lies in one component, so components are exact, while a group of m near copies costs about m
 verifications, not m squared. One R-tree over all texts is not used: coordinates of unrelated texts differ too little for upper nodes to prune.
@@ -34,9 +34,11 @@ from factloom.llm.common import SPACED, as_bytes, mix, partitions, per_text, pre
 from factloom.llm.graph import components
 
 ROW = "_row"
-COORDINATES = 64
+COORDINATES = 256
 LEAF = 32
 LEVEL_RATIO = 1.5
+ROUNDS = 1
+POINTS = "node long, n long, counts binary"
 CHUNK_BYTES = 32 << 20
 KEYS, MEMBER, INFO = 0, 1, 2
 NO_ID = -(1 << 63)
@@ -233,7 +235,7 @@ def share_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def points(words: int):
-    """Set size and group counts of texts."""
+    """Set size and group counts (32-bit) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,15 +243,29 @@ def points(words: int):
             for a, b, part, at in slices(raw, offs):
                 token, text = token_sets(part, at, words)
                 slot = (mix(token + np.uint64(77)) % np.uint64(COORDINATES)).astype(np.int64)
-                counts = np.bincount(text * COORDINATES + slot, minlength=(b - a) * COORDINATES).astype(np.int32)
+                counts = np.bincount(text * COORDINATES + slot, minlength=(b - a) * COORDINATES).astype(np.int32).reshape(b - a, COORDINATES)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("node")[a:b], pa.array(np.bincount(text, minlength=b - a)),
-                    pa.ListArray.from_arrays(pa.array((np.arange(b - a + 1) * COORDINATES).astype(np.int32)), pa.array(counts)),
+                    batch.column("node")[a:b], pa.array(np.bincount(text, minlength=b - a)), pa.array([c.tobytes() for c in counts], pa.binary()),
                 ], names=["node", "n", "counts"])
 
     return run
 
 
+def vectors(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(len(column), COORDINATES)
+
+
+def within_bound(rule: Rule):
+    """May two points belong to linked texts?"""
+
+    @F.arrow_udf("boolean")
+    def may(na: pa.Array, nb: pa.Array, ca: pa.Array, cb: pa.Array) -> pa.Array:
+        both = np.minimum(vectors(ca), vectors(cb)).sum(1)
+        return pa.array(both >= rule.least_overlap(na.to_numpy(zero_copy_only=False) + nb.to_numpy(zero_copy_only=False)))
+
+    return may
+
+
 def verifier(rule: Rule):
     """Exact test of two texts."""
 
@@ -277,46 +293,65 @@ def verifier(rule: Rule):
     return linked
 
 
-def tree_pairs(counts: np.ndarray, size: np.ndarray, group: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of points of different ``group`` whose overlap bound reaches what their sizes require, from an R-tree packed by size."""
-    order = np.lexsort((counts[:, 1], counts[:, 0], size))
-    tops, smalls, bigs = [], [], []
-    for at in range(0, len(order), LEAF):
-        leaf = order[at : at + LEAF]
-        tops.append(counts[leaf].max(0))
-        smalls.append(size[leaf[0]])
-        bigs.append(size[leaf[-1]])
-    top, small, big = np.array(tops), np.array(smalls), np.array(bigs)
-
-    def descend(lo: int, hi: int, leaf: int) -> Iterator[int]:
-        """Leaves in [lo, hi), at or after ``leaf``, that may hold a partner of one in ``leaf``."""
-        if hi <= leaf or rule.num * small[lo] > rule.den * big[leaf]:
-            return
-        bound = np.minimum(top[lo:hi].max(0), top[leaf]).sum()
-        if bound < rule.least_overlap(int(small[lo]) + int(small[leaf])):
-            return
-        if hi - lo == 1:
-            yield lo
+class Tree:
+    """R-tree of points packed by size: leaves of ``LEAF`` points, then nodes of eight; each node keeps coordinate maxima and the least and largest size."""
+
+    def __init__(self, counts: np.ndarray, size: np.ndarray, rule: Rule):
+        self.counts, self.size, self.rule = counts, size, rule
+        self.order = np.lexsort((counts[:, 0], size))
+        at = np.arange(0, len(size), LEAF)
+        level = (np.maximum.reduceat(counts[self.order], at), size[self.order][at], size[self.order][np.append(at[1:], len(size)) - 1])
+        self.levels = [level]
+        while len(level[0]) > 8:
+            at = np.arange(0, len(level[0]), 8)
+            level = tuple(f.reduceat(x, at) for f, x in zip((np.maximum, np.minimum, np.maximum), level))
+            self.levels.append(level)
+
+    def search(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Points whose overlap bound with point i reaches what the two sizes require, and that bound."""
+        rule, n, point = self.rule, self.size[i], self.counts[i]
+        nodes = np.arange(len(self.levels[-1][0]))
+        for depth in range(len(self.levels) - 1, -1, -1):
+            top, small, big = (x[nodes] for x in self.levels[depth])
+            fits = (rule.num * small <= rule.den * n) & (rule.num * n <= rule.den * big)
+            fits &= np.minimum(top, point).sum(1) >= rule.least_overlap(n + small)
+            nodes = nodes[fits]
+            if depth:
+                nodes = (nodes[:, None] * 8 + np.arange(8)).ravel()
+                nodes = nodes[nodes < len(self.levels[depth - 1][0])]
+        inside = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
+        found = self.order[inside[inside < len(self.order)]]
+        bound = np.minimum(self.counts[found], point).sum(1)
+        good = (bound >= rule.least_overlap(n + self.size[found])) & (found != i)
+        return found[good], bound[good]
+
+
+def group_pairs(counts: np.ndarray, size: np.ndarray, root: np.ndarray, rule: Rule, exhaust: bool) -> Iterator[tuple[int, int]]:
+    """Pairs across roots to verify. Unless ``exhaust``, pairs that would only join what the pairs before join are left for a later round.
+
+    Points near the mean of the group go first: the text that the others are copies of joins them all."""
+    tree = Tree(counts, size, rule)
+    label = np.unique(root, return_inverse=True)[1]
+    left = label.max() + 1
+    for i in np.argsort(np.abs(counts - counts.mean(0)).sum(1), kind="stable").tolist():
+        if left == 1:
             return
-        step = max(1, -(-(hi - lo) // 8))
-        for at in range(lo, hi, step):
-            yield from descend(at, min(at + step, hi), leaf)
-
-    for leaf in range(len(top)):
-        mine = order[leaf * LEAF : (leaf + 1) * LEAF]
-        for other in descend(0, len(top), leaf):
-            theirs = order[other * LEAF : (other + 1) * LEAF]
-            bound = np.minimum(counts[mine][:, None], counts[theirs][None]).sum(2)
-            least = rule.least_overlap(size[mine][:, None] + size[theirs][None])
-            good = (bound >= least) & (group[mine][:, None] != group[theirs][None])
-            if leaf == other:
-                good &= np.triu(np.ones_like(good), 1)
-            i, j = np.nonzero(good)
-            if len(i):
-                yield mine[i], theirs[j]
-
-
-def candidates(rule: Rule):
+        found, bound = tree.search(i)
+        other = label[found] != label[i]
+        found, bound = found[other], bound[other]
+        if exhaust:
+            yield from ((i, j) for j in found.tolist() if i < j)
+            continue
+        found = found[np.argsort(-bound, kind="stable")]
+        _, once = np.unique(label[found], return_index=True)
+        for j in found[once].tolist():
+            yield i, j
+        joined = np.isin(label, label[found])
+        left -= len(once)
+        label[joined] = label[i]
+
+
+def candidates(rule: Rule, exhaust: bool):
     """Sorted by key: pairs of nodes of different components that survive the bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,30 +359,23 @@ def candidates(rule: Rule):
 
         for batch in by_groups(batches, "key"):
             key, node, root, size = (batch.column(c).to_numpy() for c in ("key", "node", "root", "n"))
-            counts = batch.column("counts").flatten().to_numpy().reshape(len(key), COORDINATES)
+            counts = vectors(batch.column("counts"))
             head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             sizes = np.diff(np.append(head, len(key)))
             left, right = [], []
-            for g in range(2, LEAF + 1):  # groups that fit into one leaf, all of a size at once
-                at = head[sizes == g]
-                if not len(at):
-                    continue
-                i, j = np.triu_indices(g, 1)
-                a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                keep = (root[a] != root[b]) & (rule.den * np.minimum(size[a], size[b]) >= rule.num * np.maximum(size[a], size[b]))
-                a, b = a[keep], b[keep]
-                for x in range(0, len(a), 1 << 16):
-                    c, d = a[x : x + (1 << 16)], b[x : x + (1 << 16)]
-                    good = np.minimum(counts[c], counts[d]).sum(1) >= rule.least_overlap(size[c] + size[d])
-                    left.append(node[c[good]])
-                    right.append(node[d[good]])
-            for at, g in zip(head[sizes > LEAF], sizes[sizes > LEAF]):
-                for a, b in tree_pairs(counts[at : at + g], size[at : at + g], root[at : at + g], rule):
-                    left.append(node[at + a])
-                    right.append(node[at + b])
+            at = head[sizes == 2]
+            for x in range(0, len(at), 1 << 14):
+                c, d = at[x : x + (1 << 14)], at[x : x + (1 << 14)] + 1
+                good = (root[c] != root[d]) & (np.minimum(counts[c], counts[d]).sum(1) >= rule.least_overlap(size[c] + size[d]))
+                left.append(node[c[good]])
+                right.append(node[d[good]])
+            for at, g in zip(head[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+                part = slice(at, at + g)
+                pairs = np.array(list(group_pairs(counts[part], size[part], root[part], rule, exhaust)), np.int64).reshape(-1, 2)
+                left.append(node[at + pairs[:, 0]])
+                right.append(node[at + pairs[:, 1]])
             if left:
-                pairs = np.stack([np.concatenate(left), np.concatenate(right)])
-                pairs = np.unique(np.sort(pairs, 0), axis=1)
+                pairs = np.unique(np.sort(np.stack([np.concatenate(left), np.concatenate(right)]), 0), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     return run
@@ -367,23 +395,30 @@ def join(documents: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", t
     keyed = entered.where(F.col("kind") == MEMBER).select(F.col("x").alias("key"), F.col("y").alias("node"), F.col("z").alias("a"))
     involved = keyed.select(F.col("node").alias(ROW)).distinct()
     texts = stored(rows.select(ROW, "text").join(involved, ROW, "left_semi").select(F.col(ROW).alias("node"), "text"), "texts")
-    linked = verifier(rule)
+    located = stored(texts.mapInArrow(points(rule.words), POINTS), "points")
+    linked, may = verifier(rule), within_bound(rule)
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, bounded: bool) -> DataFrame:
+        if not bounded:
+            first, second = (located.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}")) for c in "ab")
+            pairs = pairs.join(second, "b").join(first, "a").where(may("na", "nb", "ca", "cb")).select("a", "b")
         first, second = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
         both = pairs.join(second, "b").join(first, "a")
         return stored(both.select("a", "b", linked("ta", "tb").alias("good")), "verified")
 
-    tested = verified(keyed.where("a != node").select("a", F.col("node").alias("b")).distinct())
+    tested = verified(keyed.where("a != node").select("a", F.col("node").alias("b")).distinct(), False)
     roots = components(tested.where("good").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    placed = keyed.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    crossed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("key")
-    located = placed.join(crossed, "key", "left_semi").join(texts.mapInArrow(points(rule.words), "node long, n long, counts array<int>"), "node")
-    located = located.select("key", "node", "root", "n", "counts").repartition(n_parts, "key").sortWithinPartitions("key")
-    across = located.mapInArrow(candidates(rule), "a long, b long").distinct()
-    more = verified(across.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-    late = more.where("good").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(late))
+    for turn in range(ROUNDS + 1):
+        placed = keyed.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        crossed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("key")
+        facing = placed.join(crossed, "key", "left_semi").join(located, "node").select("key", "node", "root", "n", "counts")
+        facing = facing.repartition(n_parts, "key").sortWithinPartitions("key", "node")
+        more = verified(facing.mapInArrow(candidates(rule, turn == ROUNDS), "a long, b long").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), True)
+        if more.isEmpty():
+            break
+        tested = tested.unionByName(more)
+        late = more.where("good").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(late))
     placed = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = placed.groupBy("root").agg(F.min("doc").alias("component_id"))
     return placed.join(names, "root").select("row", "doc", F.col("n").alias("n_shingles"), F.col("node").alias("class_id"), "root", "component_id")
