@@ -409,9 +409,13 @@ def join(documents: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", t
     tested = verified(keyed.where("a != node").select("a", F.col("node").alias("b")).distinct(), False)
     roots = components(tested.where("good").select(F.col("a").alias("u"), F.col("b").alias("v")))
     for turn in range(ROUNDS + 1):
-        placed = keyed.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        crossed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("key")
-        facing = placed.join(crossed, "key", "left_semi").join(located, "node").select("key", "node", "root", "n", "counts")
+        # Where all members were paired with one head, only the others can face each other.
+        placed = keyed.join(roots, "node", "left").select("key", "node", "a", F.coalesce("root", "node").alias("root"))
+        other = F.when(F.col("node") != F.col("a"), F.col("root"))
+        crossed = placed.groupBy("key").agg(
+            (F.min("a") == F.max("a")).alias("one"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(other).alias("other_lo"), F.max(other).alias("other_hi"),
+        ).where(F.when(F.col("one"), F.col("other_lo") < F.col("other_hi")).otherwise(F.col("lo") < F.col("hi"))).select("key", "one")
+        facing = placed.join(crossed, "key").where("not one or node != a").join(located, "node").select("key", "node", "root", "n", "counts")
         facing = facing.repartition(n_parts, "key").sortWithinPartitions("key", "node")
         more = verified(facing.mapInArrow(candidates(rule, turn == ROUNDS), "a long, b long").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), True)
         if more.isEmpty():
