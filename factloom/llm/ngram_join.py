@@ -9,7 +9,7 @@ A text's set is that of its distinct word n-grams (64-bit hashes). Two texts lin
 3. The smallest node of each key is paired with the others; verified pairs are joined to components.
 4. Keys whose members still lie in different components: there the members' group counts are points of an R-tree. The sum of coordinate minima
    bounds the overlap of two points, and with a node's maxima that of any point below it. Pairs across components that survive are verified on
-   their texts: in the first ``ROUNDS`` rounds only so many as would join a key's components if all held, in the last round all that are left.
+   their texts: first only so many as join a key's components if all hold; where one does not hold, all pairs of the key that are left.
 
 After step 4 every pair that can link was verified or already lies in one component, so components are exact, while a group of m near copies costs about m
 verifications, not m squared. One R-tree over all texts is not used: coordinates of unrelated texts differ too little for upper nodes to prune.
@@ -34,10 +34,9 @@ from factloom.llm.common import SPACED, as_bytes, mix, partitions, per_text, pre
 from factloom.llm.graph import components
 
 ROW = "_row"
-COORDINATES = 256
+COORDINATES = 128
 LEAF = 32
 LEVEL_RATIO = 1.5
-ROUNDS = 1
 POINTS = "node long, n long, counts binary"
 CHUNK_BYTES = 32 << 20
 KEYS, MEMBER, INFO = 0, 1, 2
@@ -362,21 +361,23 @@ def candidates(rule: Rule, exhaust: bool):
             counts = vectors(batch.column("counts"))
             head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             sizes = np.diff(np.append(head, len(key)))
-            left, right = [], []
+            left, right, of = [], [], []
             at = head[sizes == 2]
             for x in range(0, len(at), 1 << 14):
                 c, d = at[x : x + (1 << 14)], at[x : x + (1 << 14)] + 1
                 good = (root[c] != root[d]) & (np.minimum(counts[c], counts[d]).sum(1) >= rule.least_overlap(size[c] + size[d]))
                 left.append(node[c[good]])
                 right.append(node[d[good]])
+                of.append(key[c[good]])
             for at, g in zip(head[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
                 part = slice(at, at + g)
                 pairs = np.array(list(group_pairs(counts[part], size[part], root[part], rule, exhaust)), np.int64).reshape(-1, 2)
                 left.append(node[at + pairs[:, 0]])
                 right.append(node[at + pairs[:, 1]])
+                of.append(np.full(len(pairs), key[at]))
             if left:
-                pairs = np.unique(np.sort(np.stack([np.concatenate(left), np.concatenate(right)]), 0), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                a, b, of = np.concatenate(left), np.concatenate(right), np.concatenate(of)
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["key", "a", "b"])
 
     return run
 
@@ -408,21 +409,24 @@ def join(documents: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", t
 
     tested = verified(keyed.where("a != node").select("a", F.col("node").alias("b")).distinct(), False)
     roots = components(tested.where("good").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    for turn in range(ROUNDS + 1):
+    doubtful = None
+    for exhaust in (False, True):
         # Where all members were paired with one head, only the others can face each other.
-        placed = keyed.join(roots, "node", "left").select("key", "node", "a", F.coalesce("root", "node").alias("root"))
+        members = keyed if doubtful is None else keyed.join(doubtful, "key", "left_semi")
+        placed = members.join(roots, "node", "left").select("key", "node", "a", F.coalesce("root", "node").alias("root"))
         other = F.when(F.col("node") != F.col("a"), F.col("root"))
         crossed = placed.groupBy("key").agg(
             (F.min("a") == F.max("a")).alias("one"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(other).alias("other_lo"), F.max(other).alias("other_hi"),
         ).where(F.when(F.col("one"), F.col("other_lo") < F.col("other_hi")).otherwise(F.col("lo") < F.col("hi"))).select("key", "one")
         facing = placed.join(crossed, "key").where("not one or node != a").join(located, "node").select("key", "node", "root", "n", "counts")
         facing = facing.repartition(n_parts, "key").sortWithinPartitions("key", "node")
-        more = verified(facing.mapInArrow(candidates(rule, turn == ROUNDS), "a long, b long").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), True)
-        if more.isEmpty():
+        found = stored(facing.mapInArrow(candidates(rule, exhaust), "key long, a long, b long"), "found")
+        tested = tested.unionByName(verified(found.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), True))
+        good = tested.where("good").select("a", "b")
+        doubtful = stored(found.join(good, ["a", "b"], "left_anti").select("key").distinct(), "doubtful")
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(good.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        if doubtful.isEmpty():
             break
-        tested = tested.unionByName(more)
-        late = more.where("good").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(late))
     placed = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = placed.groupBy("root").agg(F.min("doc").alias("component_id"))
     return placed.join(names, "root").select("row", "doc", F.col("n").alias("n_shingles"), F.col("node").alias("class_id"), "root", "component_id")
