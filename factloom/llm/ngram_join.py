@@ -4,9 +4,11 @@ A text's set is that of its distinct word n-grams (64-bit hashes). Two texts lin
 
 1. Of texts with equal sets in a chunk one is a node; the others belong to it.
 2. A node's tokens are hashed into K groups, K larger than the number of tokens in which two linked sets of this size can differ: so at least one
-   non-empty group is equal in both. Each group's content is a key. (K goes by size level; a node whose partners may fall into the next
-   level has keys there too. Where too many groups are empty for the argument, the empty ones are keys as well.)
-3. The smallest node of each key is paired with the others; verified pairs are joined to components.
+   group that either may not leave out is equal in both. Each group's content is a key. (K goes by size level; a node whose partners may fall
+   into the next level has keys there too. Groups of one token say little: a node leaves them and the empty ones out if K allows for so many, else it
+   has keys for both.)
+3. The smallest node of each key is paired with the others: each node first with the one it shares most keys with, then with those it is not yet
+   connected to. Verified pairs are joined to components.
 4. Keys whose members still lie in different components: there the members' group counts are points of an R-tree. The sum of coordinate minima
    bounds the overlap of two points, and with a node's maxima that of any point below it. Pairs across components that survive are verified on
    their texts: first only so many as join a key's components if all hold; where one does not hold, all pairs of the key that are left.
@@ -36,7 +38,6 @@ from factloom.llm.graph import components
 ROW = "_row"
 COORDINATES = 128
 LEAF = 32
-LEVEL_RATIO = 1.5
 POINTS = "node long, n long, counts binary"
 CHUNK_BYTES = 32 << 20
 KEYS, MEMBER, INFO = 0, 1, 2
@@ -63,14 +64,13 @@ class Rule:
 @lru_cache(maxsize=8)
 def levels(num: int, den: int) -> tuple[list[int], list[int], list[int]]:
     """Largest size of each level, most differing tokens of a linked pair there, number of groups."""
-    ratio = max(LEVEL_RATIO, den / num)
     tops, differ, groups = [8], [], []
     while tops[-1] < 1 << 40:
-        tops.append(int(tops[-1] * ratio) + 1)
+        tops.append(tops[-1] * den // num + 1)
     for top in tops:
         d = max(s - 2 * -(-num * s // (num + den)) for s in range(max(2, 2 * top - 2 * (num + den)), 2 * top + 1))
         differ.append(d)
-        groups.append(d + 1 + max(2, d // 32))
+        groups.append(d + 1 + max(2, d // 12))
     return tops, differ, groups
 
 
@@ -109,16 +109,21 @@ def group_keys(token: np.ndarray, text: np.ndarray, size: np.ndarray, level: np.
     head = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (owner[1:] != owner[:-1])))
     content = np.add.reduceat(mix(token[order] + np.uint64(0x51ED)), head)
     owner, group = owner[head], group[head]
+    single = np.diff(np.append(head, len(order))) == 1
     place = level[owner].astype(np.uint64) << np.uint64(40) | group.astype(np.uint64)
     keys = mix(content ^ mix(place + np.uint64(1)))
     filled = np.bincount(owner, minlength=len(size))
+    spare = np.where(use, k - differ[level] - 1, 0)  # so many equal groups may be left out
     empty = np.where(use, k - filled, 0)
+    weak = empty + np.bincount(owner, single, minlength=len(size)).astype(np.int64)
     at = np.searchsorted(owner, np.arange(len(size) + 1))
-    filled_groups = group
-    for i in np.flatnonzero(use & (empty >= k - differ[level])):
-        gaps = np.setdiff1d(np.arange(k[i]), filled_groups[at[i] : at[i + 1]]).astype(np.uint64)
-        keys = np.append(keys, mix((np.uint64(level[i]) << np.uint64(40) | gaps) ^ np.uint64(0xE3F7_0000_0000_0000)))
-        owner = np.append(owner, np.full(len(gaps), i))
+    gap_keys, gap_owner = [keys[:0]], [owner[:0]]
+    for i in np.flatnonzero(use & (empty > spare)):
+        gaps = np.setdiff1d(np.arange(k[i]), group[at[i] : at[i + 1]]).astype(np.uint64)
+        gap_keys.append(mix((np.uint64(level[i]) << np.uint64(40) | gaps) ^ np.uint64(0xE3F7_0000_0000_0000)))
+        gap_owner.append(np.full(len(gaps), i))
+    keep = ~single | (weak > spare)[owner]
+    keys, owner = np.concatenate([keys[keep], *gap_keys]), np.concatenate([owner[keep], *gap_owner])
     return keys.view(np.int64), owner
 
 
@@ -407,7 +412,15 @@ def join(documents: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", t
         both = pairs.join(second, "b").join(first, "a")
         return stored(both.select("a", "b", linked("ta", "tb").alias("good")), "verified")
 
-    tested = verified(keyed.where("a != node").select("a", F.col("node").alias("b")).distinct(), False)
+    stars = stored(keyed.where("a != node").groupBy("a", "node").count(), "stars")
+    best = stars.groupBy("node").agg(F.max(F.struct("count", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), F.col("node").alias("b"))
+    tested = verified(best, False)
+    roots = components(tested.where("good").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    apart = stars.select("a", F.col("node").alias("b"))
+    for end in "ab":
+        apart = apart.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
+    apart = apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    tested = tested.unionByName(verified(apart, False))
     roots = components(tested.where("good").select(F.col("a").alias("u"), F.col("b").alias("v")))
     doubtful = None
     for exhaust in (False, True):
