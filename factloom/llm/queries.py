@@ -54,3 +54,44 @@ from factloom.llm import ngram_join  # noqa: E402
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     joined = ngram_join.join(table(spark, folder, "documents", "doc_id", "text"), ngram_join.Rule(words=4, num=85, den=100))
     return joined.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
+
+
+from factloom.llm import chat_format, mixing, token_blocks  # noqa: E402
+
+
+@query("op10_mixing_to_target_weights", """
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 + 1] AS weight FROM sums),
+levels AS (
+  SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER earlier, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0))::DOUBLE AS level
+  FROM weighed WINDOW earlier AS (ORDER BY source_size / weight, source COLLATE "C" NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, max(level) OVER () * weight) AS target FROM levels),
+rated AS (
+  SELECT doc_id, size, source_size, target, coalesce(CASE WHEN source_size > 0 THEN target / source_size END, 0) AS rate,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':17'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS draw
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM rated
+""")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    planned = mixing.plan(table(spark, folder, "documents", "doc_id", "text", "source"))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op9_chat_formatting")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
+    )
+    done = chat_format.conversations(rows.unionByName(planted))
+    return done.select("conv_id", chat_format.read_back("formatted", "loss_spans").alias("r")).select("conv_id", "r.*")
+
+
+@query("op1_token_id_output")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = token_blocks.write(table(spark, folder, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_blocks.read(spark, path)
