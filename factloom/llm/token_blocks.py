@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import partitions, shared_folder
 
 BLOCK_IDS = 1 << 16
-MEMORY_UNITS = 400_000
+MEMORY_UNITS = 500_000
 BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+"
 BLOCK = (
@@ -66,9 +67,31 @@ class Encoder:
         self.units = re.compile(unit_pattern) if unit_pattern else None
         self.known: dict[str, bytes] = {}
 
+        vocabulary = self.library.get_vocab()
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.token_bytes[number] = len(token)  # a character of a byte-level token stands for a byte
+
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def unit_ids(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of distinct units. Units of blanks and a word are encoded many at a time and cut where their bytes end."""
+        plain = [u for u in units if u[0] in " \n" and u[-1] not in " \n\t\r\v\f"]
+        other = list(set(units).difference(plain))
+        yield from zip(other, self.ids(other))
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            stops = np.cumsum([len(u.encode()) for u in some])
+            reach = np.cumsum(self.token_bytes[ids])
+            cut = np.searchsorted(reach, stops)
+            if len(ids) and cut[-1] < len(ids) and (reach[cut] == stops).all():
+                data, edges = ids.tobytes(), ((np.append(0, cut + 1)) * self.width).tolist()
+                yield from ((u, data[i:j]) for u, i, j in zip(some, edges, edges[1:]))
+            else:
+                yield from zip(some, self.ids(some))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.units is None:
             return self.ids(texts)
@@ -76,17 +99,23 @@ class Encoder:
         if len(self.known) > MEMORY_UNITS:
             self.known.clear()
         new = list(set().union(*cut).difference(self.known))
-        self.known.update(zip(new, self.ids(new)))
+        self.known.update(self.unit_ids(new))
         return [b"".join(map(self.known.__getitem__, c)) for c in cut]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(tokenizer_file: str, unit_pattern: str | None) -> Encoder:
+    """One for all tasks of a worker process."""
+    return Encoder(tokenizer_file, unit_pattern)
+
+
 def encode_blocks(tokenizer_file: str, end_id: int, block_ids: int, kind: str, unit_pattern: str | None):
     """Texts in order to rows of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder, shard = Encoder(tokenizer_file, unit_pattern), TaskContext.get().partitionId()
+        encoder, shard = encoder_of(tokenizer_file, unit_pattern), TaskContext.get().partitionId()
         width, press = encoder.width, zstandard.ZstdCompressor(level=1)
         end = end_id.to_bytes(width, "little")
         schema = pa.schema([
@@ -101,9 +130,9 @@ def encode_blocks(tokenizer_file: str, end_id: int, block_ids: int, kind: str, u
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, row))], schema=schema)
 
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 256):
-                for doc_id, data in zip(doc_ids[at : at + 256], encoder.encode([t or "" for t in texts[at : at + 256]])):
+            for at in range(0, batch.num_rows, 256):
+                doc_ids, texts = (batch.column(c).slice(at, 256).to_pylist() for c in ("doc_id", "text"))
+                for doc_id, data in zip(doc_ids, encoder.encode([t or "" for t in texts])):
                     data, done = data + end, 0
                     n = len(data) // width
                     while done < n:
