@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -55,52 +56,58 @@ def from_planes(planes: list[bytes], n: int, width: int, kind: str) -> np.ndarra
     return np.ascontiguousarray(octets).view(f"<u{width}").ravel().astype(np.uint32)
 
 
-class Encoder:
-    """Texts to id bytes of the given width through a tokenizer file, each distinct unit once (the memory is emptied when full)."""
+def byte_letters() -> dict[int, int]:
+    """Byte to the character that stands for it in byte-level vocabularies: printable bytes themselves, the others from 256 on in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+class Encoder(dict):
+    """Units of text to id bytes of the given width through a tokenizer file; what was encoded is remembered (and dropped when full).
+
+    A unit of letters, with or without a blank before it, is one piece to byte-level BPE, so the library's model takes it as it is; marks after letters and a line end before a word
+    are pieces of their own. Everything else goes through the whole library."""
 
     def __init__(self, tokenizer_file: str, unit_pattern: str | None):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        super().__init__()
         self.library = Tokenizer.from_file(tokenizer_file)
         self.library.encode_special_tokens = True
-        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.units = re.compile(unit_pattern) if unit_pattern else None
-        self.known: dict[str, bytes] = {}
-
-        vocabulary = self.library.get_vocab()
-        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, number in vocabulary.items():
-            self.token_bytes[number] = len(token)  # a character of a byte-level token stands for a byte
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def unit_ids(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of distinct units. Units of blanks and a word are encoded many at a time and cut where their bytes end."""
-        plain = [u for u in units if u[0] in " \n" and u[-1] not in " \n\t\r\v\f"]
-        other = list(set(units).difference(plain))
-        yield from zip(other, self.ids(other))
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, f"<u{self.width}")
-            stops = np.cumsum([len(u.encode()) for u in some])
-            reach = np.cumsum(self.token_bytes[ids])
-            cut = np.searchsorted(reach, stops)
-            if len(ids) and cut[-1] < len(ids) and (reach[cut] == stops).all():
-                data, edges = ids.tobytes(), ((np.append(0, cut + 1)) * self.width).tolist()
-                yield from ((u, data[i:j]) for u, i, j in zip(some, edges, edges[1:]))
+        self.model = self.library.model
+        self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array(self.code).itemsize
+        split = self.library.pre_tokenizer
+        plain = isinstance(split, pre_tokenizers.ByteLevel) and not split.add_prefix_space and split.use_regex and self.library.normalizer is None
+        self.units = re.compile(unit_pattern) if unit_pattern and plain else None
+        self.letters = byte_letters()
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __missing__(self, unit: str) -> bytes:
+        word = unit[1:] if unit[0] == " " else unit
+        if word.isalpha():
+            ids = array(self.code, [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        else:
+            head = unit.rstrip(".,;:!?")
+            if head != unit and (head[1:] if head[:1] == " " else head).isalpha():
+                ids = self[head] + self[unit[len(head) :]]
+            elif unit[0] == "\n" and unit[1:].isalpha():
+                ids = self["\n"] + self[unit[1:]]
             else:
-                yield from zip(some, self.ids(some))
+                ids = self.whole([unit])[0]
+        self[unit] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.units is None:
-            return self.ids(texts)
-        cut = [self.units.findall(t) for t in texts]
-        if len(self.known) > MEMORY_UNITS:
-            self.known.clear()
-        new = list(set().union(*cut).difference(self.known))
-        self.known.update(self.unit_ids(new))
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+            return self.whole(texts)
+        if len(self) > MEMORY_UNITS:
+            self.clear()
+        find, get = self.units.findall, self.__getitem__
+        return [b"".join(map(get, find(t))) for t in texts]
 
 
 @lru_cache(maxsize=1)
