@@ -95,3 +95,30 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
     path = token_blocks.write(table(spark, folder, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_blocks.read(spark, path)
+
+
+from factloom.llm import html_text, language  # noqa: E402
+from factloom.llm.common import unsigned_crc32  # noqa: E402
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents", "doc_id", "text", "lang")
+    held = F.coalesce(unsigned_crc32(F.col("doc_id")) % 4 == 2, F.lit(False))
+    model = language.fit(documents.where(~held))
+    guessed = language.predict(documents.select("doc_id", "text"), model)
+    return guessed.select("doc_id", held.alias("held_out"), F.col("guess.lang").alias("lang_pred"), "guess.score", "guess.rejected")
+
+
+@query("op6_html_extraction")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    read = html_text.extract(table(spark, folder, "pages", "page_id", "url", "html"))
+    return read.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+from factloom.llm import fingerprints  # noqa: E402
+
+
+@query("op3_document_fingerprints")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare_with_edits(table(spark, folder, "documents", "doc_id", "text"))
