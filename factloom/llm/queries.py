@@ -122,3 +122,13 @@ from factloom.llm import fingerprints  # noqa: E402
 @query("op3_document_fingerprints")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, folder, "documents", "doc_id", "text"))
+
+
+from factloom.llm import lm_scoring  # noqa: E402
+
+
+@query("op7_lm_scoring")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm_scoring.score(table(spark, folder, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
