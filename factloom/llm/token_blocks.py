@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import partitions, shared_folder
 
 BLOCK_IDS = 1 << 16
-MEMORY_UNITS = 500_000
+MEMORY_UNITS = 800_000
 BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+"
 BLOCK = (
@@ -82,14 +82,18 @@ class Encoder(dict):
         plain = isinstance(split, pre_tokenizers.ByteLevel) and not split.add_prefix_space and split.use_regex and self.library.normalizer is None
         self.units = re.compile(unit_pattern) if unit_pattern and plain else None
         self.letters = byte_letters()
+        self.spaced = Spaced(self)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def letter_ids(self, unit: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
     def __missing__(self, unit: str) -> bytes:
         word = unit[1:] if unit[0] == " " else unit
         if word.isalpha():
-            ids = array(self.code, [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            ids = self.letter_ids(unit)
         else:
             head = unit.rstrip(".,;:!?")
             if head != unit and (head[1:] if head[:1] == " " else head).isalpha():
@@ -104,10 +108,44 @@ class Encoder(dict):
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.units is None:
             return self.whole(texts)
-        if len(self) > MEMORY_UNITS:
+        if len(self) + len(self.spaced) > MEMORY_UNITS:
             self.clear()
-        find, get = self.units.findall, self.__getitem__
-        return [b"".join(map(get, find(t))) for t in texts]
+            self.spaced.clear()
+        return [self.text(t) for t in texts]
+
+    def text(self, text: str) -> bytes:
+        first, *words = text.split(" ")
+        try:
+            ids = b"".join(map(self.spaced.__getitem__, words))
+        except KeyError:  # a blank follows a blank
+            return b"".join(map(self.__getitem__, self.units.findall(text)))
+        return self[first] + ids if first else ids
+
+
+class Spaced(dict):
+    """Words, each with the blank before it, to id bytes; not for words that are empty or begin with a blank."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        encoder = self.encoder
+        if not word or word[0].isspace():
+            raise KeyError(word)
+        if word.isalpha():
+            ids = encoder.letter_ids(" " + word)
+        else:
+            head = word.rstrip(".,;:!?")
+            if head != word and head.isalpha():
+                ids = self[head] + encoder[word[len(head) :]]
+            else:
+                line, _, after = word.partition("\n")
+                if after and not after[0].isspace() and not line[-1].isspace():
+                    return self[line] + encoder["\n"] + encoder[after]  # hardly ever met again
+                ids = encoder.whole([" " + word])[0]
+        self[word] = ids
+        return ids
 
 
 @lru_cache(maxsize=1)
