@@ -82,13 +82,18 @@ class Encoder(dict):
         plain = isinstance(split, pre_tokenizers.ByteLevel) and not split.add_prefix_space and split.use_regex and self.library.normalizer is None
         self.units = re.compile(unit_pattern) if unit_pattern and plain else None
         self.letters = byte_letters()
+        self.blank = chr(self.letters[0x20])
         self.spaced = Spaced(self)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def letter_ids(self, unit: str) -> bytes:
-        return array(self.code, [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        if unit.isascii():
+            piece = unit.replace(" ", self.blank)
+        else:
+            piece = unit.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def __missing__(self, unit: str) -> bytes:
         word = unit[1:] if unit[0] == " " else unit
