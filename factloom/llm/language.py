@@ -136,8 +136,12 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """Learn from at most ``per_language`` rows of each non-null language; the ids are chosen first, so only their texts are read to the driver."""
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & F.col(id_col).isNotNull())
     ids = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = [r["id"] for r in ids.withColumn("n", rank).where(F.col("n") <= per_language).select("id").limit(per_language * MAX_LANGUAGES).collect()]
+    # The smallest hashes of each language; all but about four times as many ids as wanted are left out before they move.
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    counts = ids.groupBy("lang").count()
+    near = ids.join(counts, "lang").where(draw.cast("decimal(20,0)") * F.col("count") < F.lit(4 * per_language * (1 << 40)).cast("decimal(38,0)"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "id"))
+    chosen = [r["id"] for r in near.withColumn("n", rank).where(F.col("n") <= per_language).select("id").limit(per_language * MAX_LANGUAGES).collect()]
     picked = labelled.sparkSession.createDataFrame([(i,) for i in chosen], labelled.select(F.col(id_col).alias("id")).schema)
     rows = usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.join(F.broadcast(picked), "id", "left_semi").withColumn("text", F.substring("text", 1, 20 * SNIPPET_BYTES * SNIPPETS)).orderBy("id").collect()
