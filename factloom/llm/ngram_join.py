@@ -40,7 +40,7 @@ COORDINATES = 128
 LEAF = 32
 POINTS = "node long, n long, counts binary"
 CHUNK_BYTES = 32 << 20
-KEYS, MEMBER, INFO = 0, 1, 2
+KEYS, MEMBER, INFO, STAR = 0, 1, 2, 3
 NO_ID = -(1 << 63)
 
 
@@ -211,7 +211,8 @@ def enter(rule: Rule, n_parts: int):
 
 
 def share_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of the keys that more than one node has, each with the key's smallest node; records of texts pass through."""
+    """Members of the keys that three or more nodes may share, each with the key's smallest node; for all shared keys the pairs of smallest node and other
+    member with their number of keys; records of texts pass through."""
     names = ["kind", "x", "y", "z", "w"]
 
     def out(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
@@ -222,7 +223,10 @@ def share_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
             if r["kind"] != KEYS:
-                yield out(r["kind"], *(from_planes(r[c]) for c in "xyzw" if r[c]))
+                columns = [from_planes(r[c]) for c in "xyzw" if r[c]]
+                yield out(r["kind"], *columns)
+                if r["kind"] == MEMBER:
+                    yield out(STAR, columns[2], columns[1], np.ones(len(columns[1]), np.int64))
                 continue
             node = from_planes(r["y"])
             found.append((np.cumsum(from_planes(r["x"])), (node >> np.uint64(1)).view(np.int64) + from_planes(r["z"]).view(np.int64)[0], (node & np.uint64(1)).astype(bool)))
@@ -233,8 +237,11 @@ def share_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, node, shared = keys[order], node[order], shared[order]
     head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     run = np.diff(np.append(head, len(keys)))
-    several = np.repeat((run > 1) | np.logical_or.reduceat(shared, head), run)
-    first = np.repeat(node[head], run)
+    first, any_shared = np.repeat(node[head], run), np.logical_or.reduceat(shared, head)
+    other = node != first
+    pairs, count = np.unique(np.stack([first[other], node[other]]), axis=1, return_counts=True)
+    yield out(STAR, pairs[0], pairs[1], count)
+    several = np.repeat((run > 2) | any_shared, run)
     yield out(MEMBER, keys[several], node[several], first[several])
 
 
@@ -399,7 +406,8 @@ def join(documents: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", t
     entered = stored(entered.repartition(n_parts, "deal").mapInArrow(share_keys, "kind byte, x long, y long, z long, w long"), "keys")
     known = entered.where(F.col("kind") == INFO).select(F.col("x").alias("row"), F.nullif("y", F.lit(NO_ID)).alias("doc"), F.col("z").alias("n"), F.col("w").alias("node"))
     keyed = entered.where(F.col("kind") == MEMBER).select(F.col("x").alias("key"), F.col("y").alias("node"), F.col("z").alias("a"))
-    involved = keyed.select(F.col("node").alias(ROW)).distinct()
+    stars = entered.where(F.col("kind") == STAR).select(F.col("x").alias("a"), F.col("y").alias("node"), F.col("z").alias("count"))
+    involved = stars.select(F.explode(F.array("a", "node")).alias(ROW)).distinct()
     texts = stored(rows.select(ROW, "text").join(involved, ROW, "left_semi").select(F.col(ROW).alias("node"), "text"), "texts")
     located = stored(texts.mapInArrow(points(rule.words), POINTS), "points")
     linked, may = verifier(rule), within_bound(rule)
@@ -412,7 +420,7 @@ def join(documents: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", t
         both = pairs.join(second, "b").join(first, "a")
         return stored(both.select("a", "b", linked("ta", "tb").alias("good")), "verified")
 
-    stars = stored(keyed.where("a != node").groupBy("a", "node").count(), "stars")
+    stars = stored(stars.groupBy("a", "node").agg(F.sum("count").alias("count")), "stars")
     best = stars.groupBy("node").agg(F.max(F.struct("count", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), F.col("node").alias("b"))
     tested = verified(best, False)
     roots = components(tested.where("good").select(F.col("a").alias("u"), F.col("b").alias("v")))
