@@ -39,7 +39,7 @@ ROW = "_row"
 COORDINATES = 128
 LEAF = 32
 POINTS = "node long, n long, counts binary"
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 KEYS, MEMBER, INFO, STAR = 0, 1, 2, 3
 NO_ID = -(1 << 63)
 

@@ -21,15 +21,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import partitions, shared_folder
+from factloom.llm.common import as_bytes, partitions, prefix_hashes, shared_folder, span_hashes
 
 BLOCK_IDS = 1 << 16
-MEMORY_UNITS = 800_000
+MEMORY_UNITS, MEMORY_WORDS = 50_000, 2_500_000
+TEXTS_AT_ONCE = 2048
 BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK_AFTER_BLANK = r" [\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| $"
 UNIT = f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+"
 BLOCK = (
     "shard int, block int, n_ids int, width int, kind string, planes array<binary>, "
@@ -83,7 +86,7 @@ class Encoder(dict):
         self.units = re.compile(unit_pattern) if unit_pattern and plain else None
         self.letters = byte_letters()
         self.blank = chr(self.letters[0x20])
-        self.spaced = Spaced(self)
+        self.forget()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -110,47 +113,84 @@ class Encoder(dict):
         self[unit] = ids
         return ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def spaced_ids(self, word: str) -> bytes:
+        """Ids of a word with a blank before it."""
+        if word.isalpha():
+            return self.letter_ids(" " + word)
+        head = word.rstrip(".,;:!?")
+        if head != word and head.isalpha():
+            return self.letter_ids(" " + head) + self[word[len(head) :]]
+        line, _, after = word.partition("\n")
+        if line and after and not after[0].isspace() and not line[-1].isspace():
+            return self.spaced_ids(line) + self["\n"] + self[after]
+        return self.whole([" " + word])[0]
+
+    def forget(self) -> None:
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, f"<u{self.width}")
+
+    def remembered(self, words: pa.Array) -> np.ndarray:
+        """Place of each distinct word in the memory, which is a few numbers a word: hash, size and ids. New words are encoded and put there."""
+        raw, offs = as_bytes(words)
+        hashes = span_hashes(prefix_hashes(raw), offs[:-1], offs[1:]) if len(words) else np.zeros(0, np.uint64)
+        if len(self.hashes) + len(words) > MEMORY_WORDS:
+            self.forget()
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(words), bool)
+        place = np.zeros(len(words), np.int64)
+        place[known] = self.slots[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            codes = [self.spaced_ids(w) for w in words.take(pa.array(new)).to_pylist()]
+            place[new] = len(self.sizes) + np.arange(len(new))
+            self.sizes = np.append(self.sizes, np.array([len(c) for c in codes]) // self.width)
+            self.ids = np.append(self.ids, np.frombuffer(b"".join(codes), f"<u{self.width}"))
+            order = np.argsort(hashes[new])
+            into = np.searchsorted(self.hashes, hashes[new][order])
+            self.hashes = np.insert(self.hashes, into, hashes[new][order])
+            self.slots = np.insert(self.slots, into, place[new][order])
+        return place
+
+    def encode(self, texts: pa.Array) -> list[bytes | memoryview]:
+        """Id bytes of each text. Texts are cut at single blanks, the words of all of them together reduced to distinct ones, which are encoded and put back in place."""
+        texts = texts.fill_null("")
         if self.units is None:
-            return self.whole(texts)
-        if len(self) + len(self.spaced) > MEMORY_UNITS:
+            return self.whole(texts.to_pylist())
+        odd = pc.match_substring_regex(texts, BLANK_AFTER_BLANK).to_numpy(zero_copy_only=False)
+        out: list = [None] * len(texts)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = b"".join(map(self.__getitem__, self.units.findall(texts[i].as_py())))
+        plain = np.flatnonzero(~odd)
+        if not len(plain):
+            return out
+        cut = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        bounds = cut.offsets.to_numpy()
+        words = cut.flatten().dictionary_encode()
+        entry = words.indices.to_numpy().astype(np.int64)
+        firsts = bounds[:-1] - bounds[0]
+        first_words = words.dictionary.take(words.indices.take(pa.array(firsts))).to_pylist()
+        use = np.ones(len(entry), bool)
+        use[firsts] = False
+        needed = np.flatnonzero(np.bincount(entry[use], minlength=len(words.dictionary)))
+        place = self.remembered(words.dictionary.take(pa.array(needed)))
+        codes = [self[w] if w else b"" for w in first_words]
+        if len(self) > MEMORY_UNITS:
             self.clear()
-            self.spaced.clear()
-        return [self.text(t) for t in texts]
-
-    def text(self, text: str) -> bytes:
-        first, *words = text.split(" ")
-        try:
-            ids = b"".join(map(self.spaced.__getitem__, words))
-        except KeyError:  # a blank follows a blank
-            return b"".join(map(self.__getitem__, self.units.findall(text)))
-        return self[first] + ids if first else ids
-
-
-class Spaced(dict):
-    """Words, each with the blank before it, to id bytes; not for words that are empty or begin with a blank."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, word: str) -> bytes:
-        encoder = self.encoder
-        if not word or word[0].isspace():
-            raise KeyError(word)
-        if word.isalpha():
-            ids = encoder.letter_ids(" " + word)
-        else:
-            head = word.rstrip(".,;:!?")
-            if head != word and head.isalpha():
-                ids = self[head] + encoder[word[len(head) :]]
-            else:
-                line, _, after = word.partition("\n")
-                if after and not after[0].isspace() and not line[-1].isspace():
-                    return self[line] + encoder["\n"] + encoder[after]  # hardly ever met again
-                ids = encoder.whole([" " + word])[0]
-        self[word] = ids
-        return ids
+        # Entries: what is remembered, then the first words, which have no blank before them.
+        translate = np.zeros(len(words.dictionary), np.int64)
+        translate[needed] = place
+        entry = translate[entry]
+        entry[firsts] = len(self.sizes) + np.arange(len(firsts))
+        size = np.append(self.sizes, np.array([len(c) for c in codes], np.int64) // self.width)
+        start = np.cumsum(size) - size
+        ids = np.append(self.ids, np.frombuffer(b"".join(codes), f"<u{self.width}"))
+        n = size[entry]
+        ends = np.cumsum(n)
+        data = memoryview(ids[np.repeat(start[entry] - (ends - n), n) + np.arange(ends[-1])].tobytes())
+        edges = (np.append(0, ends[bounds[1:] - bounds[0] - 1]) * self.width).tolist()
+        for i, x, y in zip(plain.tolist(), edges, edges[1:]):
+            out[i] = data[x:y]
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -180,10 +220,10 @@ def encode_blocks(tokenizer_file: str, end_id: int, block_ids: int, kind: str, u
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, row))], schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                doc_ids, texts = (batch.column(c).slice(at, 256).to_pylist() for c in ("doc_id", "text"))
-                for doc_id, data in zip(doc_ids, encoder.encode([t or "" for t in texts])):
-                    data, done = data + end, 0
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                doc_ids, texts = (batch.column(c).slice(at, TEXTS_AT_ONCE) for c in ("doc_id", "text"))
+                for doc_id, data in zip(doc_ids.to_pylist(), encoder.encode(texts)):
+                    data, done = bytes(data) + end, 0
                     n = len(data) // width
                     while done < n:
                         take = min(n - done, block_ids - filled)
