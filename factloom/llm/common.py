@@ -91,12 +91,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-@lru_cache(maxsize=4)
+POWERS: dict[bool, np.ndarray] = {}
+
+
 def powers(n: int, inverse: bool = False) -> np.ndarray:
-    base = pow(MULTIPLIER, -1, 1 << 64) if inverse else MULTIPLIER
-    steps = np.full(n, base, np.uint64)
-    steps[0] = 1
-    return np.multiply.accumulate(steps)
+    """First n powers of the multiplier (or of its inverse); the longest table so far is kept."""
+    if len(POWERS.get(inverse, ())) < n:
+        steps = np.full(n, pow(MULTIPLIER, -1, 1 << 64) if inverse else MULTIPLIER, np.uint64)
+        steps[0] = 1
+        POWERS[inverse] = np.multiply.accumulate(steps)
+    return POWERS[inverse][:n]
 
 
 @lru_cache(maxsize=4)

@@ -337,7 +337,7 @@ class Tree:
         return found[good], bound[good]
 
 
-def group_pairs(counts: np.ndarray, size: np.ndarray, root: np.ndarray, rule: Rule, exhaust: bool) -> Iterator[tuple[int, int]]:
+def group_pairs(counts: np.ndarray, size: np.ndarray, root: np.ndarray, rule: Rule, exhaust: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs across roots to verify. Unless ``exhaust``, pairs that would only join what the pairs before join are left for a later round.
 
     Points near the mean of the group go first: the text that the others are copies of joins them all."""
@@ -351,12 +351,12 @@ def group_pairs(counts: np.ndarray, size: np.ndarray, root: np.ndarray, rule: Ru
         other = label[found] != label[i]
         found, bound = found[other], bound[other]
         if exhaust:
-            yield from ((i, j) for j in found.tolist() if i < j)
+            found = found[found > i]
+            yield np.full(len(found), i), found
             continue
         found = found[np.argsort(-bound, kind="stable")]
         _, once = np.unique(label[found], return_index=True)
-        for j in found[once].tolist():
-            yield i, j
+        yield np.full(len(once), i), found[once]
         joined = np.isin(label, label[found])
         left -= len(once)
         label[joined] = label[i]
@@ -373,23 +373,30 @@ def candidates(rule: Rule, exhaust: bool):
             counts = vectors(batch.column("counts"))
             head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             sizes = np.diff(np.append(head, len(key)))
-            left, right, of = [], [], []
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            held = 0
+
+            def flush() -> pa.RecordBatch:
+                of, a, b = (np.concatenate(x) for x in zip(*found))
+                found.clear()
+                return pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["key", "a", "b"])
+
             at = head[sizes == 2]
             for x in range(0, len(at), 1 << 14):
                 c, d = at[x : x + (1 << 14)], at[x : x + (1 << 14)] + 1
                 good = (root[c] != root[d]) & (np.minimum(counts[c], counts[d]).sum(1) >= rule.least_overlap(size[c] + size[d]))
-                left.append(node[c[good]])
-                right.append(node[d[good]])
-                of.append(key[c[good]])
+                found.append((key[c[good]], node[c[good]], node[d[good]]))
             for at, g in zip(head[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
                 part = slice(at, at + g)
-                pairs = np.array(list(group_pairs(counts[part], size[part], root[part], rule, exhaust)), np.int64).reshape(-1, 2)
-                left.append(node[at + pairs[:, 0]])
-                right.append(node[at + pairs[:, 1]])
-                of.append(np.full(len(pairs), key[at]))
-            if left:
-                a, b, of = np.concatenate(left), np.concatenate(right), np.concatenate(of)
-                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["key", "a", "b"])
+                for i, j in group_pairs(counts[part], size[part], root[part], rule, exhaust):
+                    if len(i):
+                        found.append((np.full(len(i), key[at]), node[at + i], node[at + j]))
+                        held += len(i)
+                    if held > 1 << 16:
+                        yield flush()
+                        held = 0
+            if found:
+                yield flush()
 
     return run
 
