@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import as_bytes, slices
+from factloom.llm.common import as_bytes, slices, tidy
 
 BUCKETS = 1 << 14
 DIMENSION = 12
@@ -166,6 +166,7 @@ def predictor(documents: DataFrame, model: Model):
             score = np.where(has, score, 0.0)
             names = [m.languages[i] if ok else UNDETERMINED for i, ok in zip(top.tolist(), has.tolist())]
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(~has | (score < m.threshold))], names=GUESS.names)
+        tidy()
 
     return lambda text: guess(text, text.rlike(r"\p{L}"))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import SPACED, as_bytes, mix, partitions, per_text, prefix_hashes, run_hashes, slices, span_hashes, stored, stream, word_spans
+from factloom.llm.common import SPACED, as_bytes, mix, partitions, per_text, prefix_hashes, run_hashes, slices, span_hashes, stored, tidy, word_spans
 from factloom.llm.graph import components
 
 ROW = "_row"
@@ -206,6 +206,8 @@ def enter(rule: Rule, n_parts: int):
                     found, read = [], 0
         if found:
             yield from combined(found)
+        found.clear()
+        tidy()
 
     return run
 
@@ -291,15 +293,17 @@ def verifier(rule: Rule):
             return out
 
         for left, right in batches:
-            # Neighbours share the left text more often than not: each is hashed once.
-            once = left.dictionary_encode()
-            firsts = sets(once.dictionary)
             got = []
-            for i, b in zip(once.indices.to_pylist(), sets(right)):
-                a = firsts[i]
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                got.append(bool(both and rule.den * both >= rule.num * (len(a) + len(b) - both)))
+            for at in range(0, len(left), 1024):
+                # Neighbours share the left text more often than not: each is hashed once.
+                once = left.slice(at, 1024).dictionary_encode()
+                firsts = sets(once.dictionary)
+                for i, b in zip(once.indices.to_pylist(), sets(right.slice(at, 1024))):
+                    a = firsts[i]
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    got.append(bool(both and rule.den * both >= rule.num * (len(a) + len(b) - both)))
             yield pa.array(got, pa.bool_())
+        tidy()
 
     return linked
 
@@ -397,6 +401,7 @@ def candidates(rule: Rule, exhaust: bool):
                         held = 0
             if found:
                 yield flush()
+        tidy()
 
     return run
 

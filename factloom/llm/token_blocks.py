@@ -26,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import as_bytes, partitions, prefix_hashes, shared_folder, span_hashes
+from factloom.llm.common import as_bytes, partitions, prefix_hashes, shared_folder, span_hashes, tidy
 
 BLOCK_IDS = 1 << 16
-MEMORY_UNITS, MEMORY_WORDS = 50_000, 2_500_000
+MEMORY_UNITS, MEMORY_WORDS = 50_000, 1_500_000
 TEXTS_AT_ONCE = 2048
 BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BLANK_AFTER_BLANK = r" [\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| $"
@@ -236,6 +236,8 @@ def encode_blocks(tokenizer_file: str, end_id: int, block_ids: int, kind: str, u
                     number, total = number + 1, total + n
         if filled:
             yield flush()
+        held, parts = [], []
+        tidy()
 
     return run
 
