@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.sources.layout import spread
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -24,8 +22,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a text table, spread over the cores where the file comes in few splits."""
-    return spread(table(spark, folder, name).select(*columns))
+    """Columns of a text table; its splits are those of the files."""
+    return table(spark, folder, name).select(*columns)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

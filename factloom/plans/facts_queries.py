@@ -425,8 +425,8 @@ def calculator_eval(spark, folder):
 
 @query(
     "round_robin_sample",
-    """WITH d AS (SELECT source, CASE lang WHEN 'en' THEN 'RISK_FACTORS' WHEN 'fr' THEN 'MDA' WHEN 'de' THEN 'BUSINESS' ELSE 'MARKET_RISK' END AS section, l.doc_id,
-            CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 3 ELSE 4 END AS place FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+    """WITH d AS (SELECT source, CASE lang WHEN 'en' THEN 'RISK_FACTORS' WHEN 'fr' THEN 'MDA' WHEN 'de' THEN 'BUSINESS' ELSE 'MARKET_RISK' END AS section, doc_id,
+            CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 3 ELSE 4 END AS place FROM documents d),
     o AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS off FROM (SELECT DISTINCT source FROM d)),
     r AS (SELECT d.*, row_number() OVER (PARTITION BY d.source ORDER BY (place - off + 100) % 5, doc_id) AS round FROM d JOIN o ON o.source = d.source),
     n AS (SELECT *, row_number() OVER (ORDER BY round, source) AS case_no FROM r)
@@ -439,8 +439,8 @@ def calculator_eval(spark, folder):
 )
 def round_robin_sample(spark, folder):
     section = fx.mapped({"en": scope.RISK_FACTORS, "fr": scope.MDA, "de": scope.BUSINESS, "es": scope.MARKET_RISK}, F.col("lang"))
-    labelled = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id").select("source", section.alias("section"), "doc_id")
-    cases = qs.round_robin(labelled, "source", "section", ["doc_id"])
+    sections = table(spark, folder, "documents").select("source", section.alias("section"), "doc_id")
+    cases = qs.round_robin(sections, "source", "section", ["doc_id"])
     return cases.select(
         "case_no", "source", "section", "doc_id", qs.case_query(F.col("section"), F.col("source"), F.lit(2024), F.col("case_no")).alias("query")
     )

@@ -32,12 +32,15 @@ def build_session(app_name: str = "factloom", master: str | None = None, **conf:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the cluster's shared folder.
 
-    The folder named by ``spark.checkpoint.dir`` wins; a temporary one is made only where the
-    setting is absent, which is the case in local tests.
+    The folder named by ``spark.checkpoint.dir`` wins. A local session may do without it and gets
+    a temporary folder; on a cluster executors could not read each other's, so that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = folder or tempfile.mkdtemp(prefix="run-", dir="/tmp")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -10,6 +10,7 @@ them, so the total rate holds however many executors take part.
 from __future__ import annotations
 
 import json
+import threading
 import time
 import urllib.error
 import urllib.request
@@ -37,17 +38,18 @@ class TokenBucket:
         if rate <= 0 or capacity <= 0:
             raise ValueError("rate and capacity must be positive")
         self.rate, self.capacity, self.clock, self.sleep = rate, capacity, clock, sleep
-        self.tokens, self.at = capacity, clock()
+        self.tokens, self.at, self.lock = capacity, clock(), threading.Lock()
 
     def _shortfall(self, wanted: float) -> float:
         """Seconds until `wanted` tokens are there; takes them when that is now."""
-        now = self.clock()
-        self.tokens = min(self.capacity, self.tokens + (now - self.at) * self.rate)
-        self.at = now
-        missing = wanted - self.tokens
-        if missing <= 0:
-            self.tokens -= wanted
-        return max(missing, 0.0) / self.rate
+        with self.lock:  # refill and take are one step for concurrent callers
+            now = self.clock()
+            self.tokens = min(self.capacity, self.tokens + (now - self.at) * self.rate)
+            self.at = now
+            missing = wanted - self.tokens
+            if missing <= 0:
+                self.tokens -= wanted
+            return max(missing, 0.0) / self.rate
 
     def try_acquire(self, wanted: float = 1.0) -> bool:
         return self._shortfall(wanted) == 0.0
