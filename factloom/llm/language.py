@@ -127,8 +127,8 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 6, rate: float =
             loss = -np.log(np.maximum(p[np.arange(len(truth)), truth], 1e-9)).mean()
             best = min(best or (loss, t), (loss, t))
         model.temperature = best[1]
-        # Reject what scores below nearly all calibration texts, but only where no language stands out from even odds.
-        model.threshold = float(min(1.5 / len(languages), 0.5, np.quantile(model.scores(raw, offs)[: len(held)].max(1), 0.002)))
+        # Reject what scores below nearly all calibration texts, but only where no language stands out from even odds: texts in two languages are kept.
+        model.threshold = float(min(1.1 / len(languages), 0.5, np.quantile(model.scores(raw, offs)[: len(held)].max(1), 0.002)))
     return model
 
 
