@@ -1,141 +1,71 @@
 """Exact dense retrieval: cosine similarity, top k per query.
 
-Each task multiplies its own vectors with the query matrix and keeps k candidates per query, so
+Each task multiplies its own vectors with a block of queries and keeps k candidates per query, so
 the shuffle carries k rows per query and task however large the corpus is.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from factloom import scope
-from factloom.operators.lexical import _scope_columns, metadata_filter, top_hits
+from factloom.operators.ranking import allowed, best, hits_of, id_places, metadata_filter, scope_columns, search_blocks
 
-# Bound for sending the query matrix to every executor; larger query sets take the grid.
-MAX_BROADCAST_VALUES = 4_000_000
-GRID_QUERIES, GRID_VECTORS = 2_000, 20_000
+# Vector elements of the queries that are sent to every executor at a time.
+BLOCK_VALUES = 4_000_000
 
 
-def _unit(rows) -> np.ndarray:
-    matrix = np.asarray(rows) if isinstance(rows, np.ndarray) and rows.ndim == 2 else np.array([np.asarray(r, dtype=np.float64) for r in rows])
+def _unit(matrix: np.ndarray) -> np.ndarray:
     length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best scores, ties broken by the smaller id."""
-    rounded = np.round(scores, 9)
-    keep = np.arange(len(ids))
-    if len(ids) > k:
-        keep = np.flatnonzero(rounded >= np.partition(rounded, -k)[-k])
-    return np.array(sorted(keep, key=lambda i: (-rounded[i], ids[i]))[:k], dtype=int)
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of an Arrow list column; they must have one length and no NULL element."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths, flat = pc.unique(pc.list_value_length(column)), column.flatten()
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different dimensions: {sorted(lengths.to_pylist())[:5]}")
+    if flat.null_count:
+        raise ValueError("a vector has a NULL element")
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _allowed(vectors: pd.DataFrame, question, scoped: dict[str, str]) -> np.ndarray:
-    """Row positions inside a query's own metadata scope; an empty list allows everything."""
-    keep = np.ones(len(vectors), dtype=bool)
-    for document, wanted in scoped.items():
-        values = getattr(question, wanted)
-        if values is not None and len(values):
-            keep &= vectors[document].isin(list(values)).to_numpy()
-    return np.flatnonzero(keep)
-
-
-def _scored(vectors: pd.DataFrame, units: np.ndarray, questions: pd.DataFrame, query_units: np.ndarray, k: int, id_col: str, scoped: dict[str, str]) -> pd.DataFrame:
-    ids = vectors[id_col].to_numpy()
-    similarity = units @ query_units.T
-    parts = []
-    for j, question in enumerate(questions.itertuples(index=False)):
-        rows = _allowed(vectors, question, scoped) if scoped else None
-        own, scores = (ids, similarity[:, j]) if rows is None else (ids[rows], similarity[rows, j])
-        pick = _best(own, scores, k)
-        parts.append((np.full(len(pick), j), own[pick], scores[pick]))
-    which, found, scores = (np.concatenate(x) for x in zip(*parts))
-    return pd.DataFrame({"query_id": questions["query_id"].to_numpy()[which], id_col: found, "score": scores})
-
-
-def _batch_units(column: pa.Array) -> np.ndarray:
-    """Unit vectors of an Arrow list column; lists of one length need no per-row conversion."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return _unit(flat.reshape(len(column), -1))
-
-
-def _output(corpus: DataFrame, queries: DataFrame, id_col: str) -> T.StructType:
-    return (
-        T.StructType()
-        .add("query_id", queries.schema["query_id"].dataType)
-        .add(id_col, corpus.schema[id_col].dataType)
-        .add("score", T.DoubleType())
-    )
-
-
-def dense_search(corpus: DataFrame, queries: DataFrame, top_k: int = scope.DEFAULT_TOP_K, *, id_col: str = "id", **filters) -> DataFrame:
+def dense_search(corpus: DataFrame, queries: DataFrame, top_k: int = scope.DEFAULT_TOP_K, *, id_col: str = "id",
+                 within: dict[str, str] | None = None, **filters) -> DataFrame:
     """corpus (id, embedding), queries (query_id, vector) -> query_id, rank, id, score.
 
-    Rows without a vector are left out. Query sets within the bound travel as one broadcast
-    matrix; beyond it the work is laid out as a grid of query blocks and vector slices."""
-    scoped = _scope_columns(corpus, queries)
+    Rows without a vector are left out; vectors of another dimension than the queries' are an error.
+    ``within`` names further corpus columns and the query columns that list their allowed values."""
+    scoped = {**scope_columns(corpus, queries), **(within or {})}
     vectors = metadata_filter(corpus, **filters).filter("embedding is not null").select(id_col, *scoped, "embedding")
     asked = queries.filter("vector is not null").select("query_id", *scoped.values(), "vector")
-    output = _output(vectors, asked, id_col)
-    head = asked.select(F.size("vector").alias("n")).first()
-    if head is None:
-        return top_hits(vectors.sparkSession.createDataFrame([], output), top_k, id_col)
-    bound = max(1, MAX_BROADCAST_VALUES // head.n)
-    found = asked.limit(bound + 1).toPandas()
-    if len(found) > bound:
-        return dense_grid(vectors, asked, top_k, id_col, scoped)
-    shared = vectors.sparkSession.sparkContext.broadcast((found.drop(columns="vector"), _unit(found["vector"])))
-
-    def score(batches):
-        # candidates so far are merged with each batch, so a task holds one batch plus k per query
-        questions, units = shared.value
-        held = None
-        for batch in batches:
-            if batch.num_rows:
-                vectors = batch.drop_columns(["embedding"]).to_pandas()
-                new = _scored(vectors, _batch_units(batch.column("embedding")), questions, units, top_k, id_col, scoped)
-                held = new if held is None else _trim(pd.concat([held, new]), top_k, id_col)
-        if held is not None:
-            yield pa.RecordBatch.from_pandas(held, schema=arrow, preserve_index=False)
-
-    arrow = to_arrow_schema(output)
-    return top_hits(vectors.mapInArrow(score, output), top_k, id_col)
-
-
-def _trim(candidates: pd.DataFrame, k: int, id_col: str) -> pd.DataFrame:
-    keyed = candidates.assign(_s=-candidates["score"].round(9)).sort_values(["query_id", "_s", id_col])
-    return keyed.groupby("query_id", sort=False).head(k).drop(columns="_s")
-
-
-def dense_grid(vectors: DataFrame, queries: DataFrame, top_k: int, id_col: str, scoped: dict[str, str] | None = None) -> DataFrame:
-    """Exact search for query sets of any size: every (query block, vector slice) cell is one
-    bounded group, and each cell returns k rows per query."""
-    blocks = max(1, math.ceil(queries.count() / GRID_QUERIES))
-    slices = max(1, math.ceil(vectors.count() / GRID_VECTORS))
-    left = vectors.withColumn("_s", F.pmod(F.xxhash64(id_col), F.lit(slices))).withColumn(
-        "_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    right = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
-        "_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint")))
-    )
-
-    def cell(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if v.empty or q.empty:
-            return pd.DataFrame({"query_id": q["query_id"][:0], id_col: v[id_col][:0], "score": np.zeros(0)})
-        return _scored(v, _unit(v["embedding"]), q, _unit(q["vector"]), top_k, id_col, scoped or {})
-
-    scored = (
-        left.groupBy("_b", "_s")
-        .cogroup(right.groupBy("_b", "_s"))
-        .applyInPandas(cell, _output(vectors, queries, id_col))
-    )
-    return top_hits(scored, top_k, id_col)
+
+    def prepare(questions: pd.DataFrame) -> np.ndarray:
+        return _unit(_matrix(pa.array(questions.pop("vector"), pa.list_(pa.float64()))))
+
+    def score(batch: pa.RecordBatch, questions: pd.DataFrame, asked_units: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+        rows, units = batch.drop_columns(["embedding"]).to_pandas(), _unit(_matrix(batch.column("embedding")))
+        if units.shape[1] != asked_units.shape[1]:
+            raise ValueError(f"vectors have {units.shape[1]} dimensions, queries {asked_units.shape[1]}")
+        ids = rows[id_col].to_numpy()
+        places = id_places(ids)
+        similarity = None if scoped else units @ asked_units.T
+        found = []
+        for j, question in enumerate(questions.itertuples(index=False)):
+            if scoped:
+                own = np.flatnonzero(allowed(rows, question, scoped))
+                scores = units[own] @ asked_units[j]
+            else:
+                own, scores = np.arange(len(ids)), similarity[:, j]
+            pick = best(places[own], scores, k)
+            found.append((j, own[pick], scores[pick]))
+        yield hits_of(questions, ids, id_col, found)
+
+    return search_blocks(vectors, asked, top_k, id_col, limit=BLOCK_VALUES, size=lambda q: len(q["vector"]), prepare=prepare, score=score)

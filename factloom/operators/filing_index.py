@@ -139,28 +139,8 @@ def _entry() -> Column:
     return F.concat(F.col("accession_no"), F.lit(":"), F.col("sha256"), F.lit("\n"))
 
 
-FLAT_FINGERPRINT_ROWS = 1_000_000
-
-
-def fingerprint(manifest: DataFrame, max_rows: int = FLAT_FINGERPRINT_ROWS) -> DataFrame:
-    """Order-independent hash of the corpus as (scheme, fingerprint, n_files).
-
-    Up to `max_rows` files (checked) it is the SHA-256 of the sorted entries in one string.
-    A larger corpus gets the two-level form, since one string cannot hold it."""
-    held = manifest.filter("downloaded").select("accession_no", "sha256")
-    if held.limit(max_rows + 1).count() > max_rows:
-        return fingerprint_tree(manifest)
-    entries = F.array_sort(F.collect_list(F.struct("accession_no", "sha256")))
-    joined = F.array_join(
-        F.transform(entries, lambda e: F.concat(e["accession_no"], F.lit(":"), e["sha256"], F.lit("\n"))), ""
-    )
-    return held.agg(
-        F.lit("flat").alias("scheme"), F.sha2(joined, 256).alias("fingerprint"), F.count(F.lit(1)).alias("n_files")
-    )
-
-
-def fingerprint_tree(manifest: DataFrame, prefix: int = 4) -> DataFrame:
-    """Two-level hash: entries fall into 16**prefix leaves by their own hash, each leaf is hashed
+def fingerprint(manifest: DataFrame, prefix: int = 4) -> DataFrame:
+    """Order-independent hash of the corpus as (scheme, fingerprint, n_files), in two levels: entries fall into 16**prefix leaves by their own hash, each leaf is hashed
     in order, and the leaf digests are hashed. Copies of an entry are counted first, so no leaf
     grows with duplication; the top level is bounded by the number of leaves."""
     held = manifest.filter("downloaded")

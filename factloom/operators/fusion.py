@@ -11,7 +11,8 @@ from factloom import scope
 from factloom.functions.text import words
 from factloom.operators.dense import dense_search
 from factloom.operators.gates import union_all
-from factloom.operators.lexical import lexical_search, top_hits
+from factloom.operators.lexical import lexical_search
+from factloom.operators.ranking import top_hits
 from factloom.operators.scan import per_key_top
 from factloom.session import cut_lineage
 

@@ -1,34 +1,30 @@
 """Lexical retrieval: any query term may match, scored per document, top k per query.
 
-Queries arrive as a table, so one job answers all of them. The query side is joined without a
-broadcast hint: Spark broadcasts it while it is small and falls back to a sort-merge join, with
-adaptive skew splitting for frequent terms, when it is not.
+Queries arrive as a table, so one job answers all of them. Terms are found in Spark; a task then counts
+the terms of a block of queries in its own documents and keeps k documents per query, so that pairs of
+query and document are neither shuffled nor stored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import scope
 from factloom.functions.stemming import lexemes
 from factloom.functions.text import words
-from factloom.operators.scan import per_key_top
+from factloom.operators.ranking import allowed, best, hits_of, id_places, metadata_filter, scope_columns, search_blocks, top_hits
 
-# Scores are rounded before ranking, so the order of floating-point additions cannot move a hit.
-SCORE_DECIMALS = 9
 ANALYSERS: dict[str, Callable[[Column], Column]] = {"plain": words, "english": lexemes}
 BM25_K1, BM25_B = 1.2, 0.75
-
-
-def metadata_filter(df: DataFrame, **allowed) -> DataFrame:
-    """Keep rows whose columns take one of the given values; an empty list filters nothing."""
-    for column, values in allowed.items():
-        if values:
-            df = df.filter(F.col(column).isin(*values))
-    return df
+# Query terms that are sent to every executor at a time, and counters a task holds at a time.
+BLOCK_TERMS, COUNTERS = 50_000, 4_000_000
 
 
 def query_terms(queries: DataFrame, analyser: str = "plain") -> DataFrame:
@@ -38,92 +34,88 @@ def query_terms(queries: DataFrame, analyser: str = "plain") -> DataFrame:
     )
 
 
-def top_hits(scores: DataFrame, top_k: int, id_col: str) -> DataFrame:
-    """query_id, rank, id, score: best score first, then smallest id."""
-    rounded = scores.withColumn("score", F.round("score", SCORE_DECIMALS))
-    ranked = per_key_top(rounded, ["query_id"], [F.desc("score"), F.asc(id_col)], top_k)
-    return ranked.select("query_id", "rank", id_col, "score")
-
-
-# Document column -> query column with the allowed values (an empty array allows everything).
-REQUEST_SCOPE = {"ticker": "tickers", "fiscal_year": "fiscal_years"}
-
-
-def _scope_columns(docs: DataFrame, queries: DataFrame) -> dict[str, str]:
-    """Per-query filters apply where both sides carry the columns."""
-    return {d: q for d, q in REQUEST_SCOPE.items() if d in docs.columns and q in queries.columns}
-
-
-def _in_scope(scoped: dict[str, str]) -> Column:
-    ok = F.lit(True)
-    for document, allowed in scoped.items():
-        ok = ok & ((F.size(allowed) <= 0) | F.array_contains(F.col(allowed), F.col(document)))
-    return ok
-
-
-def _scoped_terms(queries: DataFrame, analyser: str, scoped: dict[str, str]) -> DataFrame:
-    terms = F.explode(F.array_distinct(ANALYSERS[analyser](F.col("query")))).alias("term")
-    return queries.select("query_id", *[F.coalesce(F.col(q), F.array()).alias(q) for q in scoped.values()], terms)
+def _term_counts(batch: pa.RecordBatch, terms: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Slices of a batch with the lengths of their documents and the counts (term, document)."""
+    tokens = batch.column("tokens")
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    term = pc.fill_null(pc.index_in(tokens.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.append(0, np.cumsum(lengths))
+    step = max(1, COUNTERS // max(1, len(terms)))
+    for at in range(0, len(lengths), step):
+        n = min(step, len(lengths) - at)
+        part, owner = term[start[at] : start[at + n]], np.repeat(np.arange(n), lengths[at : at + n])
+        known = part >= 0
+        counts = np.bincount(part[known] * n + owner[known], minlength=len(terms) * n).reshape(len(terms), n)
+        yield slice(at, at + n), lengths[at : at + n], counts
+
+
+def _bm25_statistics(docs: DataFrame, terms: pa.Array) -> tuple[np.ndarray, float]:
+    """Inverse document frequency of each term and the mean length: one pass over the documents, one row per term and task."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding, present, total = np.zeros(len(shared.value), np.int64), 0, 0
+        for batch in batches:
+            present += batch.num_rows - batch.column("tokens").null_count
+            for _, lengths, counts in _term_counts(batch, shared.value):
+                holding += (counts > 0).sum(1)
+                total += int(lengths.sum())
+        some = np.flatnonzero(holding)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(some, [-1, -2]), pa.int64()), pa.array(np.append(holding[some], [present, total]), pa.int64())], names=["term", "n"]
+        )
+
+    sums = dict(docs.select("tokens").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
+    shared.unpersist()
+    df = np.array([sums.get(i, 0) for i in range(len(terms))], np.float64)
+    n_docs = sums.get(-1) or 0
+    return np.log(1.0 + (n_docs - df + 0.5) / (df + 0.5)), (sums.get(-2) or 0) / n_docs if n_docs else 1.0
+
+
+def _search(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str, analyser: str, ranked_by_bm25: bool) -> DataFrame:
+    scoped = scope_columns(docs, queries)
+    found = docs.select(id_col, *scoped, ANALYSERS[analyser](F.col("text")).alias("tokens"))
+    asked = queries.select("query_id", *scoped.values(), F.array_distinct(ANALYSERS[analyser](F.col("query"))).alias("terms")).filter("size(terms) > 0")
+
+    def prepare(questions: pd.DataFrame):
+        asked_terms = [list(t) for t in questions.pop("terms")]
+        terms = pa.array(sorted({t for row in asked_terms for t in row}), pa.string())
+        number = {t: i for i, t in enumerate(terms.to_pylist())}
+        own = [np.array([number[t] for t in row]) for row in asked_terms]
+        return terms, own, _bm25_statistics(found, terms) if ranked_by_bm25 else None
+
+    def score(batch: pa.RecordBatch, questions: pd.DataFrame, prepared, k: int) -> Iterator[pd.DataFrame]:
+        terms, own, statistics = prepared
+        rows = batch.drop_columns(["tokens"]).to_pandas()
+        ids = rows[id_col].to_numpy()
+        for part, lengths, counts in _term_counts(batch, terms):
+            if statistics is None:
+                weights = counts * scope.COVER_WEIGHT
+            else:
+                idf, mean = statistics
+                weights = idf[:, None] * counts * (BM25_K1 + 1) / (counts + BM25_K1 * (1 - BM25_B + BM25_B * lengths / mean))
+            places, hits = id_places(ids[part]), []
+            for j, question in enumerate(questions.itertuples(index=False)):
+                scores = weights[own[j]].sum(0)
+                matched = scores > 0
+                if scoped:
+                    matched &= allowed(rows[part], question, scoped)
+                matched = np.flatnonzero(matched)
+                pick = best(places[matched], scores[matched], k)
+                hits.append((j, matched[pick], scores[matched[pick]]))
+            yield hits_of(questions, ids[part], id_col, hits)
+
+    return search_blocks(found, asked, top_k, id_col, limit=BLOCK_TERMS, size=lambda q: len(q["terms"]), prepare=prepare, score=score)
 
 
 def cover_density(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str = "id", analyser: str = "plain") -> DataFrame:
-    """Rank by 0.1 for every matching position. Matches are counted inside each task first, so
-    only one row per (query, document) pair with a match reaches the shuffle."""
-    scoped = _scope_columns(docs, queries)
-    tokens = docs.select(id_col, *scoped, F.explode(ANALYSERS[analyser](F.col("text"))).alias("term"))
-    matched = tokens.join(_scoped_terms(queries, analyser, scoped), "term").filter(_in_scope(scoped))
-    scores = matched.groupBy("query_id", id_col).agg(
-        (F.count(F.lit(1)) * F.lit(scope.COVER_WEIGHT)).alias("score")
-    )
-    return top_hits(scores, top_k, id_col)
-
-
-DOCUMENT_MARK = ""
-
-
-def postings(docs: DataFrame, id_col: str = "id", analyser: str = "plain", terms: DataFrame | None = None) -> DataFrame:
-    """(id, term, length, tf, plus ticker and fiscal year where the documents have them).
-
-    With `terms`, only postings of those terms are built. Every document also gets one posting of
-    the empty term, so corpus size and mean length can be read from the same table."""
-    carried = [c for c in REQUEST_SCOPE if c in docs.columns]
-    analysed = docs.select(id_col, *carried, ANALYSERS[analyser](F.col("text")).alias("tokens"))
-    tokens = analysed.select(
-        id_col, *carried, F.size("tokens").alias("length"),
-        F.explode(F.concat("tokens", F.array(F.lit(DOCUMENT_MARK)))).alias("term"),
-    ).filter("term is not null")
-    if terms is not None:
-        mark = docs.sparkSession.range(1).select(F.lit(DOCUMENT_MARK).alias("term"))
-        tokens = tokens.join(terms.select("term").unionByName(mark).distinct(), "term", "left_semi")
-    return tokens.groupBy(id_col, *carried, "term", "length").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def bm25_weights(index: DataFrame, id_col: str = "id") -> DataFrame:
-    """The postings with their BM25 weight, which does not depend on the query.
-
-    Document frequency and corpus statistics are read from the postings themselves. They touch
-    `tf` and avoid filters, so that all three readers share one shuffle of the postings."""
-    present, mark = F.col("tf") > 0, F.col("term") == DOCUMENT_MARK
-    stats = index.agg(
-        F.count_if(present & mark).alias("n_docs"), F.avg(F.when(present & mark, F.col("length"))).alias("avg_length")
-    )
-    n_docs, avg_length = stats.select("n_docs").scalar(), stats.select("avg_length").scalar()
-    df = index.groupBy("term").agg(F.count_if(present).alias("df"))
-    idf = df.select("term", F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    tf, length = F.col("tf").cast("double"), F.col("length").cast("double")
-    weight = F.col("idf") * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / avg_length))
-    carried = [c for c in REQUEST_SCOPE if c in index.columns]
-    return index.join(idf, "term").select(id_col, *carried, "term", weight.alias("weight"))
+    """Rank by 0.1 for every matching position."""
+    return _search(docs, queries, top_k, id_col, analyser, False)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str = "id", analyser: str = "plain") -> DataFrame:
-    scoped = _scope_columns(docs, queries)
-    terms = _scoped_terms(queries, analyser, scoped)
-    weights = bm25_weights(postings(docs, id_col, analyser, terms), id_col)
-    scores = (
-        weights.join(terms, "term").filter(_in_scope(scoped)).groupBy("query_id", id_col).agg(F.sum("weight").alias("score"))
-    )
-    return top_hits(scores, top_k, id_col)
+    """Rank by BM25 over all given documents; a request's own scope does not change the statistics."""
+    return _search(docs, queries, top_k, id_col, analyser, True)
 
 
 SCORERS = {"cover_density": cover_density, "bm25": bm25}
@@ -136,6 +128,12 @@ def lexical_search(docs: DataFrame, queries: DataFrame, top_k: int = scope.DEFAU
 
 # --- stored index -------------------------------------------------------------------------------
 
+def postings(docs: DataFrame, id_col: str = "id", analyser: str = "plain") -> DataFrame:
+    """(id, term, tf), one row for each distinct term of a document."""
+    tokens = docs.select(id_col, F.explode(ANALYSERS[analyser](F.col("text"))).alias("term"))
+    return tokens.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def write_postings(docs: DataFrame, table: str, buckets: int, id_col: str = "id", analyser: str = "plain") -> None:
     """Document-partitioned inverted index: bucketed by document, sorted by term in each bucket.
 

@@ -128,7 +128,7 @@ def _round(requests: DataFrame, chunks: DataFrame, anchors: DataFrame, planner:
         "notes",
         F.concat(
             "notes",
-            F.when(F.coalesce("dropped", F.lit(0)) > 0, F.array(F.format_string("%d draft claim(s) dropped as uncitable", "dropped"))).otherwise(F.array().cast("array<string>")),
+            F.when(F.coalesce("dropped", F.lit(0)) > 0, F.array(F.format_string("uncited: %d", "dropped"))).otherwise(F.array().cast("array<string>")),
             F.when(F.col("decision") == "replan", F.array(cl.replan_reason(F.col("n_hits"), F.col("n_unverified")))).otherwise(F.array().cast("array<string>")),
         ),
     )
@@ -156,9 +156,9 @@ def answer(requests: DataFrame, chunks: DataFrame, anchors: DataFrame, *, planne
         if again.isEmpty():
             break
         todo = again.select("request_id", "question", (F.col("replans") + 1).alias("replans"), "notes")
-    caveat = F.when(F.col("n_unverified") > 0, F.lit("One or more figures could not be verified.")).otherwise(F.lit(""))
+    caveat = F.when(F.col("n_unverified") > 0, F.lit("Check the figures marked unverified.")).otherwise(F.lit(""))
     summary = F.when(F.col("n_claims") > 0, F.array_join(F.transform("claims", lambda c: c["text"]), "; ")).otherwise(
-        F.lit("No answer produced.")
+        F.lit("(no claims)")
     )
     return finished.select(
         "request_id", "question", summary.alias("answer_summary"), "claims",

@@ -97,7 +97,7 @@ judged AS (SELECT *, CASE WHEN value IS NULL THEN 'extractive' WHEN NOT has_conc
 
 @query(
     "claim_verification",
-    f"""WITH {CLAIMS_SQL} SELECT o_orderkey, method, CAST(verified AS INTEGER) AS verified, CASE WHEN value IS NULL THEN 'quote matched the cited chunk' WHEN NOT has_concept THEN 'no concept supplied for a numeric claim'
+    f"""WITH {CLAIMS_SQL} SELECT o_orderkey, method, CAST(verified AS INTEGER) AS verified, CASE WHEN value IS NULL THEN 'quoted' WHEN NOT has_concept THEN 'no_concept'
         WHEN expected IS NULL THEN 'no fact found' WHEN verified THEN 'matches' ELSE format('claimed {{:,.2f}}, fact {{:,.2f}}', value, expected) END AS detail FROM judged""",
 )
 def claim_verification(spark, folder):
@@ -125,7 +125,7 @@ def silent_memos(spark, folder):
     "replan_decision",
     f"""WITH {CLAIMS_SQL}, {MEMO_SQL}, state AS (SELECT c_custkey, c_custkey % 5 AS replans, coalesce(n_numeric, 0) AS n_hits, coalesce(n_unverified, 0) AS n_unverified FROM customer LEFT JOIN memos ON o_custkey = c_custkey)
     SELECT c_custkey, CASE WHEN replans >= 3 THEN 'done' WHEN n_hits = 0 OR n_unverified > 0 THEN 'replan' ELSE 'done' END AS decision,
-        CASE WHEN n_hits = 0 THEN 'retrieval returned nothing' ELSE n_unverified || ' figure(s) failed verification' END AS reason FROM state""",
+        CASE WHEN n_hits = 0 THEN 'no_hits' ELSE 'failed_checks: ' || n_unverified END AS reason FROM state""",
 )
 def replan_decision(spark, folder):
     memos = cl.memo_summary(cl.judge(order_claims(spark, folder)), ["o_custkey"])
@@ -173,8 +173,8 @@ def contract_violations(spark, folder):
 
 @query(
     "prompt_render",
-    f"""{DOC_ARMS} SELECT query_id AS request_id, string_agg('<filing_excerpt index="' || (rank - 1) || '" ticker="' || d.source || '" fiscal_year="2024" section="' || d.lang || '">' || chr(10) || d.text
-        || chr(10) || '</filing_excerpt>', chr(10) || chr(10) ORDER BY rank) AS excerpts FROM bm_ranked JOIN documents d ON d.doc_id = id WHERE rank <= 3 GROUP BY query_id""",
+    f"""{DOC_ARMS} SELECT query_id AS request_id, string_agg('<passage no="' || (rank - 1) || '" from="' || concat_ws(' / ', d.source, '2024', d.lang) || '">' || chr(10) || d.text
+        || chr(10) || '</passage>', chr(10) || chr(10) ORDER BY rank) AS excerpts FROM bm_ranked JOIN documents d ON d.doc_id = id WHERE rank <= 3 GROUP BY query_id""",
 )
 def prompt_render(spark, folder):
     meta = table(spark, folder, "documents").select("doc_id", F.col("source").alias("ticker"), F.col("lang").alias("item_section"))
@@ -186,8 +186,8 @@ def prompt_render(spark, folder):
     "prompt_facts",
     f"""WITH {FACT_CTES}, asked AS (SELECT {_ticker_sql('n_nationkey')} AS ticker, unnest([1996, 1997, 2003]) AS fiscal_year, n_name FROM nation),
     wanted AS (SELECT asked.*, unnest(['Assets', 'NetIncomeLoss']) AS concept FROM asked)
-    SELECT n_name AS request_id, string_agg(CASE WHEN a.value IS NULL THEN '- ' || w.ticker || ' ' || w.concept || ': NOT FOUND (no ' || w.concept || ' fact for ' || w.ticker || ' FY' || w.fiscal_year || ')'
-        ELSE '- ' || w.ticker || ' ' || w.concept || ' period ending ' || a.period_end || ': ' || format('{{:,.2f}}', a.value) || ' ' || a.unit || ' [source filing ' || a.accession_no || ']' END,
+    SELECT n_name AS request_id, string_agg(CASE WHEN a.value IS NULL THEN w.ticker || ' ' || w.concept || ' = none (no ' || w.concept || ' fact for ' || w.ticker || ' FY' || w.fiscal_year || ')'
+        ELSE w.ticker || ' ' || w.concept || ' = ' || format('{{:,.2f}}', a.value) || ' ' || a.unit || ' (to ' || a.period_end || ', ' || a.accession_no || ')' END,
         chr(10) ORDER BY w.ticker, w.fiscal_year, w.concept) AS facts
     FROM wanted w LEFT JOIN anchored a ON a.ticker = w.ticker AND a.concept = w.concept AND a.fiscal_year = w.fiscal_year GROUP BY n_name""",
 )

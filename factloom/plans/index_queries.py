@@ -233,24 +233,22 @@ def _manifest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(
-    "corpus_fingerprint",
-    """SELECT 'flat' AS scheme, sha256(string_agg(line, '' ORDER BY a)) AS fingerprint, count(*) AS n_files
-    FROM (SELECT CAST(doc_id AS VARCHAR) AS a, CAST(doc_id AS VARCHAR) || ':' || sha256(text) || chr(10) AS line FROM documents)""",
-)
+def _fingerprint_sql(prefix: int) -> str:
+    return f"""WITH e AS (SELECT CAST(doc_id AS VARCHAR) || ':' || sha256(text) || chr(10) AS entry, count(*) AS copies FROM documents GROUP BY 1),
+    leaves AS (SELECT substr(sha256(entry), 1, {prefix}) AS leaf, sum(copies) AS files,
+        sha256(string_agg(entry || copies, chr(10) ORDER BY entry || copies)) AS digest FROM e GROUP BY 1)
+    SELECT 'tree' AS scheme, sha256(string_agg(digest, '' ORDER BY leaf)) AS fingerprint, CAST(sum(files) AS BIGINT) AS n_files FROM leaves"""
+
+
+@query("corpus_fingerprint", _fingerprint_sql(4))
 def corpus_fingerprint(spark, folder):
     return ix.fingerprint(_manifest(spark, folder))
 
 
-@query(
-    "corpus_fingerprint_tree",
-    """WITH e AS (SELECT CAST(doc_id AS VARCHAR) || ':' || sha256(text) || chr(10) AS entry, count(*) AS copies FROM documents GROUP BY 1),
-    leaves AS (SELECT substr(sha256(entry), 1, 4) AS leaf, sum(copies) AS files,
-        sha256(string_agg(entry || copies, chr(10) ORDER BY entry || copies)) AS digest FROM e GROUP BY 1)
-    SELECT 'tree' AS scheme, sha256(string_agg(digest, '' ORDER BY leaf)) AS fingerprint, CAST(sum(files) AS BIGINT) AS n_files FROM leaves""",
-)
+@query("corpus_fingerprint_tree", _fingerprint_sql(2))
 def corpus_fingerprint_tree(spark, folder):
-    return ix.fingerprint_tree(_manifest(spark, folder))
+    """The same with fewer, larger leaves."""
+    return ix.fingerprint(_manifest(spark, folder), prefix=2)
 
 
 @query("content_hash", "SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes FROM documents")

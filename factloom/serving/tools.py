@@ -47,7 +47,9 @@ def search(corpus: Corpus, requests: DataFrame, top_k: int = 5) -> DataFrame:
     if not 1 <= top_k <= MAX_TOP_K:
         raise ValueError(f"top_k must lie in 1..{MAX_TOP_K}")
     vector = corpus.encoder(F.col("query")) if corpus.encoder else F.lit(None).cast("array<double>")
-    asked = requests.filter(F.length("query") > 0).withColumn("vector", vector)
+    blank = F.btrim(F.coalesce("query", F.lit(""))) == ""
+    checked = F.when(blank, F.raise_error(F.lit("a search needs a query"))).otherwise(F.col("query"))
+    asked = requests.withColumn("query", checked).withColumn("vector", vector)
     hits = retrieve(corpus.chunks, corpus.vectors, asked, top_k, id_col="chunk_id", scorer=corpus.scorer, analyser=corpus.analyser)
     placed = corpus.chunks.join(hits, "chunk_id")
     return placed.withColumn("citation", F.concat_ws("#", "accession_no", "item_section", "chunk_id"))

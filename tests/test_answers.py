@@ -72,7 +72,7 @@ def test_answers(spark, chunks, anchors):
     first = memos[1].claims[0]
     assert first.value == 130497.0 and first.verification.method == "xbrl" and first.citation.chunk_id == "n25:0000" and memos[1].verified_fraction == 1.0
     assert memos[2].claims[0].verification.method == "extractive" and memos[2].claims[0].citation.quote_span == "Apple faces supply risks."
-    assert memos[3].answer_summary == "No answer produced." and memos[3].replans == scope.MAX_REPLANS and memos[3].notes == ["retrieval returned nothing"] * 3
+    assert memos[3].answer_summary == "(no claims)" and memos[3].replans == scope.MAX_REPLANS and memos[3].notes == ["no_hits"] * 3
 
 
 def test_wrong_figures_are_replanned_and_disclosed(spark, chunks, anchors):
@@ -90,13 +90,13 @@ def test_uncitable_drafts_are_dropped(spark, chunks, anchors):
 
     ask = spark.createDataFrame([(1, "NVDA revenue for fiscal 2025?")], "request_id int, question string")
     memo = answer(ask, chunks, anchors, drafter=forger).first()
-    assert memo.claims == [] and memo.notes == ["1 draft claim(s) dropped as uncitable"]
+    assert memo.claims == [] and memo.notes == ["uncited: 1"]
 
 
 def test_prompt_blocks(spark, chunks):
     hits = chunks.withColumn("request_id", F.lit(1)).withColumn("rank", F.row_number().over(Window.orderBy("chunk_id")))
     text = cl.render_excerpts(hits, ["request_id"]).first().excerpts
-    assert text.startswith('<filing_excerpt index="0" ticker="AAPL" fiscal_year="2025" section="RISK_FACTORS">\nApple') and text.count("</filing_excerpt>") == 3
+    assert text.startswith('<passage no="0" from="AAPL / 2025 / RISK_FACTORS">\nApple') and text.count("</passage>") == 3
 
 
 def test_tools(spark, corpus):
@@ -273,10 +273,10 @@ def test_models_plug_in(spark, chunks, anchors):
         return [{"tickers": ["nvda", "TSLA"], "fiscal_years": [2025, 1999], "concepts": ["revenue"], "search_query": "NVIDIA revenue"} for _ in prompts]
 
     def drafter(prompts):
-        assert all("<filing_excerpt index=\"0\"" in p and "130,497.00 USD" in p for p in prompts)
+        assert all("<passage no=\"0\"" in p and "130,497.00 USD" in p for p in prompts)
         good = {"text": "Revenue was 130,497", "source_index": 0, "quote": "revenue grew to $130.5 billion", "value": 130497.0, "unit": "USD", "period": "FY2025", "concept": "revenue"}
         return [[good, {**good, "source_index": 7}, {**good, "unit": None}] for _ in prompts]
 
     ask = spark.createDataFrame([(1, "How much did it sell?")], "request_id int, question string")
     memo = answer(ask, chunks, anchors, planner=model_planner(planner), drafter=model_drafter(drafter)).first()
-    assert len(memo.claims) == 1 and memo.claims[0].verification.verified and memo.notes == ["2 draft claim(s) dropped as uncitable"]
+    assert len(memo.claims) == 1 and memo.claims[0].verification.verified and memo.notes == ["uncited: 2"]

@@ -82,13 +82,13 @@ def test_bm25(spark, texts, asked):
     assert rows(lx.lexical_search(docs, queries, 9, scorer="bm25")) == sorted(ranked(scores, 9))
 
 
-def test_bm25_reads_the_documents_once(spark, texts, asked, tmp_path):
+def test_bm25_shuffles_no_postings(spark, texts, asked, tmp_path):
     docs, queries = frames(spark, texts, asked)
     docs.write.parquet(str(tmp_path / "d"))
     found = lx.lexical_search(spark.read.parquet(str(tmp_path / "d")), queries, 3, scorer="bm25")
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "Exchange hashpartitioning(query_id" in plan
 
 
 def test_request_scope(spark, texts, asked):
@@ -140,18 +140,38 @@ def brute(vectors, queries, k):
     return sorted((q, r + 1, int(i), round(float(s[i, q]), 6)) for q in range(s.shape[1]) for r, i in enumerate(sorted(range(len(s)), key=lambda i: (-s[i, q], i))[:k]))
 
 
-def test_dense_both_layouts(spark, vectors, monkeypatch):
+def test_dense_blocks(spark, vectors, monkeypatch):
     corpus = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(999, None)], "id bigint, embedding array<float>")
     queries = spark.createDataFrame([(i, [float(x) for x in vectors[i]]) for i in range(20)], "query_id int, vector array<double>")
     want = brute(vectors, vectors[:20], 5)
     assert rows(dn.dense_search(corpus, queries, 5)) == want
-    monkeypatch.setattr(dn, "MAX_BROADCAST_VALUES", 24)
-    monkeypatch.setattr(dn, "GRID_QUERIES", 6)
-    monkeypatch.setattr(dn, "GRID_VECTORS", 50)
+    monkeypatch.setattr(dn, "BLOCK_VALUES", 64)
     assert rows(dn.dense_search(corpus, queries, 5)) == want
     assert dn.dense_search(corpus, queries.limit(0), 5).isEmpty()
 
 
+@pytest.mark.parametrize("other", [[1.0, 2.0], [1.0, None, 3.0]])
+def test_dense_refuses_ragged_and_null_vectors(spark, other):
+    corpus = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, other)], "id int, embedding array<double>").coalesce(1)
+    queries = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id int, vector array<double>")
+    with pytest.raises(Exception, match="dimensions|NULL element"):
+        dn.dense_search(corpus, queries, 1).collect()
+    with pytest.raises(Exception, match="dimensions|NULL element"):
+        dn.dense_search(corpus.filter("id = 1"), corpus.filter("id = 2").selectExpr("id AS query_id", "embedding AS vector"), 1).collect()
+
+
+def test_lexical_blocks_and_shuffle(spark, texts, asked, monkeypatch):
+    docs, queries = frames(spark, texts, asked)
+    want = {s: rows(lx.lexical_search(docs, queries, 3, scorer=s)) for s in lx.SCORERS}
+    monkeypatch.setattr(lx, "BLOCK_TERMS", 1)
+    monkeypatch.setattr(lx, "COUNTERS", 7)
+    for scorer, hits in want.items():
+        assert rows(lx.lexical_search(docs, queries, 3, scorer=scorer)) == hits
+    monkeypatch.undo()
+    plan = lx.lexical_search(docs, queries, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("MapInArrow")
+
+
 def test_fusion(spark):
     make = lambda ids: spark.createDataFrame([(1, i, r + 1, 9.0) for r, i in enumerate(ids)], "query_id int, id string, rank int, score double")
     fused = fu.reciprocal_rank_fusion([make(["a", "b", "c"]), make(["b", "d"])], 3).orderBy("rank").collect()
@@ -223,5 +243,7 @@ def test_vector_index(spark, vectors, tmp_path):
     assert rows(search_vector_index(spark, str(tmp_path / "ix"), queries, 5, probes=6)) == brute(vectors, vectors[:3], 5)
     near = search_vector_index(spark, str(tmp_path / "ix"), queries, 1, probes=1)
     assert sorted(r.id for r in near.collect()) == [0, 1, 2]
+    together = rows(search_vector_index(spark, str(tmp_path / "ix"), queries, 5, probes=1))
+    assert together == sorted(r for q in range(3) for r in rows(search_vector_index(spark, str(tmp_path / "ix"), queries.filter(F.col("query_id") == q), 5, probes=1)))
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [cell" in plan
