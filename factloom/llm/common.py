@@ -38,6 +38,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``df`` with a running number of its rows, given once and stored with them.
+
+    A number that a later job derives again may differ: splits of files follow the number of cores registered at that moment."""
+    return stored(df.withColumn(column, F.monotonically_increasing_id()), name)
+
+
 def tidy() -> None:
     """Give memory that past batches took back to the system; Python workers live on from stage to stage."""
     pa.default_memory_pool().release_unused()

@@ -148,10 +148,11 @@ def edited(text: str, following: str) -> str:
 
 
 def compare_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket; the row after a text in its bucket is its next document, the last one of a bucket only serves as such."""
+    """Rows sorted by bucket and place; the row after a text in its bucket is its next document. Rows at the bucket's odd place, of which equal rows
+    may give several, only serve as such."""
 
-    def finished(docs: list, texts: list[str], buckets: list, prints: list[str]) -> pa.RecordBatch:
-        here = [i for i in range(len(texts) - 1) if buckets[i] == buckets[i + 1]]
+    def finished(docs: list, texts: list[str], places: list, prints: list[str]) -> pa.RecordBatch:
+        here = [i for i in range(len(texts) - 1) if places[i] % 2 == 0 and places[i] // 2 == places[i + 1] // 2]
         changed = [edited(texts[i], texts[i + 1]) for i in here]
         changed_prints = fingerprints(pa.array(changed, pa.large_string()))
         columns = [
@@ -167,7 +168,7 @@ def compare_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             part = batch.slice(at, 512)
             texts = [t or "" for t in part.column("text").to_pylist()]
             prints = fingerprints(pa.array(texts, pa.large_string()))
-            now = part.column("doc_id").to_pylist(), texts, part.column("bucket").to_pylist(), prints
+            now = part.column("doc_id").to_pylist(), texts, part.column("place").to_pylist(), prints
             joined = [a + b for a, b in zip(last, now)]
             yield finished(*joined)
             last = tuple(x[-1:] for x in now)
@@ -177,10 +178,10 @@ def compare_with_edits(documents: DataFrame, *, id_col: str = "doc_id", text_col
     """Each document's fingerprint beside that of its edited text and of the next document in descending id order, cyclically.
 
     Texts are shuffled once, into buckets of consecutive ids; a bucket's first document also goes to the bucket before it. Bucket bounds and first documents, a few
-    numbers for each partition, are all that passes the driver."""
+    numbers for each partition, are all that passes the driver. Rows are told apart by id and text, never by a number that another scan may give anew; rows equal in both are interchangeable."""
     spark = documents.sparkSession
     n = 4 * partitions(spark)
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("tie"))
     steps = F.array(*[F.lit((i + 1) / n) for i in range(n - 1)])
     bounds = np.unique(np.array(rows.agg(F.approx_percentile("doc_id", steps, F.lit(10 * n)).alias("b")).first()["b"] or [], np.int64))
 
@@ -192,15 +193,16 @@ def compare_with_edits(documents: DataFrame, *, id_col: str = "doc_id", text_col
         return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), len(bounds) + 1, bucket))
 
     placed = rows.withColumn("bucket", bucket_of("doc_id"))
-    order = F.struct((-F.col("doc_id")).alias("doc"), "row")
-    heads = placed.select("bucket", order.alias("o")).groupBy("bucket").agg(F.min("o").alias("o")).select("bucket", "o.row").orderBy("bucket").collect()
-    before = {h["row"]: heads[i - 1]["bucket"] for i, h in enumerate(heads)}
+    order = F.struct((-F.col("doc_id")).alias("doc"), "tie")
+    heads = placed.select("bucket", order.alias("o")).groupBy("bucket").agg(F.min("o").alias("o")).select("bucket", "o.*").orderBy("bucket").collect()
+    before = {(None if h["doc"] is None else -h["doc"], h["tie"]): heads[i - 1]["bucket"] for i, h in enumerate(heads)}
 
     @F.arrow_udf("array<long>")
-    def also(buckets: pa.Array, row: pa.Array) -> pa.Array:
+    def also(buckets: pa.Array, ids: pa.Array, ties: pa.Array) -> pa.Array:
         # The copy that closes a bucket gets an odd place, so that it is told from the bucket's own rows.
-        return pa.array([[2 * b, 2 * before[r] + 1] if r in before else [2 * b] for b, r in zip(buckets.to_pylist(), row.to_pylist())], pa.list_(pa.int64()))
+        keys = zip(ids.to_pylist(), ties.to_pylist())
+        return pa.array([[2 * b, 2 * before[k] + 1] if k in before else [2 * b] for b, k in zip(buckets.to_pylist(), keys)], pa.list_(pa.int64()))
 
-    spread = rows.withColumn("place", F.explode(also(bucket_of("doc_id"), "row"))).withColumn("bucket", F.floor(F.col("place") / 2).cast("long"))
-    ordered = spread.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "place", F.col("doc_id").desc_nulls_last(), "row")
-    return ordered.select("doc_id", "text", "bucket").mapInArrow(compare_in_order, EDITED)
+    spread = rows.withColumn("place", F.explode(also(bucket_of("doc_id"), "doc_id", "tie"))).withColumn("bucket", F.floor(F.col("place") / 2).cast("long"))
+    ordered = spread.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "place", F.col("doc_id").desc_nulls_last(), "tie", "text")
+    return ordered.select("doc_id", "text", "place").mapInArrow(compare_in_order, EDITED)

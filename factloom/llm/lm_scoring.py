@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import LOWER, SPACED, as_bytes, per_text, prefix_hashes, slices, span_hashes, stored, unsigned_crc32, word_spans
+from factloom.llm.common import LOWER, SPACED, as_bytes, numbered, per_text, prefix_hashes, slices, span_hashes, stored, unsigned_crc32, word_spans
 
 ROW = "_row"
 BLOCK_ROWS = 1 << 12
@@ -243,13 +243,13 @@ def score_block(train_tokens: int, vocabulary: int, end_count: int, end_score: f
 def score(documents: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability of the text) of every row.
 
-    Rows whose crc32(id) mod 10 is not 0 are learned from. ``documents`` must give its rows in the same partitions each time it is read."""
+    Rows whose crc32(id) mod 10 is not 0 are learned from."""
     spark = documents.sparkSession
     held = F.coalesce(unsigned_crc32(F.col(id_col)) % 10 == 0, F.lit(False))
-    rows = documents.select(
+    rows = numbered(documents.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out"),
-        (~held & F.col(id_col).isNotNull()).alias("train"), F.monotonically_increasing_id().alias(ROW),
-    ).withColumn("block", F.floor(F.col(ROW) / block_rows).cast("long"))
+        (~held & F.col(id_col).isNotNull()).alias("train"),
+    ), "numbered", ROW).withColumn("block", F.floor(F.col(ROW) / block_rows).cast("long"))
     asked = rows.select("text", "block", "train").mapInArrow(block_words, "word binary, block long, count long")
     vocabulary = stored(asked.groupBy("word").agg(F.sum("count").alias("count"), F.collect_list("block").alias("blocks")), "vocabulary")
     counted = vocabulary.where("count > 0").select("word", "count")

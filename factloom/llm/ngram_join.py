@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import SPACED, as_bytes, mix, partitions, per_text, prefix_hashes, run_hashes, slices, span_hashes, stored, tidy, word_spans
+from factloom.llm.common import SPACED, as_bytes, mix, numbered, partitions, per_text, prefix_hashes, run_hashes, slices, span_hashes, stored, tidy, word_spans
 from factloom.llm.graph import components
 
 ROW = "_row"
@@ -408,12 +408,14 @@ def candidates(rule: Rule, exhaust: bool):
 
 def join(documents: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``documents``: row, doc, n_shingles, class_id (a row with an equal set), root (smallest row of the component),
-    component_id (smallest doc_id of the component).
-
-    ``documents`` must give its rows in the same partitions each time it is read, as a stored table does; ``row`` is their running number."""
-    n_parts = partitions(documents.sparkSession)
+    component_id (smallest doc_id of the component). ``row`` is a running number that is stored with the texts before its first use."""
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    rows = documents.select(F.monotonically_increasing_id().alias(ROW), doc.alias("doc"), F.col(text_col).cast("string").alias("text"))
+    return join_numbered(numbered(documents.select(doc.alias("doc"), F.col(text_col).cast("string").alias("text")), "numbered", ROW), rule)
+
+
+def join_numbered(rows: DataFrame, rule: Rule) -> DataFrame:
+    """``join`` of stored rows (number, doc, text)."""
+    n_parts = partitions(rows.sparkSession)
     entered = rows.mapInArrow(enter(rule, 3 * n_parts), "deal int, kind byte, x binary, y binary, z binary, w binary")
     entered = stored(entered.repartition(n_parts, "deal").mapInArrow(share_keys, "kind byte, x long, y long, z long, w long"), "keys")
     known = entered.where(F.col("kind") == INFO).select(F.col("x").alias("row"), F.nullif("y", F.lit(NO_ID)).alias("doc"), F.col("z").alias("n"), F.col("w").alias("node"))
@@ -467,6 +469,8 @@ def join(documents: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", t
 
 def keep_one(documents: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``documents`` with the row of the smallest doc_id of each component (the first such row in table order)."""
-    joined = join(documents, rule, id_col=id_col, text_col=text_col)
+    documents = numbered(documents, "numbered", ROW)
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    joined = join_numbered(documents.select(ROW, doc.alias("doc"), F.col(text_col).cast("string").alias("text")), rule)
     best = joined.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("best")).select(F.col("best.row").alias(ROW))
-    return documents.withColumn(ROW, F.monotonically_increasing_id()).join(best, ROW, "left_semi").drop(ROW)
+    return documents.join(best, ROW, "left_semi").drop(ROW)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import as_bytes, mix, partitions, prefix_hashes, slices, span_hashes, stored
+from factloom.llm.common import as_bytes, mix, numbered, partitions, prefix_hashes, slices, span_hashes, stored
 
 DEPTH = 100
 GRAM = 32
@@ -302,13 +302,11 @@ def compare_windows(depth: int):
 
 
 def repeated_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(texts with their row number, dealt by it; intervals (row, start, end) of bytes to remove, not yet united).
-
-    ``documents`` must give its rows in the same partitions each time it is read, as a stored table does."""
+    """(texts with their row number, dealt by it; intervals (row, start, end) of bytes to remove, not yet united)."""
     if not gram < depth < 1 << 11:
         raise ValueError("gram < depth < 2048 is required")
     n = partitions(documents.sparkSession)
-    rows = documents.withColumn(ROW, F.monotonically_increasing_id())
+    rows = numbered(documents, "numbered", ROW)
     texts = rows.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(text_col).cast("string").alias("text"), ROW)
     entered = texts.mapInArrow(enter(depth, gram), DEALT)
     sorted_runs = entered.repartition(n, "deal").sortWithinPartitions("deal", "digit", "doc", "row", "span")

@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from factloom.llm import fingerprints, ngram_join, suffix_dedup
+from factloom.llm import fingerprints, lm_scoring, ngram_join, suffix_dedup
 from factloom.llm.graph import components
 from tests.llm.helpers import documents, linked_components, near_copies, odd_rows, repeats, shingles, words
 
@@ -110,5 +112,63 @@ def test_fingerprints_odd_rows(spark):
     assert fingerprints.compare_with_edits(documents(spark, [])).count() == 0
 
 
+@pytest.fixture
+def moving_splits(spark, tmp_path, monkeypatch):
+    """A table whose splits differ from job to job, as they do when executors come and go: each collect, first and write changes the least number of splits."""
+    rows = near_copies(11, 300, 40) + [(i % 5, "same words in all of these rows " * 3) for i in range(40)]
+    paths = [str(tmp_path / f"part{i}") for i in range(3)]
+    for i, path in enumerate(paths):
+        documents(spark, rows[i * 120 : (i + 1) * 120], 1).write.option("parquet.block.size", 1024).parquet(path)
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    numbers = [1, 7, 2, 40, 3, 90]
+
+    def moved(f):
+        def run(*args, **kwargs):
+            numbers.append(numbers.pop(0))
+            spark.conf.set("spark.sql.files.minPartitionNum", str(numbers[0]))
+            return f(*args, **kwargs)
+        return run
+
+    kind, writer = type(spark.range(1)), type(spark.range(1).write)
+    for owner, name in ((kind, "collect"), (kind, "first"), (writer, "parquet")):
+        monkeypatch.setattr(owner, name, moved(getattr(owner, name)))
+    yield rows, spark.read.schema(documents(spark, []).schema).parquet(*paths)
+    for k, v in held.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_rows_keep_their_numbers_when_splits_move(spark, moving_splits):
+    rows, df = moving_splits
+    numbers = {str(df.select("doc_id", F.monotonically_increasing_id().alias("n")).collect()) for _ in range(6)}
+    assert len(numbers) > 1  # the splits do move
+    want = Counter(n for n, _ in linked_components(rows, 5, 8, 10))
+    joined = ngram_join.join(df).collect()
+    assert Counter(r.n_shingles for r in joined) == want and len({r.root for r in joined}) == len({r for _, r in linked_components(rows, 5, 8, 10)})
+    kept = Counter(r.text for r in ngram_join.keep_one(df).collect())
+    roots = {r for _, r in linked_components(rows, 5, 8, 10)}
+    assert sum(kept.values()) == len(roots) == len({r.root for r in joined})
+    cut = suffix_dedup.remove_repeats(df, depth=20, gram=8).collect()
+    assert Counter((r.doc_id, r.n_bytes) for r in cut) == Counter((i, len(t.encode())) for i, t in rows)
+    assert all(r.n_bytes - r.n_removed == len(r.kept) for r in cut)
+    assert sum(r.n_removed for r in cut) == sum(r.n_removed for r in suffix_dedup.remove_repeats(documents(spark, rows, 3), depth=20, gram=8).collect())
+    told = [(r.doc_id, r.fingerprint, r.edited_sha256) for r in fingerprints.compare_with_edits(df).collect()]
+    assert Counter(told) == Counter((r.doc_id, r.fingerprint, r.edited_sha256) for r in fingerprints.compare_with_edits(documents(spark, rows, 5)).collect())
+
+
+def test_scores_keep_their_rows_when_splits_move(spark, moving_splits):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    rows, df = moving_splits
+    file = tokenizers.path("piece_bpe_32k.model")
+    got, want = (lm_scoring.score(x, file, block_rows=16).collect() for x in (df, documents(spark, rows, 3)))
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.score, 6)) for r in got) == Counter((r.doc_id, r.n_tokens, r.n_known, round(r.score, 6)) for r in want)
+
+
+def test_fingerprints_of_equal_rows(spark):
+    rows = [(3, "c three"), (2, "b two"), (2, "b two"), (2, "b other"), (None, "x"), (None, "x"), (1, "a")] * 3
+    got = fingerprints.compare_with_edits(documents(spark, rows, 4)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+
+
 def test_words_helper():
     assert words("A\tB É") == ["a", "b", "É"]
