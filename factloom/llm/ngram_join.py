@@ -9,8 +9,10 @@ A text's set is that of its distinct word n-grams (64-bit hashes). Two texts lin
    has keys for both.)
 3. The smallest node of each key is paired with the others: each node first with the one it shares most keys with, then with those it is not yet
    connected to. Verified pairs are joined to components.
-4. Keys whose members still lie in different components: there the members' group counts are points of an R-tree. The sum of coordinate minima
-   bounds the overlap of two points, and with a node's maxima that of any point below it. Pairs across components that survive are verified on
+4. Keys whose members still lie in different components: there the members' group counts are points of R-trees. The sum of coordinate minima
+   bounds the overlap of two points, and with a node's maxima that of any point below it. A large key is cut into blocks of bounded size, and each
+   block is paired with each in a task of its own (``cells``). A point has about one coordinate for eight tokens, else the bound says nothing of long
+   texts; points of different width are compared at the lesser one, to which the other folds. Pairs across components that survive are verified on
    their texts: first only so many as join a key's components if all hold; where one does not hold, all pairs of the key that are left.
 
 After step 4 every pair that can link was verified or already lies in one component, so components are exact, while a group of m near copies costs about m
@@ -36,7 +38,9 @@ from factloom.llm.common import SPACED, as_bytes, mix, numbered, partitions, per
 from factloom.llm.graph import components
 
 ROW = "_row"
-COORDINATES = 128
+COORDINATES = 128  # at least; a longer text has more, see ``widths``
+TOKENS_A_COORDINATE = 8
+BLOCK_COORDINATES = 1 << 18
 LEAF = 32
 POINTS = "node long, n long, counts binary"
 CHUNK_BYTES = 16 << 20
@@ -247,6 +251,12 @@ def share_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(MEMBER, keys[several], node[several], first[several])
 
 
+def widths(size: np.ndarray) -> np.ndarray:
+    """Number of coordinates of texts with so many tokens: a power of two, so that the points of two widths fold to the lesser."""
+    need = np.maximum(-(-np.asarray(size, np.int64) // TOKENS_A_COORDINATE), COORDINATES)
+    return 1 << np.ceil(np.log2(need)).astype(np.int64)
+
+
 def points(words: int):
     """Set size and group counts (32-bit) of texts."""
 
@@ -255,17 +265,38 @@ def points(words: int):
             raw, offs = as_bytes(batch.column("text"))
             for a, b, part, at in slices(raw, offs):
                 token, text = token_sets(part, at, words)
-                slot = (mix(token + np.uint64(77)) % np.uint64(COORDINATES)).astype(np.int64)
-                counts = np.bincount(text * COORDINATES + slot, minlength=(b - a) * COORDINATES).astype(np.int32).reshape(b - a, COORDINATES)
+                size = np.bincount(text, minlength=b - a)
+                width = widths(size)
+                edge = np.append(0, np.cumsum(width))
+                slot = (mix(token + np.uint64(77)) % width[text].astype(np.uint64)).astype(np.int64)
+                counts = np.bincount(edge[text] + slot, minlength=edge[-1]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("node")[a:b], pa.array(np.bincount(text, minlength=b - a)), pa.array([c.tobytes() for c in counts], pa.binary()),
+                    batch.column("node")[a:b], pa.array(size), pa.array([c.tobytes() for c in np.split(counts, edge[1:-1])], pa.binary()),
                 ], names=["node", "n", "counts"])
 
     return run
 
 
-def vectors(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(len(column), COORDINATES)
+def vectors(counts: list[bytes], width: int) -> np.ndarray:
+    """Points of at least this width, folded to it."""
+    wide = np.array([len(c) // 4 for c in counts], np.int64)
+    out = np.empty((len(counts), width), np.int32)
+    for w in np.unique(wide).tolist():
+        at = np.flatnonzero(wide == w)
+        out[at] = np.frombuffer(b"".join([counts[i] for i in at.tolist()]), np.int32).reshape(len(at), w // width, width).sum(1)
+    return out
+
+
+def overlap_bound(first: list[bytes], second: list[bytes]) -> np.ndarray:
+    """Bound of the overlap of each pair of points."""
+    width = np.array([min(len(a), len(b)) // 4 for a, b in zip(first, second)], np.int64)
+    out = np.zeros(len(first), np.int64)
+    for w in np.unique(width).tolist():
+        same = np.flatnonzero(width == w)
+        for at in np.array_split(same, max(1, len(same) * w >> 20)):
+            a, b = (vectors([side[i] for i in at.tolist()], w) for side in (first, second))
+            out[at] = np.minimum(a, b).sum(1)
+    return out
 
 
 def within_bound(rule: Rule):
@@ -273,7 +304,7 @@ def within_bound(rule: Rule):
 
     @F.arrow_udf("boolean")
     def may(na: pa.Array, nb: pa.Array, ca: pa.Array, cb: pa.Array) -> pa.Array:
-        both = np.minimum(vectors(ca), vectors(cb)).sum(1)
+        both = overlap_bound(ca.to_pylist(), cb.to_pylist())
         return pa.array(both >= rule.least_overlap(na.to_numpy(zero_copy_only=False) + nb.to_numpy(zero_copy_only=False)))
 
     return may
@@ -322,9 +353,9 @@ class Tree:
             level = tuple(f.reduceat(x, at) for f, x in zip((np.maximum, np.minimum, np.maximum), level))
             self.levels.append(level)
 
-    def search(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Points whose overlap bound with point i reaches what the two sizes require, and that bound."""
-        rule, n, point = self.rule, self.size[i], self.counts[i]
+    def search(self, n: int, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Points whose overlap bound with a point of n tokens reaches what the two sizes require, and that bound."""
+        rule = self.rule
         nodes = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             top, small, big = (x[nodes] for x in self.levels[depth])
@@ -337,45 +368,60 @@ class Tree:
         inside = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
         found = self.order[inside[inside < len(self.order)]]
         bound = np.minimum(self.counts[found], point).sum(1)
-        good = (bound >= rule.least_overlap(n + self.size[found])) & (found != i)
+        good = bound >= rule.least_overlap(n + self.size[found])
         return found[good], bound[good]
 
 
-def group_pairs(counts: np.ndarray, size: np.ndarray, root: np.ndarray, rule: Rule, exhaust: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs across roots to verify. Unless ``exhaust``, pairs that would only join what the pairs before join are left for a later round.
+def group_pairs(counts: list[bytes], size: np.ndarray, root: np.ndarray, side: np.ndarray, rule: Rule, exhaust: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs across roots to verify, of two blocks (sides 1 and 2) only those across them. Unless ``exhaust``, pairs that would only join what the pairs
+    before join are left for a later round.
 
-    Points near the mean of the group go first: the text that the others are copies of joins them all."""
-    tree = Tree(counts, size, rule)
+    Points of one width form a tree. Points near the mean of those that search go first: the text that the others are copies of joins them all."""
     label = np.unique(root, return_inverse=True)[1]
     left = label.max() + 1
-    for i in np.argsort(np.abs(counts - counts.mean(0)).sum(1), kind="stable").tolist():
-        if left == 1:
-            return
-        found, bound = tree.search(i)
-        other = label[found] != label[i]
-        found, bound = found[other], bound[other]
-        if exhaust:
-            found = found[found > i]
-            yield np.full(len(found), i), found
-            continue
-        found = found[np.argsort(-bound, kind="stable")]
-        _, once = np.unique(label[found], return_index=True)
-        yield np.full(len(once), i), found[once]
-        joined = np.isin(label, label[found])
-        left -= len(once)
-        label[joined] = label[i]
+    width = np.array([len(c) // 4 for c in counts], np.int64)
+    one_block = not side.any()
+    asking, held = (np.ones(len(size), bool),) * 2 if one_block else (side == 1, side == 2)
+    for wa in np.unique(width[asking]).tolist():
+        for wh in np.unique(width[held]).tolist():
+            if one_block and wh < wa:
+                continue
+            a, h = np.flatnonzero(asking & (width == wa)), np.flatnonzero(held & (width == wh))
+            if rule.den * size[a].max() < rule.num * size[h].min() or rule.den * size[h].max() < rule.num * size[a].min():
+                continue
+            mine, theirs = (vectors([counts[i] for i in x.tolist()], min(wa, wh)) for x in (a, h))
+            tree = Tree(theirs, size[h], rule)
+            for at in np.argsort(np.abs(mine - mine.mean(0)).sum(1), kind="stable").tolist():
+                if left == 1:
+                    return
+                i = a[at]
+                found, bound = tree.search(size[i], mine[at])
+                found = h[found]
+                other = label[found] != label[i]
+                found, bound = found[other], bound[other]
+                if exhaust:
+                    if one_block and wa == wh:
+                        found = found[found > i]
+                    yield np.full(len(found), i), found
+                    continue
+                found = found[np.argsort(-bound, kind="stable")]
+                _, once = np.unique(label[found], return_index=True)
+                yield np.full(len(once), i), found[once]
+                joined = np.isin(label, label[found])
+                left -= len(once)
+                label[joined] = label[i]
 
 
 def candidates(rule: Rule, exhaust: bool):
-    """Sorted by key: pairs of nodes of different components that survive the bound."""
+    """Sorted by cell: pairs of nodes of different components that survive the bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from factloom.llm.suffix_dedup import by_groups
 
-        for batch in by_groups(batches, "key"):
-            key, node, root, size = (batch.column(c).to_numpy() for c in ("key", "node", "root", "n"))
-            counts = vectors(batch.column("counts"))
-            head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        for batch in by_groups(batches, "cell"):
+            cell, key, node, root, size, side = (batch.column(c).to_numpy() for c in ("cell", "key", "node", "root", "n", "side"))
+            counts = batch.column("counts").to_pylist()
+            head = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (key[1:] != key[:-1])))
             sizes = np.diff(np.append(head, len(key)))
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             held = 0
@@ -388,11 +434,13 @@ def candidates(rule: Rule, exhaust: bool):
             at = head[sizes == 2]
             for x in range(0, len(at), 1 << 14):
                 c, d = at[x : x + (1 << 14)], at[x : x + (1 << 14)] + 1
-                good = (root[c] != root[d]) & (np.minimum(counts[c], counts[d]).sum(1) >= rule.least_overlap(size[c] + size[d]))
+                apart = (root[c] != root[d]) & ((side[c] == 0) | (side[c] != side[d]))
+                c, d = c[apart], d[apart]
+                good = overlap_bound([counts[i] for i in c.tolist()], [counts[i] for i in d.tolist()]) >= rule.least_overlap(size[c] + size[d])
                 found.append((key[c[good]], node[c[good]], node[d[good]]))
             for at, g in zip(head[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
                 part = slice(at, at + g)
-                for i, j in group_pairs(counts[part], size[part], root[part], rule, exhaust):
+                for i, j in group_pairs(counts[part], size[part], root[part], side[part], rule, exhaust):
                     if len(i):
                         found.append((np.full(len(i), key[at]), node[at + i], node[at + j]))
                         held += len(i)
@@ -406,6 +454,18 @@ def candidates(rule: Rule, exhaust: bool):
     return run
 
 
+def cells(placed: DataFrame) -> DataFrame:
+    """``placed`` (key, node, blocks and more) with cell and side: once for each block of its key that the node's own block is paired with.
+
+    A key of one block is one cell, side 0. Else a cell holds two blocks, sides 1 and 2, or one block alone, side 0: no task gets more of a key than two blocks."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    paired = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(lo == hi, 0).when(F.col("own") == lo, 1).otherwise(2).cast("byte")
+    cell = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", lo, hi))
+    return paired.select("*", cell.alias("cell"), side.alias("side")).drop("own", "other", "blocks")
+
+
 def join(documents: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``documents``: row, doc, n_shingles, class_id (a row with an equal set), root (smallest row of the component),
     component_id (smallest doc_id of the component). ``row`` is a running number that is stored with the texts before its first use."""
@@ -448,13 +508,16 @@ def join_numbered(rows: DataFrame, rule: Rule) -> DataFrame:
     for exhaust in (False, True):
         # Where all members were paired with one head, only the others can face each other.
         members = keyed if doubtful is None else keyed.join(doubtful, "key", "left_semi")
-        placed = members.join(roots, "node", "left").select("key", "node", "a", F.coalesce("root", "node").alias("root"))
+        placed = members.join(roots, "node", "left").join(located.select("node", "n"), "node").select("key", "node", "a", "n", F.coalesce("root", "node").alias("root"))
         other = F.when(F.col("node") != F.col("a"), F.col("root"))
+        need = F.greatest(F.lit(COORDINATES), F.ceil(F.col("n") / TOKENS_A_COORDINATE))
+        blocks = F.ceil(F.sum(F.pow(F.lit(2.0), F.ceil(F.log2(need)))) / BLOCK_COORDINATES).cast("long")
         crossed = placed.groupBy("key").agg(
+            blocks.alias("blocks"),
             (F.min("a") == F.max("a")).alias("one"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(other).alias("other_lo"), F.max(other).alias("other_hi"),
-        ).where(F.when(F.col("one"), F.col("other_lo") < F.col("other_hi")).otherwise(F.col("lo") < F.col("hi"))).select("key", "one")
-        facing = placed.join(crossed, "key").where("not one or node != a").join(located, "node").select("key", "node", "root", "n", "counts")
-        facing = facing.repartition(n_parts, "key").sortWithinPartitions("key", "node")
+        ).where(F.when(F.col("one"), F.col("other_lo") < F.col("other_hi")).otherwise(F.col("lo") < F.col("hi"))).select("key", "one", "blocks")
+        facing = placed.join(crossed, "key").where("not one or node != a").join(located.select("node", "counts"), "node").select("key", "node", "root", "n", "counts", "blocks")
+        facing = cells(facing).repartition(n_parts, "cell").sortWithinPartitions("cell", "key", "node")
         found = stored(facing.mapInArrow(candidates(rule, exhaust), "key long, a long, b long"), "found")
         tested = tested.unionByName(verified(found.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), True))
         good = tested.where("good").select("a", "b")

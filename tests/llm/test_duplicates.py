@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -21,6 +22,50 @@ def test_join_against_all_pairs(spark, rule):
     assert [got[i] for i in range(len(rows))] == want
 
 
+@pytest.mark.parametrize("tokens", [8, 1])
+def test_join_of_keys_in_blocks(spark, monkeypatch, tokens):
+    monkeypatch.setattr(ngram_join, "BLOCK_COORDINATES", 512)
+    monkeypatch.setattr(ngram_join, "COORDINATES", 4)
+    monkeypatch.setattr(ngram_join, "TOKENS_A_COORDINATE", tokens)
+    rule = ngram_join.Rule(2, 6, 10)
+    rows = near_copies(6, 300, 12)
+    want = linked_components(rows, rule.words, rule.num, rule.den)
+    got = {r.doc: (r.n_shingles, r.component_id) for r in ngram_join.join(documents(spark, rows, 5), rule).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+
+
+def test_hot_key_is_dealt_over_cells(spark):
+    n, blocks = 3000, 6
+    placed = spark.range(n).select(F.lit(5).cast("long").alias("key"), F.col("id").alias("node"), F.lit(blocks).cast("long").alias("blocks"))
+    got = ngram_join.cells(placed).collect()
+    sizes, members = Counter(r.cell for r in got), {}
+    for r in got:
+        members.setdefault(r.cell, {}).setdefault(r.side, []).append(r.node)
+    assert len(sizes) == blocks * (blocks + 1) // 2 and max(sizes.values()) < 2 * 1.25 * n / blocks
+    met = np.zeros((n, n), np.int64)
+    for sides in members.values():
+        if 0 in sides:
+            assert set(sides) == {0}
+            met[np.ix_(sides[0], sides[0])] += 1
+        else:
+            met[np.ix_(sides[1], sides[2])] += 1
+            met[np.ix_(sides[2], sides[1])] += 1
+    assert (met == 1).all()
+
+
+@pytest.mark.parametrize("side", [0, 1])
+def test_long_unrelated_texts_are_pruned(side):
+    r, rule = np.random.default_rng(3), ngram_join.Rule()
+    texts = [" ".join(map(str, r.integers(0, 1 << 40, n))) for n in (8000, 8000, 8000, 8100, 17000)]
+    copy = texts[0].split()
+    copy[100:110] = "a b c d e f g h i j".split()
+    batch = pa.RecordBatch.from_pydict({"node": pa.array(range(6), pa.int64()), "text": pa.array([*texts, " ".join(copy)])})
+    out = pa.Table.from_batches(ngram_join.points(rule.words)([batch]))
+    sides = np.array([0, 0, 0, 0, 0, 0] if not side else [1, 1, 2, 2, 1, 2], np.int8)
+    pairs = [(int(i), int(j)) for a, b in ngram_join.group_pairs(out.column("counts").to_pylist(), out.column("n").to_numpy(), np.arange(6), sides, rule, True) for i, j in zip(a, b)]
+    assert pairs == [(0, 5)]
+
+
 def test_keep_one_is_one_of_each_component(spark):
     rows = near_copies(4, 200)
     want = {root for _, root in linked_components(rows, 5, 8, 10)}
