@@ -5,8 +5,8 @@ item; an item of fewer words is one window. The windows of the benchmark are rea
 ``MAX_WINDOWS``: each block is one broadcast set, so its size is bounded whatever the benchmark's. Every task scans all word windows of
 its texts against the set and compares the words of each hit.
 
-Edge cases: null or empty texts have no words and no hits; an item without words is no window; repeated items are items of their own; rows
-keep their null ids; other columns, whatever their names, pass through ``remove`` untouched.
+Edge cases: null or empty texts have no words and no hits; an item without words is no window; repeated items are items of their own; items
+with a null id are searched like others and count as hits, but are not named in ``items``; ids that are no numbers are named as strings; rows keep their null ids; other columns, whatever their names, pass through ``remove`` untouched.
 """
 
 from __future__ import annotations
@@ -24,10 +24,13 @@ from factloom.llm.common import ALNUM, LOWER, as_bytes, per_text, prefix_hashes,
 WINDOW = 13
 MAX_WINDOWS = 1_000_000
 NESTED = pa.list_(pa.list_(pa.int64()))
-FOUND = T.StructType([
-    T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
-    T.StructField("hit_words", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.LongType())),
-])
+
+
+def found_type(named: T.DataType) -> T.StructType:
+    return T.StructType([
+        T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
+        T.StructField("hit_words", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(named)),
+    ])
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -40,12 +43,12 @@ def normal_words(text: str | None) -> list[bytes]:
 class WindowSet:
     """Windows of some items: by length, sorted hashes with the windows (words joined by one space) and their items."""
 
-    def __init__(self, items: list[tuple[int, str | None]], n: int):
-        owners: dict[bytes, set[int]] = {}
+    def __init__(self, items: list[tuple[int | str | None, str | None]], n: int):
+        owners: dict[bytes, set[int | str]] = {}
         for item, text in items:
             words = normal_words(text)
             for i in range(max(1, len(words) - n + 1) if words else 0):
-                owners.setdefault(b" ".join(words[i : i + n]), set()).add(item)
+                owners.setdefault(b" ".join(words[i : i + n]), set()).update(() if item is None else (item,))
         self.by_length: dict[int, tuple[np.ndarray, list[bytes], list[list[int]], np.ndarray]] = {}
         lengths: dict[int, list[bytes]] = {}
         for window in owners:
@@ -93,12 +96,17 @@ class WindowSet:
             )
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, max_windows: int) -> Iterator[list[tuple[int, str | None]]]:
+def item_type(benchmark: DataFrame, item_col: str) -> T.DataType:
+    """Numbers are named as numbers, other ids as strings."""
+    return T.LongType() if isinstance(benchmark.select(item_col).schema[0].dataType, (T.NumericType, T.NullType)) else T.StringType()
+
+
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, max_windows: int) -> Iterator[list[tuple[int | str | None, str | None]]]:
     """Items in blocks whose words, and so windows, stay within the bound; one item is never split.
 
     The rows are streamed a partition at a time; only one block is held."""
     block, size = [], 0
-    rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("words")).where("item is not null")
+    rows = benchmark.select(F.col(item_col).cast(item_type(benchmark, item_col)).alias("item"), F.col(text_col).cast("string").alias("words"))
     for row in rows.toLocalIterator():
         cost = len(row["words"] or "") // 2 + 1
         if block and size + cost > max_windows:
@@ -119,20 +127,21 @@ def merged(ranges: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def scanner(shared):
+def scanner(shared, named: T.DataType):
     """Column function (texts, what earlier blocks found) -> found; ``shared`` is a broadcast WindowSet."""
+    kinds = (pa.int64(), NESTED, NESTED, pa.list_(pa.int64() if isinstance(named, T.LongType) else pa.string()))
 
-    @F.arrow_udf(FOUND)
+    @F.arrow_udf(found_type(named))
     def scan(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, before in batches:
             raw, offs = as_bytes(texts)
             rows = [r for _, _, part, at in slices(raw, offs) for r in shared.value.scan(part, at)]
             for i, old in enumerate(before.to_pylist()):
-                if old is not None and old["items"]:
+                if old is not None and old["spans"]:
                     n, spans, words, items = rows[i]
                     rows[i] = n, merged(spans + old["spans"]), merged(words + old["hit_words"]), sorted({*items, *old["items"]})
             yield pa.StructArray.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), NESTED, NESTED, pa.list_(pa.int64())))], names=FOUND.names,
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["n_words", "spans", "hit_words", "items"],
             )
 
     return scan
@@ -146,10 +155,11 @@ def find_windows(
 
     One pass over the texts for each benchmark block, without a shuffle. A column that is already called ``out`` is replaced."""
     spark = documents.sparkSession
-    found = F.lit(None).cast(FOUND)
+    named = item_type(benchmark, item_col)
+    found = F.lit(None).cast(found_type(named))
     for items in item_blocks(benchmark, item_col, item_text_col, max_windows):
         shared = spark.sparkContext.broadcast(WindowSet(items, n))
-        found = scanner(shared)(F.col(text_col).cast("string"), found)
+        found = scanner(shared, named)(F.col(text_col).cast("string"), found)
     return documents.withColumn(out, found)
 
 

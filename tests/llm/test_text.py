@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import chat_format, decontaminate, html_text, language, lm_scoring, token_blocks
 from tests.llm.helpers import documents, hits, odd_rows, words
@@ -43,6 +44,17 @@ def test_removal(spark):
     assert decontaminate.find_windows(df, empty).where("size(found.items) > 0").count() == 0
 
 
+@pytest.mark.parametrize("bound", [1_000_000, 4])
+def test_items_without_a_name_or_number(spark, bound):
+    df = documents(spark, [(1, "x alpha beta gamma y"), (2, "delta epsilon zeta"), (3, "clean words here"), (4, "one two three alpha beta gamma")])
+    for kind, names in (("long", (7, 8)), ("string", ("7", "q-8"))):
+        items = [(None, "alpha beta gamma"), (names[0], "delta epsilon zeta"), (names[1], "one two three"), (None, None)]
+        found = decontaminate.find_windows(df, spark.createDataFrame(items, f"item_id {kind}, text string"), n=3, max_windows=bound)
+        got = {x.doc_id: (x.n_hit, x.bad, x.names) for x in found.select("doc_id", decontaminate.n_hit().alias("n_hit"), decontaminate.contaminated().alias("bad"), F.col("found.items").alias("names")).collect()}
+        assert got == {1: (3, True, []), 2: (3, True, [names[0]]), 3: (0, False, []), 4: (6, True, [names[1]])}
+        assert [x.doc_id for x in decontaminate.remove(found).collect()] == [3]
+
+
 @pytest.mark.parametrize(("kind", "block"), [("byte", 64), ("bit", 64), ("byte", 1 << 16)])
 def test_token_blocks_round_trip(spark, kind, block):
     rows = [(i * 7 % 101, "Some text, number %d! \n\nAnd  so on " % i * (i % 9)) for i in range(101)] + odd_rows()[:7]
