@@ -115,6 +115,24 @@ def test_language_held_out(spark):
         language.fit(documents(spark, odd_rows()))
 
 
+@pytest.mark.parametrize("languages", ["abc", "ab", "a"])
+def test_unlearned_texts_are_rejected(spark, languages):
+    rows = [x for x in labelled(900) if x[2][0] in languages]
+    model = language.fit(documents(spark, [x for x in rows if x[0] % 3]))
+    clean = [t for i, t, _ in rows if i % 3 == 0]
+    by = {lang: [t for i, t, x in rows if i % 3 == 0 and x == lang] for lang in sorted({x[2] for x in rows})}
+    mixed = [f"{a} {b}" for x in by for y in by if x != y for a, b in zip(by[x], by[y])]
+    r = random.Random(2)
+    noise = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(20)) for _ in range(20)]
+    scripts = ["Это текст на языке которого никто не учил", "αυτό είναι ένα κείμενο σε άγνωστη γλώσσα", "これは学習されていない言語で書かれた文章です"]
+    said = [*clean, *mixed, *noise, *scripts]
+    got = {x.doc_id: x.guess.rejected for x in language.predict(documents(spark, list(enumerate(said))), model).collect()}
+    kept = [not got[i] for i in range(len(said))]
+    n, m = len(clean), len(clean) + len(mixed)
+    assert sum(kept[:n]) >= 0.98 * n and sum(kept[n:m]) >= 0.98 * (m - n)
+    assert not any(kept[m:])
+
+
 def test_language_ignores_batches(spark):
     model = language.fit(documents(spark, labelled()))
     texts = [t for _, t, _ in labelled(40)] + ["", "é", "ab"]
