@@ -15,9 +15,14 @@ NEAR_COPY = ngram_join.Rule(words=5, num=8, den=10)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model does not reject. It learns from the labelled three quarters of the stage's input."""
+    """Documents whose language the model does not reject. It learns from the labelled three quarters of the stage's input.
+
+    Where nothing is labelled no language can be told from another: all documents with letters are kept."""
     learned = docs.where(F.coalesce(unsigned_crc32(F.col("doc_id")) % 4 != 2, F.lit(False)))
-    guessed = language.predict(docs, language.fit(learned), out="_guess")
+    model = language.learn(learned)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    guessed = language.predict(docs, model, out="_guess")
     return guessed.where(~F.col("_guess.rejected")).drop("_guess")
 
 

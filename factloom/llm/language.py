@@ -9,7 +9,8 @@ while unlearned scripts, languages and letter noise go, however few languages th
 contribution to the scores is computed once, and a task only sums those rows: one broadcast table of BUCKETS x languages floats.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0 and rejected; texts shorter than two bytes get the class priors; rows without a language,
-or with null ids, are not learned from, but predicted; no labelled rows: ``ValueError``; an empty table gives an empty result if a model is given.
+or with null ids, are not learned from, but predicted; no labelled rows: ``fit`` raises ``NothingLabelled``,
+``learn`` gives a model without languages, to which every text is ``und`` with score 0 and rejected; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -59,6 +60,10 @@ def buckets(text: np.ndarray, order: int) -> np.ndarray:
     return ((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> np.uint32(18)
 
 
+class NothingLabelled(ValueError):
+    """No labelled row with letters and an id."""
+
+
 def triples(text: np.ndarray) -> np.ndarray:
     """The 3-byte string at each position as a number; ``BLANK`` if it has no letter."""
     wide = text.astype(np.int32)
@@ -230,10 +235,18 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.join(F.broadcast(picked), "id", "left_semi").withColumn("text", F.substring("text", 1, 20 * SNIPPET_BYTES * SNIPPETS)).orderBy("id").collect()
     if not rows:
-        raise ValueError("no labelled texts to learn from")
+        raise NothingLabelled("no labelled texts to learn from")
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
+def learn(labelled: DataFrame, **options) -> Model:
+    """``fit``, or a model without languages if there is nothing to learn from."""
+    try:
+        return fit(labelled, **options)
+    except NothingLabelled:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), np.zeros(1 << 21, np.uint8))
+
+
 def predictor(documents: DataFrame, model: Model):
     """Column function: whole text to (lang, score, rejected)."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -244,11 +257,11 @@ def predictor(documents: DataFrame, model: Model):
         for texts, letters in batches:
             raw, offs = as_bytes(texts)
             top, score, rejected = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts), bool)
-            for a, b, part, at in slices(raw, offs):
+            for a, b, part, at in slices(raw, offs) if m.languages else ():
                 p = m.scores(part, at)
                 top[a:b], score[a:b] = p.argmax(1), p.max(1)
                 rejected[a:b] = m.rejects(part, at, score[a:b])
-            has = letters.fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+            has = letters.fill_null(False).to_numpy(zero_copy_only=False).astype(bool) & bool(m.languages)
             score = np.where(has, score, 0.0)
             names = [m.languages[i] if ok else UNDETERMINED for i, ok in zip(top.tolist(), has.tolist())]
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(~has | rejected)], names=GUESS.names)

@@ -105,7 +105,7 @@ from factloom.llm.common import unsigned_crc32  # noqa: E402
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents", "doc_id", "text", "lang")
     held = F.coalesce(unsigned_crc32(F.col("doc_id")) % 4 == 2, F.lit(False))
-    model = language.fit(documents.where(~held))
+    model = language.learn(documents.where(~held))
     guessed = language.predict(documents.select("doc_id", "text"), model)
     return guessed.select("doc_id", held.alias("held_out"), F.col("guess.lang").alias("lang_pred"), "guess.score", "guess.rejected")
 

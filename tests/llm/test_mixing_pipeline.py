@@ -73,6 +73,21 @@ def test_pipeline_stages(spark):
         position += r.n_tokens
 
 
+def test_empty_and_unlabelled_tables(spark, tmp_path):
+    benchmark = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    rows = [(1, "some words here"), (2, None), (3, "12 34"), (4, "other words there"), (None, "x y z")]
+    for name, some in (("empty", []), ("unlabelled", rows)):
+        folder = str(tmp_path / name)
+        documents(spark, some).write.parquet(f"{folder}/documents.parquet")
+        benchmark.write.parquet(f"{folder}/benchmark.parquet")
+        got = QUERIES["op4_language_id"](spark, folder).collect()
+        assert len(got) == len(some) and all((r.lang_pred, r.score, r.rejected) == ("und", 0.0, True) for r in got)
+        kept = corpus_pipeline.known_language(spark, documents(spark, some), folder)
+        assert {r.doc_id for r in kept.collect()} == ({1, 4, None} if some else set())
+        out = corpus_pipeline.run(spark, folder)
+        assert {r.doc_id for r in out.collect()} <= {1, 4, None} and (some or out.count() == 0)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_runs_over_all_rows(spark, name):
     if name in ORACLES:
