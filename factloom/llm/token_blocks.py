@@ -70,14 +70,15 @@ class Encoder(dict):
     """Units of text to id bytes of the given width through a tokenizer file; what was encoded is remembered (and dropped when full).
 
     A unit of letters, with or without a blank before it, is one piece to byte-level BPE, so the library's model takes it as it is; marks after letters and a line end before a word
-    are pieces of their own. Everything else goes through the whole library."""
+    are pieces of their own. Everything else goes through the whole library, as do texts that contain an added token of the file, which is one id there."""
 
     def __init__(self, tokenizer_file: str, unit_pattern: str | None):
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.library = Tokenizer.from_file(tokenizer_file)
-        self.library.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.added = "|".join(added) or None
         self.model = self.library.model
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
@@ -158,9 +159,12 @@ class Encoder(dict):
             return self.whole(texts.to_pylist())
         odd = pc.match_substring_regex(texts, BLANK_AFTER_BLANK).to_numpy(zero_copy_only=False)
         out: list = [None] * len(texts)
-        for i in np.flatnonzero(odd).tolist():
+        named = pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False) if self.added else np.zeros(len(texts), bool)
+        for i in np.flatnonzero(named).tolist():
+            out[i] = self.whole([texts[i].as_py()])[0]
+        for i in np.flatnonzero(odd & ~named).tolist():
             out[i] = b"".join(map(self.__getitem__, self.units.findall(texts[i].as_py())))
-        plain = np.flatnonzero(~odd)
+        plain = np.flatnonzero(~odd & ~named)
         if not len(plain):
             return out
         cut = pc.split_pattern(texts.take(pa.array(plain)), " ")

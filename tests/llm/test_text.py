@@ -84,6 +84,15 @@ def test_units_encode_as_whole_texts():
     assert [bytes(x) for x in cut] == [bytes(x) for x in whole]
 
 
+def test_added_tokens_are_one_id():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(BPE)
+    texts = ["it's <|endoftext|> done", "a<|endoftext|>b", "<|endoftext|>", "x  <|endoftext|>\n\n<|endoftext|> y", "<|endoftext| >", "no token", ""]
+    got = [np.frombuffer(x, "<u2").tolist() for x in token_blocks.Encoder(BPE, token_blocks.UNIT).encode(pa.array(texts))]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts] and got[2] == [50256]
+
+
 def test_planes():
     ids = np.arange(1000, dtype=np.uint32) * 37 % 50257
     for kind in ("byte", "bit"):
