@@ -132,3 +132,82 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     return lm_scoring.score(table(spark, folder, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+# CRC-32 in SQL: a table of 256 values, folded over the bytes of a text.
+CRC_TABLE = """
+crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) AS r(i))"""
+
+
+def sql_crc32(text: str) -> str:
+    """CRC-32 of a text that is not empty; the query needs ``crc`` in its FROM clause."""
+    octets = f"list_transform(range(0, octet_length(encode({text}))), lambda j: ('0x' || substr(hex(encode({text})), 2 * j + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295)"
+
+
+from factloom.llm import importance  # noqa: E402
+
+
+@query("op12_importance_resampling", rf"""
+WITH {CRC_TABLE},
+texts AS (
+  SELECT 0 AS side, row_number() OVER () AS row, doc_id, text FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+words AS (
+  SELECT side, row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+dealt AS (SELECT word, {sql_crc32("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM words), crc),
+counts AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0)::BIGINT AS s, coalesce(sum(n) FILTER (side = 1), 0)::BIGINT AS t
+  FROM (SELECT side, word, count(*) AS n FROM words GROUP BY side, word) JOIN dealt USING (word) GROUP BY bucket),
+sums AS (SELECT coalesce(sum(s), 0)::DOUBLE AS big_s, coalesce(sum(t), 0)::DOUBLE AS big_t FROM counts),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (big_s + 10000) / ((s + 1)::DOUBLE * (big_t + 10000))))::BIGINT AS gain FROM counts, sums),
+weights AS (
+  SELECT row, count(*)::BIGINT AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM words JOIN dealt USING (word) JOIN gains USING (bucket) WHERE side = 0 GROUP BY row),
+scored AS (
+  SELECT doc_id, row, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM texts LEFT JOIN weights USING (row) WHERE side = 0),
+ranks AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, row) AS rank, floor(10 * count(*) OVER () / 100) AS drawn FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END::BIGINT AS rank FROM scored LEFT JOIN ranks USING (row)
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.rank(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "text"))
+
+
+from factloom.llm import prefix_trie  # noqa: E402
+
+
+@query("op13_conversation_prefix_trie", f"""
+WITH {CRC_TABLE},
+turns AS (
+  SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS position
+  FROM conversations),
+convs AS (SELECT conv, conv - conv % 5 AS base, {sql_crc32("conv::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv FROM turns WHERE conv IS NOT NULL), crc),
+kept AS (
+  SELECT c.conv, t.role, t.text, 0 AS part, t.position FROM convs c JOIN turns t ON t.conv = c.base WHERE t.position < c.h
+  UNION ALL SELECT c.conv, t.role, t.text, 1, t.position FROM convs c JOIN turns t ON t.conv = c.conv WHERE t.position >= c.h),
+steps AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY part, position) AS depth FROM kept
+  UNION ALL SELECT conv, '', '', -1, 0, 0 FROM convs),
+paths AS (
+  SELECT conv, depth, text, CASE WHEN depth = 0 THEN '' ELSE string_agg(CASE WHEN depth > 0 THEN sha256(length(role) || ':' || role || text) END, '') OVER w END AS prefix
+  FROM steps WINDOW w AS (PARTITION BY conv ORDER BY depth)),
+keyed AS (SELECT conv, depth, text, sha256(prefix) AS node, lag(sha256(prefix)) OVER (PARTITION BY conv ORDER BY depth) AS parent, max(depth) OVER (PARTITION BY conv) AS top FROM paths),
+nodes AS (
+  SELECT depth, node, any_value(parent) AS parent, min(conv) AS rep, count(*) AS n, (count(*) - 1) * octet_length(encode(any_value(text))) AS saved,
+    sha256(coalesce(string_agg(conv::VARCHAR, ',' ORDER BY conv) FILTER (depth = top), '')) AS ends
+  FROM keyed GROUP BY depth, node),
+kids AS (SELECT parent, count(*) AS n_kids FROM nodes WHERE depth > 0 GROUP BY parent),
+counted AS (SELECT nodes.*, coalesce(n_kids, 0) AS n_kids FROM nodes LEFT JOIN kids ON kids.parent = node),
+sums AS (
+  SELECT k.node, sum(CASE WHEN c.n_kids = 0 THEN 1 ELSE 0 END) AS leaves, sum(c.saved) AS saved
+  FROM counted c JOIN keyed k ON k.conv = c.rep AND k.depth <= c.depth GROUP BY k.node)
+SELECT c.rep AS conv_id, c.depth::BIGINT AS depth, p.rep AS parent_conv_id, c.n::BIGINT AS n_convs, c.n_kids::BIGINT AS n_children, leaves::BIGINT AS n_leaves,
+  sums.saved::BIGINT AS saved_tokens, c.ends AS ends_sha256
+FROM counted c JOIN sums USING (node) LEFT JOIN nodes p ON p.node = c.parent
+""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, folder, "conversations", "conv_id", "turn", "role", "text"))
