@@ -211,3 +211,22 @@ FROM counted c JOIN sums USING (node) LEFT JOIN nodes p ON p.node = c.parent
 """)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.trie(table(spark, folder, "conversations", "conv_id", "turn", "role", "text"))
+
+
+from factloom.llm import superkmer_dedup  # noqa: E402
+
+
+@query("op11_superkmer_dedup", r"""
+WITH split AS (SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+windows AS (SELECT row, doc_id, i, md5(array_to_string(words[i : i + 12], ' ')) AS content FROM (SELECT *, unnest(range(1, len(words) - 11)) AS i FROM split WHERE len(words) >= 13)),
+firsts AS (SELECT content, min(doc_id) AS first_doc FROM windows GROUP BY content),
+covered AS (
+  SELECT DISTINCT row, unnest(range(i, i + 13)) AS place FROM windows JOIN firsts USING (content) WHERE doc_id > first_doc),
+placed AS (SELECT row, unnest(range(1, len(words) + 1)) AS place, unnest(words) AS word FROM split),
+kept AS (
+  SELECT row, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n FROM placed ANTI JOIN covered USING (row, place) GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM split LEFT JOIN kept USING (row)
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    cut = superkmer_dedup.remove_repeats(table(spark, folder, "documents", "doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
