@@ -3,9 +3,11 @@
 A page is cut into blocks at block-level tags; inside a block markup is dropped, character references are decoded and white space becomes one space. Per block: word count and link density, those of the
 blocks before and after it, and two facts of its place: inside a container that holds page furniture (nav, header, footer, aside, form, or an element
 whose class, id or role says menu, advert, comment, ...), and inside article or main. A CART decision tree, fitted to the small labelled table below, decides
-which blocks are main text. Scripts, styles, comments, titles and other invisible elements are no blocks. Everything happens within a row.
+which blocks are main text. Comments and invisible elements are no blocks: scripts, styles, titles and text areas are passed over to their own end tag, whatever stands in them;
+buttons, selects, svg, noscript and the like are elements as others, not seen while open. Everything happens within a row.
 
-Edge cases: null and empty pages have no text; unclosed and unknown tags, stray < and truncated pages are read as far as they go; text outside any tag is a block; other
+Edge cases: null and empty pages have no text; unclosed and unknown tags, stray < and truncated pages are read as far as they go; a script or style without end takes the rest of the page, other
+invisible elements without end take nothing but what stands before the next block, a button or select never more than that; text outside any tag is a block; other
 columns pass through, one named like the result is replaced; an empty table gives an empty result.
 """
 
@@ -23,7 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # --- fixed values: HTML ---------------------------------------------------------------------
-INVISIBLE = ("script", "style", "noscript", "template", "title", "iframe", "object", "svg", "math", "canvas", "audio", "video", "select", "textarea", "button")
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())  # their content is no markup
+UNENDED = frozenset(("script", "style"))  # raw to the end of the page where the end tag is missing
+INVISIBLE = frozenset("noscript template object svg math canvas audio video select button datalist".split())
+INLINE_ONLY = frozenset(("select", "button", "datalist"))  # hold no blocks but OPTIONS
+OPTIONS = ("option", "optgroup")
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr "
     "html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -102,7 +108,19 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
     said: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: tag, furniture, content
-    skip, anchors, bad, good = "", 0, 0, 0
+    anchors, bad, good, hidden = 0, 0, 0, 0
+    last_end: dict[str, int] = {}
+
+    def ends_after(tag: str, at: int) -> bool:
+        if tag not in last_end:
+            last_end[tag] = lowered.rfind(f"</{tag}")
+        return last_end[tag] >= at
+
+    def leave(i: int) -> None:
+        nonlocal bad, good, hidden
+        for name, f, c in stack[i:]:
+            bad, good, hidden = bad - f, good - c, hidden - (name in INVISIBLE)
+        del stack[i:]
 
     def close() -> None:
         text = " ".join(html.unescape("".join(said)).split())
@@ -113,38 +131,48 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
         said.clear()
         linked.clear()
 
-    for m in TOKEN.finditer(page):
+    lowered, at = page.encode(errors="replace").lower().decode(), 0  # ASCII only: offsets stay
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        at = m.end()
         tag = m[2]
         if tag is None:
             piece = m[0]
-            if skip or piece[:2] in ("<!", "<?"):
+            if hidden or piece[:2] in ("<!", "<?"):
                 continue
             said.append(piece)
             if anchors:
                 linked.append(piece)
             continue
         tag, ending = tag.lower(), bool(m[1])
-        if skip:
-            skip = "" if ending and tag == skip else skip
-            continue
-        if not ending and tag in INVISIBLE:
-            if not m[3].endswith("/"):
-                skip = tag
+        if tag in RAW:
             said.append(" ")
+            if not ending:
+                end = lowered.find(f"</{tag}", at)
+                at = end if end >= 0 else len(page) if tag in UNENDED else at
             continue
-        if tag in BLOCKS:
+        if not ending and tag not in OPTIONS and (tag in BLOCKS or tag in INLINE_ONLY):
+            # A button or select that was not closed ends at the next block, button or select.
+            i = len(stack) - 1
+            while i >= 0 and stack[i][0] in OPTIONS:
+                i -= 1
+            if i >= 0 and stack[i][0] in INLINE_ONLY:
+                leave(i)
+        if tag in BLOCKS and not hidden:
             close()
-        elif tag == "br":
+        elif tag == "br" or tag in INVISIBLE:
             said.append(" ")
         if tag == "a":
             anchors = max(0, anchors - 1) if ending else 1
         if ending:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    for _, f, c in stack[i:]:
-                        bad, good = bad - f, good - c
-                    del stack[i:]
+                    leave(i)
                     break
+        elif tag in INVISIBLE:
+            if not m[3].endswith("/") and (tag in INLINE_ONLY or ends_after(tag, at)):
+                stack.append((tag, False, False))
+                hidden += 1
         elif tag not in VOID and not m[3].endswith("/"):
             is_bad = tag not in ("html", "body") and furniture(tag, m[3])
             # A heading's header inside the article is part of it.
@@ -153,8 +181,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             is_good = tag in CONTENT
             if is_bad or is_good or tag in BLOCKS:
                 if tag in ("p", "li") and stack and stack[-1][0] == tag:  # closed by the next one
-                    _, f, c = stack.pop()
-                    bad, good = bad - f, good - c
+                    leave(len(stack) - 1)
                 stack.append((tag, is_bad, is_good))
                 bad, good = bad + is_bad, good + is_good
     close()

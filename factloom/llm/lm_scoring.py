@@ -6,8 +6,9 @@ the product over its words and the end. Piece scores start from the file's (rank
 maximisation: each round a task sums expected counts over its part of the vocabulary, and one number per piece (a fixed number) reaches the driver. Every
 single byte is a piece too, so any text has a probability.
 
-Counting and scoring go by distinct word: tasks reduce blocks of consecutive rows to their distinct words, which are summed to the corpus vocabulary with training counts
-and the blocks that ask; each distinct word is scored once, the answers go back to the blocks that asked, where the texts are shuffled to once. Nothing but piece scores is broadcast.
+Counting and scoring go by distinct word: tasks reduce blocks of rows to their distinct words, which are summed to the corpus vocabulary with training counts
+and the blocks that ask; a word is scored once for each ``SALT_PARTS`` input partitions that hold it, so no row lists more blocks than those have. The answers go back to the blocks that asked, where
+the texts are shuffled to once. The longer a text, the fewer rows share its block, so a block holds ``block_rows`` times ``SHORT`` bytes at most, or one text. Nothing but piece scores is broadcast.
 
 Edge cases: null and empty texts are one end token; null ids are scored but not learned from; rows that repeat an id are scored each; without training rows
 counts are zero and the initial piece scores remain; an empty table gives an empty result; extra columns are ignored.
@@ -21,13 +22,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import LOWER, SPACED, as_bytes, numbered, per_text, prefix_hashes, slices, span_hashes, stored, unsigned_crc32, word_spans
+from factloom.llm.common import LOWER, SPACED, as_bytes, numbered, partitions, per_text, prefix_hashes, slices, span_hashes, stored, unsigned_crc32, word_spans
 
 ROW = "_row"
-BLOCK_ROWS = 1 << 12
+BLOCK_ROWS = 1 << 12  # rows of up to SHORT bytes are a block; half as many of up to twice that, and so on
+SHORT = 1 << 14
+SALT_PARTS = 128
+CHUNK_BYTES = 8 << 20
 ROUNDS = 2
 LONG_WORD = 256
 SMOOTHING = 0.1
@@ -144,40 +148,51 @@ def score_words(pieces: Pieces, logp: np.ndarray, words: list[bytes], weights: n
     return scores, expected
 
 
-def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each block of rows, with the number of times they occur in training rows."""
+def block_of(row: Column, n_bytes: Column, bits: int) -> Column:
+    """Number of a row's block: 2**bits rows with numbers close together, fewer the longer the texts; blocks hold lengths of one class."""
+    times = F.greatest(n_bytes, F.lit(SHORT)) / F.lit(float(SHORT))
+    length_class = F.least(F.lit(min(bits, 15)), F.ceil(F.log2(times))).cast("int")
+    return F.call_function("shiftright", row, bits - length_class) * 16 + length_class
+
+
+def first_row(block: Column, bits: int) -> Column:
+    return F.call_function("shiftleft", F.shiftright(block, 4), bits - block.bitwiseAND(F.lit(15)).cast("int"))
 
-    def reduced(block: int, found: list[tuple]) -> Iterator[pa.RecordBatch]:
-        hashes, train = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        counts = np.bincount(inverse, train, len(distinct)).astype(np.int64)
+
+def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of each block in a chunk of rows, with the number of times they occur in training rows. Rows may come in any order."""
+
+    def reduced(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        blocks, hashes, train = (np.concatenate(c) for c in list(zip(*found))[:3])
+        order = np.lexsort((hashes, blocks))
+        blocks, hashes, train = blocks[order], hashes[order], train[order]
+        heads = np.flatnonzero(np.append(True, (blocks[1:] != blocks[:-1]) | (hashes[1:] != hashes[:-1])))
+        counts = np.add.reduceat(train.astype(np.int64), heads)
         edges = np.cumsum([0, *(len(f[0]) for f in found)])
-        part = np.searchsorted(edges, first, side="right") - 1
+        at = order[heads]
+        part = np.searchsorted(edges, at, side="right") - 1
         words: list[bytes] = []
-        for p, i in zip(part.tolist(), (first - edges[part]).tolist()):
-            _, _, data, starts, ends = found[p]
+        for p, i in zip(part.tolist(), (at - edges[part]).tolist()):
+            data, starts, ends = found[p][3:]
             words.append(data[starts[i] : ends[i]])
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.full(len(words), block)), pa.array(counts)], names=["word", "block", "count"])
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(blocks[heads]), pa.array(counts)], names=["word", "block", "count"])
 
-    block, found = None, []
+    found, size = [], 0
     for batch in batches:
         raw, offs = as_bytes(batch.column("text"))
         blocks, train = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "train"))
-        for a, b, part, at in slices(raw, offs):
+        for a, _, part, at in slices(raw, offs):
             starts, ends, first = word_spans(part, at, SPACED)
-            hashes = span_hashes(prefix_hashes(part, lower=True), starts, ends)
-            owner = a + per_text(first, len(hashes))
-            data = LOWER[part].tobytes()
-            for number in np.unique(blocks[a:b]).tolist():
-                if number != block:
-                    if found:
-                        yield from reduced(block, found)
-                    block, found = number, []
-                mine = slice(*np.searchsorted(blocks[owner], [number, number + 1]).tolist())
-                if mine.stop > mine.start:
-                    found.append((hashes[mine], train[owner[mine]], data, starts[mine].tolist(), ends[mine].tolist()))
+            if len(starts):
+                hashes = span_hashes(prefix_hashes(part, lower=True), starts, ends)
+                owner = a + per_text(first, len(hashes))
+                found.append((blocks[owner], hashes, train[owner], LOWER[part].tobytes(), starts.tolist(), ends.tolist()))
+            size += len(part)
+            if found and size >= CHUNK_BYTES:
+                yield from reduced(found)
+                found, size = [], 0
     if found:
-        yield from reduced(block, found)
+        yield from reduced(found)
 
 
 def expectations(shared, model_file: str):
@@ -224,7 +239,10 @@ def score_block(train_tokens: int, vocabulary: int, end_count: int, end_score: f
         raw, offs = as_bytes(texts.column("text"))
         for a, b, part, at in slices(raw, offs):
             starts, ends, first = word_spans(part, at, SPACED)
-            where = np.searchsorted(hashes, span_hashes(prefix_hashes(part, lower=True), starts, ends))
+            wanted = span_hashes(prefix_hashes(part, lower=True), starts, ends)
+            where = np.minimum(np.searchsorted(hashes, wanted), max(len(hashes) - 1, 0))
+            if len(wanted) and not (len(hashes) and np.array_equal(hashes[where], wanted)):
+                raise ValueError("a word of the block has no answer")
             owner, n = per_text(first, len(where)), b - a
             n_tokens.append(np.diff(first) + 1)
             n_known.append(np.bincount(owner, count[where] > 0, n) + (end_count > 0))
@@ -241,32 +259,40 @@ def score_block(train_tokens: int, vocabulary: int, end_count: int, end_score: f
 
 
 def score(documents: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability of the text) of every row.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability of the text) of every row; ``block_rows`` is a power of two.
 
     Rows whose crc32(id) mod 10 is not 0 are learned from."""
-    spark = documents.sparkSession
+    spark, bits = documents.sparkSession, block_rows.bit_length() - 1
     held = F.coalesce(unsigned_crc32(F.col(id_col)) % 10 == 0, F.lit(False))
     rows = numbered(documents.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out"),
         (~held & F.col(id_col).isNotNull()).alias("train"),
-    ), "numbered", ROW).withColumn("block", F.floor(F.col(ROW) / block_rows).cast("long"))
+    ), "numbered", ROW).withColumn("block", block_of(F.col(ROW), F.octet_length("text"), bits))
+    n_parts = partitions(spark)
     asked = rows.select("text", "block", "train").mapInArrow(block_words, "word binary, block long, count long")
-    vocabulary = stored(asked.groupBy("word").agg(F.sum("count").alias("count"), F.collect_list("block").alias("blocks")), "vocabulary")
-    counted = vocabulary.where("count > 0").select("word", "count")
+    part = F.shiftright(first_row(F.col("block"), bits), 33)  # the partition the rows were numbered in
+    salted = asked.withColumn("salt", F.floor(part / SALT_PARTS).cast("long"))
+    # Dealt by word once: neither the blocks of a salt nor the sum over a word's few salts needs another exchange.
+    asking = salted.repartition(n_parts, "word").groupBy("word", "salt").agg(F.sum("count").alias("part"), F.collect_set("block").alias("blocks"))
+    of_word = Window.partitionBy("word")
+    vocabulary = stored(asking.select(
+        "word", "blocks", F.sum("part").over(of_word).alias("count"), (F.row_number().over(of_word.orderBy("salt")) == 1).alias("head"),
+    ), "vocabulary")
+    counted = vocabulary.where("count > 0 and head").select("word", "count")
     totals = counted.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
     texts = rows.where("train").count()
     tokens, distinct = totals["tokens"] + texts, totals["distinct"] + (texts > 0)
     pieces = pieces_of(model_file)
     logp, end = pieces.initial, math.log(1 - 1 / 1.01)
-    for _ in range(rounds if texts else 0):
+    for _ in range(rounds if texts else 0):  # few bytes, much work: dealt by number of words, not by size of files
         shared = spark.sparkContext.broadcast(logp)
-        sums = counted.mapInArrow(expectations(shared, model_file), "piece long, expected double").groupBy("piece").agg(F.sum("expected").alias("expected")).collect()
+        sums = counted.repartition(n_parts, "word").mapInArrow(expectations(shared, model_file), "piece long, expected double").groupBy("piece").agg(F.sum("expected").alias("expected")).collect()
         expected = np.full(len(pieces.pieces), SMOOTHING)
         for r in sums:
             expected[r["piece"]] += r["expected"]
         logp, end = np.log(expected / (expected.sum() + texts)), math.log(texts / (expected.sum() + texts))
     shared = spark.sparkContext.broadcast(logp)
-    replies = vocabulary.mapInArrow(answers(shared, model_file), "hash long, count long, score double, blocks array<long>")
+    replies = vocabulary.select("word", "count", "blocks").mapInArrow(answers(shared, model_file), "hash long, count long, score double, blocks array<long>")
     replies = replies.select(F.explode("blocks").alias("block"), "hash", "count", "score")
     scored = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.select("doc_id", "text", "held_out", "block").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(

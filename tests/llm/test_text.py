@@ -165,6 +165,22 @@ def test_page_text():
     assert html_text.main_text("plain words without any tag that go on for a good while") != ""
 
 
+ARTICLE = "<article><h1>Title here</h1><p>" + "word " * 40 + "</p></article>"
+
+
+@pytest.mark.parametrize("before", [
+    "<script>for(var i=0;i<n;i++){x()}</script>", "<script>if(a<b)</script>", "<SCRIPT>x='</p><b'</SCRIPT >", "<style>a<b{}</style>", "<textarea>a<b</textarea>", "<title>a<b</title>",
+    "<button>Click", "<button>a</button><button>b", "<select><option>a<option>b", "<svg><path d='M'/>", "<svg><title>x<y</title></svg>", "<object>", "<noscript>on",
+    "<noscript><p>please turn on scripts</p></noscript>", "<template><article><p>" + "no " * 40 + "</p></article></template>",
+])
+def test_raw_and_invisible_elements_lose_no_text(before):
+    want = "Title here\n" + ("word " * 40).strip()
+    assert html_text.main_text("<html><body>" + before + ARTICLE) == want
+    assert html_text.main_text("<html><body><div>" + before + "</div>" + ARTICLE) == want
+    if not before.startswith(("<button>Click", "<select", "<object", "<noscript>on", "<svg><path", "<button>a")):
+        assert html_text.main_text("<html><body><article><h1>Title here</h1>" + before + "<p>" + "word " * 40) == want
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, PAGE, "old"), (None, None, None)], "page_id long, html string, text string")
     got = {x.page_id: x.text for x in html_text.extract(df).collect()}
@@ -219,10 +235,8 @@ def test_lattice_sums_all_segmentations():
     assert lm_scoring.lattice(pieces, logp, b" thndinged")[0][-1] == pytest.approx(got[1])
 
 
-def test_scores_against_counts(spark):
-    r = random.Random(4)
-    rows = [(i, " ".join(r.choice(["the", "Of", "ing", "thndinged", "é", f"rare{i}"]) for _ in range(r.randint(0, 30)))) for i in range(120)] + [(500, None), (None, "the of")]
-    got = lm_scoring.score(documents(spark, rows), PIECES, block_rows=16).collect()
+def check_base_scores(rows, got):
+    """Every row against counts of all tokens."""
     assert len(got) == len(rows)
     held = {i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
     counts = Counter(w for i, t in rows if i is not None and not held[i] for w in [*words(t), "END "])
@@ -232,5 +246,33 @@ def test_scores_against_counts(spark):
         assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (held[x.doc_id], len(tokens), sum(counts[w] > 0 for w in tokens), total)
         assert x.base_score == pytest.approx(sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in tokens))
         assert x.score < 0
+
+
+def test_scores_against_counts(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(["the", "Of", "ing", "thndinged", "é", f"rare{i}"]) for _ in range(r.randint(0, 30)))) for i in range(120)] + [(500, None), (None, "the of")]
+    check_base_scores(rows, lm_scoring.score(documents(spark, rows), PIECES, block_rows=16).collect())
     assert lm_scoring.score(documents(spark, odd_rows()), PIECES).count() == len(odd_rows())
     assert lm_scoring.score(documents(spark, []), PIECES).count() == 0
+
+
+@pytest.mark.parametrize("salt", [128, 1])
+def test_scores_of_files_in_any_order(spark, tmp_path, monkeypatch, salt):
+    monkeypatch.setattr(lm_scoring, "SALT_PARTS", salt)
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(lm_scoring, "SHORT", 64)
+    r = random.Random(7)
+    rows, files = [], [7, 90, 1, 40, 200, 3, 33, 60, 11, 155]  # Spark packs files into tasks by size, so numbers come in no order
+    for number, n in enumerate(files):
+        part = [(1000 * number + i, " ".join(r.choice(["the", f"only{number}", f"rare{number}x{i}", "", " "]) for _ in range(r.choice([0, 5, 30, 900])))) for i in range(n)]
+        documents(spark, part, 1).write.parquet(str(tmp_path / f"d/part={number}"))
+        rows += part
+    given = spark.read.parquet(str(tmp_path / "d"))
+    assert given.rdd.getNumPartitions() > 1
+    check_base_scores(rows, lm_scoring.score(given, PIECES, block_rows=16, rounds=1).collect())
+
+
+def test_words_of_a_block_in_any_order():
+    batch = pa.record_batch([pa.array(["a b", "c", "b d"]), pa.array([5, 2, 5]), pa.array([True, True, False])], names=["text", "block", "train"])
+    found = [r for b in lm_scoring.block_words(iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["block"], r["word"], r["count"]) for r in found) == [(2, b"c", 1), (5, b"a", 1), (5, b"b", 1), (5, b"d", 0)]
