@@ -29,9 +29,9 @@ from factloom.llm.common import LOWER, SPACED, as_bytes, numbered, partitions, p
 
 ROW = "_row"
 BLOCK_ROWS = 1 << 12  # rows of up to SHORT bytes are a block; half as many of up to twice that, and so on
-SHORT = 1 << 14
+SHORT = 1 << 15
 SALT_PARTS = 128
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 ROUNDS = 2
 LONG_WORD = 256
 SMOOTHING = 0.1
@@ -163,19 +163,17 @@ def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct words of each block in a chunk of rows, with the number of times they occur in training rows. Rows may come in any order."""
 
     def reduced(found: list[tuple]) -> Iterator[pa.RecordBatch]:
-        blocks, hashes, train = (np.concatenate(c) for c in list(zip(*found))[:3])
+        blocks, hashes, train, starts, ends = (np.concatenate(c) for c in list(zip(*found))[:5])
+        data = np.concatenate([f[5] for f in found])
         order = np.lexsort((hashes, blocks))
-        blocks, hashes, train = blocks[order], hashes[order], train[order]
+        blocks, hashes = blocks[order], hashes[order]
         heads = np.flatnonzero(np.append(True, (blocks[1:] != blocks[:-1]) | (hashes[1:] != hashes[:-1])))
-        counts = np.add.reduceat(train.astype(np.int64), heads)
-        edges = np.cumsum([0, *(len(f[0]) for f in found)])
-        at = order[heads]
-        part = np.searchsorted(edges, at, side="right") - 1
-        words: list[bytes] = []
-        for p, i in zip(part.tolist(), (at - edges[part]).tolist()):
-            data, starts, ends = found[p][3:]
-            words.append(data[starts[i] : ends[i]])
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(blocks[heads]), pa.array(counts)], names=["word", "block", "count"])
+        counts = np.add.reduceat(train[order].astype(np.int64), heads)
+        start, end = starts[order[heads]], ends[order[heads]]
+        offsets = np.append(0, np.cumsum(end - start))
+        letters = data[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], end - start)]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(heads), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([words, pa.array(blocks[heads]), pa.array(counts)], names=["word", "block", "count"])
 
     found, size = [], 0
     for batch in batches:
@@ -184,11 +182,10 @@ def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, _, part, at in slices(raw, offs):
             starts, ends, first = word_spans(part, at, SPACED)
             if len(starts):
-                hashes = span_hashes(prefix_hashes(part, lower=True), starts, ends)
-                owner = a + per_text(first, len(hashes))
-                found.append((blocks[owner], hashes, train[owner], LOWER[part].tobytes(), starts.tolist(), ends.tolist()))
-            size += len(part)
-            if found and size >= CHUNK_BYTES:
+                owner = a + per_text(first, len(starts))
+                found.append((blocks[owner], span_hashes(prefix_hashes(part, lower=True), starts, ends), train[owner], starts + size, ends + size, LOWER[part]))
+                size += len(part)
+            if size >= CHUNK_BYTES:
                 yield from reduced(found)
                 found, size = [], 0
     if found:
