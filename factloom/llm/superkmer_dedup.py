@@ -33,7 +33,7 @@ from factloom.llm.common import SLICE_BYTES, SPACED, as_bytes, mix, partitions,
 
 WINDOW, MINIMISER = 13, 2
 CHUNK_BYTES, PART_BYTES, BIN_BYTES, SLICE, SEND_ROWS = 16 << 20, 4 << 20, 32 << 20, 2 << 20, 20_000
-FEW, MANY, BINS = 8, 4096, 8
+FEW, MANY, BINS = 64, 4096, 8
 POSITION_BITS = 24
 DOC, HASH = "_doc", "_hash"
 RUN, DIGEST, SPAN = 0, 1, 2
