@@ -105,7 +105,6 @@ def score_words(pieces: Pieces, logp: np.ndarray, words: list[bytes], weights: n
     Words of one length are scored together, position by position."""
     scores, expected = np.zeros(len(words)), np.zeros(len(pieces.pieces))
     lengths = np.array([len(w) for w in words])
-    padded = np.append(logp, -np.inf)
     for n in np.unique(lengths):
         group = np.flatnonzero(lengths == n)
         if n > LONG_WORD:
@@ -124,27 +123,27 @@ def score_words(pieces: Pieces, logp: np.ndarray, words: list[bytes], weights: n
             m = len(some)
             prefix = prefix_hashes(np.frombuffer(b"".join(words[i] for i in some), np.uint8))
             base = np.arange(m) * n
-            ids, forward = {}, np.full((n + 1, m), -np.inf)
+            # Edges of all words' lattices: where a piece was found, in which words.
+            edges, forward = {}, np.full((n + 1, m), -np.inf)
             forward[0] = 0
             for end in range(1, n + 1):
                 for start in range(max(0, end - pieces.longest), end):
                     found = pieces.find(span_hashes(prefix, base + start, base + end))
-                    if (found >= 0).any():
-                        ids[start, end] = found
-                        forward[end] = np.logaddexp(forward[end], forward[start] + padded[found])
+                    has = np.flatnonzero(found >= 0)
+                    if len(has):
+                        edges[start, end] = has, found[has]
+                        forward[end, has] = np.logaddexp(forward[end, has], forward[start, has] + logp[found[has]])
             scores[some] = forward[n]
             if weights is None:
                 continue
             backward = np.full((n + 1, m), -np.inf)
             backward[n] = 0
-            for start in range(n - 1, -1, -1):
-                for end in range(start + 1, min(n, start + pieces.longest) + 1):
-                    if (start, end) in ids:
-                        backward[start] = np.logaddexp(backward[start], padded[ids[start, end]] + backward[end])
-            for (start, end), found in ids.items():
-                has = np.flatnonzero(found >= 0)
-                share = np.exp(forward[start, has] + padded[found[has]] + backward[end, has] - forward[n, has])
-                expected += np.bincount(found[has], share * weights[some[has]], len(expected))
+            for start, end in sorted(edges, reverse=True):
+                has, found = edges[start, end]
+                backward[start, has] = np.logaddexp(backward[start, has], logp[found] + backward[end, has])
+            for (start, end), (has, found) in edges.items():
+                share = np.exp(forward[start, has] + logp[found] + backward[end, has] - forward[n, has])
+                expected += np.bincount(found, share * weights[some[has]], len(expected))
     return scores, expected
 
 
@@ -192,10 +191,23 @@ def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from reduced(found)
 
 
+def many(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Batches joined to at least so many rows: words of one length are scored together."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def expectations(shared, model_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, total = pieces_of(model_file), None
-        for batch in batches:
+        for batch in many(batches):
             words = [b" " + w for w in batch.column("word").to_pylist()]
             _, expected = score_words(pieces, shared.value, words, batch.column("count").to_numpy().astype(float))
             total = expected if total is None else total + expected
@@ -211,7 +223,7 @@ def answers(shared, model_file: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model_file)
-        for batch in batches:
+        for batch in many(batches):
             words = batch.column("word").to_pylist()
             scores, _ = score_words(pieces, shared.value, [b" " + w for w in words])
             raw, offs = as_bytes(batch.column("word").cast(pa.large_binary()).view(pa.large_string()))
