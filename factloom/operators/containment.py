@@ -1,78 +1,87 @@
-"""Which documents contain a passage verbatim, without comparing every pair.
+"""Which documents contain a passage verbatim: all passages at once, in one pass over the texts.
 
-A passage that occurs in a document brings its inner words along whole: white-space-separated
-words, first and last excepted (those may be parts of longer words there). Runs of inner words
-are therefore exact join keys. Every passage is reduced to one such run, documents emit the runs
-at their own word positions, and only matching pairs are checked with a substring test.
+The passages of a block of bounded size form one automaton (Aho-Corasick), which reads a text once and reports every passage that occurs in it, however many there are and wherever they
+overlap. Nothing but hits is shuffled or joined; more passages than a block holds cost one more pass for each block.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from factloom.functions.text import SPACE
 from factloom.operators.gates import union_all
-
-RUN = 3
-
-
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
-
-
-def _run_hash(words: Column, start: Column, size: int) -> Column:
-    """Hash of `size` words from the 1-based position `start`."""
-    return F.xxhash64(*[F.get(words, start - 1 + k) for k in range(size)])
-
-
-def _word_runs(text: Column, size: int) -> Column:
-    def runs(words: Column) -> Column:
-        starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1))
-        return F.transform(starts, lambda i: _run_hash(words, i, size))
-
-    return F.get(F.transform(F.array(_words(text)), runs), 0)
-
-
-def _char_runs(text: Column, size: int) -> Column:
-    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
-    return F.transform(starts, lambda i: F.xxhash64(F.substring(text, i, F.lit(size))))
+from factloom.session import cut_lineage
+
+# Characters of passages that are sent to every executor at a time; a node of the automaton takes about a hundred bytes.
+BLOCK_CHARS = 500_000
+_BUILT: dict[str, object] = {}
+
+
+def _automaton(name: str, passages: list[str]):
+    """Built once in each Python worker; the one before is given back."""
+    import ahocorasick
+
+    if name not in _BUILT:
+        _BUILT.clear()
+        made = ahocorasick.Automaton()
+        for number, passage in enumerate(passages):
+            made.add_word(passage, number)
+        made.make_automaton()
+        _BUILT[name] = made
+    return _BUILT[name]
+
+
+def _blocks(passages: DataFrame, passage_id: str) -> Iterator[dict[str, list]]:
+    """Different passages and the ids of each, a block at a time."""
+    held: dict[str, list] = {}
+    size = 0
+    for row in passages.select(passage_id, "passage").filter("passage <> ''").toLocalIterator():
+        new = 0 if row["passage"] in held else len(row["passage"])
+        if held and size + new > BLOCK_CHARS:
+            yield held
+            held, size, new = {}, 0, len(row["passage"])
+        held.setdefault(row["passage"], []).append(row[passage_id])
+        size += new
+    if held:
+        yield held
 
 
 def passages_in(docs: DataFrame, passages: DataFrame, doc_id: str, passage_id: str) -> DataFrame:
-    """(passage_id, doc_id) for docs (doc_id, text) and passages (passage_id, passage).
-
-    Passages with too few inner words for a run use one inner word, those without any use their
-    leading characters; each is an exact equi-join. Texts stay out of the candidate join and
-    meet the few candidates afterwards."""
-    inner = passages.filter("passage <> ''").withColumn("w", _words(F.col("passage"))).withColumn(
-        "inner", F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
-    )
-
-    def anchored(members: DataFrame, anchor: Column, runs: Column) -> DataFrame:
-        keys = members.select(passage_id, anchor.alias("run"))
-        return docs.select(doc_id, F.explode(F.array_distinct(runs)).alias("run")).join(keys, "run").select(passage_id, doc_id)
-
-    def words(size: int, members: DataFrame) -> DataFrame:
-        anchor = _run_hash(F.col("inner"), F.lit(1), size)
-        return anchored(members, anchor, _word_runs(F.col("text"), size))
-
-    def chars(size: int, members: DataFrame) -> DataFrame:
-        return anchored(members, F.xxhash64(F.substring("passage", 1, size)), _char_runs(F.col("text"), size))
-
-    n_inner, n_chars = F.size("inner"), F.length("passage")
-    candidates = union_all(
-        [
-            words(RUN, inner.filter(n_inner >= RUN)),
-            words(1, inner.filter(n_inner.between(1, RUN - 1))),
-            chars(RUN, inner.filter((n_inner < 1) & (n_chars >= RUN))),
-            chars(1, inner.filter((n_inner < 1) & (n_chars < RUN))),
-        ]
-    ).distinct()
-    return (
-        docs.select(doc_id, "text")
-        .join(candidates, doc_id)
-        .join(passages.select(passage_id, "passage"), passage_id)
-        .filter(F.contains(F.col("text"), F.col("passage")))
-        .select(passage_id, doc_id)
-    )
+    """(passage_id, doc_id) for docs (doc_id, text) and passages (passage_id, passage); empty and NULL passages are in no document.
+
+    The hits of a block of passages are stored before the next block is read; those of the last block stay lazy."""
+    spark = docs.sparkSession
+    output = T.StructType().add(passage_id, passages.schema[passage_id].dataType).add(doc_id, docs.schema[doc_id].dataType)
+    arrow = to_arrow_schema(output)
+
+    def task(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            name, block = shared.value
+            automaton = _automaton(name, list(block))
+            known = pa.array([i for ids in block.values() for i in ids], arrow.field(0).type)
+            ends = np.cumsum([0, *map(len, block.values())]).tolist()
+            for batch in batches:
+                rows, found = [], []
+                for i, text in enumerate(batch.column("text").to_pylist()):
+                    for number in {n for _, n in automaton.iter(text)} if text else ():
+                        found += range(ends[number], ends[number + 1])
+                        rows += [i] * (ends[number + 1] - ends[number])
+                yield pa.RecordBatch.from_arrays([known.take(pa.array(found, pa.int64())), batch.column(doc_id).take(pa.array(rows, pa.int64()))], schema=arrow)
+
+        return run
+
+    parts, shared = [], None
+    for block in _blocks(passages, passage_id):
+        if shared is not None:
+            parts[-1] = cut_lineage(parts[-1])
+            shared.unpersist()
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
+        parts.append(docs.select(doc_id, F.col("text")).mapInArrow(task(shared), output))
+    return union_all(parts) if parts else spark.createDataFrame([], output)

@@ -19,6 +19,8 @@ from factloom.operators.ranking import allowed, best, hits_of, id_places, metada
 
 # Vector elements of the queries that are sent to every executor at a time.
 BLOCK_VALUES = 4_000_000
+# Scores (vectors times queries) a task computes at a time.
+PRODUCT = 4_000_000
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -51,21 +53,19 @@ def dense_search(corpus: DataFrame, queries: DataFrame, top_k: int = scope.DEFAU
         return _unit(_matrix(pa.array(questions.pop("vector"), pa.list_(pa.float64()))))
 
     def score(batch: pa.RecordBatch, questions: pd.DataFrame, asked_units: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-        rows, units = batch.drop_columns(["embedding"]).to_pandas(), _unit(_matrix(batch.column("embedding")))
-        if units.shape[1] != asked_units.shape[1]:
-            raise ValueError(f"vectors have {units.shape[1]} dimensions, queries {asked_units.shape[1]}")
-        ids = rows[id_col].to_numpy()
-        places = id_places(ids)
-        similarity = None if scoped else units @ asked_units.T
-        found = []
-        for j, question in enumerate(questions.itertuples(index=False)):
-            if scoped:
-                own = np.flatnonzero(allowed(rows, question, scoped))
-                scores = units[own] @ asked_units[j]
-            else:
-                own, scores = np.arange(len(ids)), similarity[:, j]
-            pick = best(places[own], scores, k)
-            found.append((j, own[pick], scores[pick]))
-        yield hits_of(questions, ids, id_col, found)
+        step = max(1, PRODUCT // len(questions))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            rows, units = part.drop_columns(["embedding"]).to_pandas(), _unit(_matrix(part.column("embedding")))
+            if units.shape[1] != asked_units.shape[1]:
+                raise ValueError(f"vectors have {units.shape[1]} dimensions, queries {asked_units.shape[1]}")
+            ids = rows[id_col].to_numpy()
+            places, found = id_places(ids), []
+            similarity = units @ asked_units.T
+            for j, question in enumerate(questions.itertuples(index=False)):
+                own = np.flatnonzero(allowed(rows, question, scoped)) if scoped else np.arange(len(ids))
+                pick = best(places[own], similarity[own, j], k)
+                found.append((j, own[pick], similarity[own[pick], j]))
+            yield hits_of(questions, ids, id_col, found)
 
     return search_blocks(vectors, asked, top_k, id_col, limit=BLOCK_VALUES, size=lambda q: len(q["vector"]), prepare=prepare, score=score)

@@ -112,14 +112,18 @@ def lookup(requests: DataFrame, anchors: DataFrame) -> DataFrame:
     )
 
 
+def miss_reason(ticker: Column, concept: Column, fiscal_year: Column) -> Column:
+    """Why a lookup found nothing."""
+    return F.when(concept.isNull(), F.lit("no concept known for this label")).otherwise(
+        F.concat(F.lit("no "), concept, F.lit(" fact for "), ticker, F.lit(" FY"), fiscal_year.cast("string"))
+    )
+
+
 def explain_misses(looked_up: DataFrame, facts: DataFrame) -> DataFrame:
     """Add `available_concepts` (the ticker's own concepts, bounded by the tracked list) and a
     reason to the misses."""
     have = facts.groupBy("ticker").agg(F.array_sort(F.collect_set("concept")).alias("available_concepts"))
-    reason = F.when(F.col("concept").isNull(), F.lit("no concept known for this label")).when(
-        ~F.col("found"),
-        F.concat(F.lit("no "), F.col("concept"), F.lit(" fact for "), F.col("ticker"), F.lit(" FY"), F.col("fiscal_year").cast("string")),
-    )
+    reason = F.when(~F.col("found"), miss_reason(F.col("ticker"), F.col("concept"), F.col("fiscal_year")))
     return looked_up.join(have, "ticker", "left").withColumn("detail", F.coalesce(reason, F.lit("")))
 
 

@@ -25,20 +25,30 @@ def reciprocal_rank_fusion(rankings: list[DataFrame], top_k: int = scope.DEFAULT
     return top_hits(fused, top_k, id_col)
 
 
+# (queries, top_k) -> query_id, rank, id, score, from a stored index.
+IndexSearch = Callable[[DataFrame, int], DataFrame]
+
+
+def _lexical(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str, index_search: IndexSearch | None, **options) -> DataFrame:
+    return lexical_search(docs, queries, top_k, id_col=id_col, **options) if index_search is None else index_search(queries, top_k)
+
+
 def hybrid_search(docs: DataFrame, corpus: DataFrame, queries: DataFrame, top_k: int = scope.DEFAULT_TOP_K, *, id_col: str = "id",
-                  scorer: str = "cover_density", analyser: str = "plain", **filters) -> DataFrame:
-    """Both arms, five times deeper than the answer, fused. queries: query_id, query, vector."""
+                  scorer: str = "cover_density", analyser: str = "plain", index_search: IndexSearch | None = None, **filters) -> DataFrame:
+    """Both arms, five times deeper than the answer, fused. queries: query_id, query, vector.
+
+    With ``index_search`` the lexical arm is that search, and the texts of ``docs`` are not read."""
     depth = top_k * scope.CANDIDATE_MULTIPLIER
-    lexical = lexical_search(docs, queries, depth, id_col=id_col, scorer=scorer, analyser=analyser, **filters)
+    lexical = _lexical(docs, queries, depth, id_col, index_search, scorer=scorer, analyser=analyser, **filters)
     dense = dense_search(corpus, queries, depth, id_col=id_col, **filters)
     return reciprocal_rank_fusion([lexical, dense], top_k, id_col=id_col)
 
 
-def retrieve(docs: DataFrame, corpus: DataFrame, queries: DataFrame, top_k: int, *, id_col: str = "id", **options) -> DataFrame:
+def retrieve(docs: DataFrame, corpus: DataFrame, queries: DataFrame, top_k: int, *, id_col: str = "id", index_search: IndexSearch | None = None, **options) -> DataFrame:
     """Hybrid for queries that carry a vector, lexical alone for those that do not."""
     plain = queries.filter("vector is null")
-    lexical = lexical_search(docs, plain, top_k, id_col=id_col, **options)
-    hybrid = hybrid_search(docs, corpus, queries.filter("vector is not null"), top_k, id_col=id_col, **options)
+    lexical = _lexical(docs, plain, top_k, id_col, index_search, **options)
+    hybrid = hybrid_search(docs, corpus, queries.filter("vector is not null"), top_k, id_col=id_col, index_search=index_search, **options)
     return lexical.withColumn("mode", F.lit("lexical")).unionByName(hybrid.withColumn("mode", F.lit("hybrid")))
 
 

@@ -1,13 +1,14 @@
 """Lexical retrieval: any query term may match, scored per document, top k per query.
 
-Queries arrive as a table, so one job answers all of them. Terms are found in Spark; a task then counts
-the terms of a block of queries in its own documents and keeps k documents per query, so that pairs of
-query and document are neither shuffled nor stored.
+Queries arrive as a table, so one job answers all of them. Terms are found in Spark; a task then lists, for each term of a block of queries,
+which of its own documents hold it how often, adds up the lists of each query's terms and keeps k documents per query. Pairs of query and document are
+neither shuffled nor stored, and nothing is done for pairs that do not match.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,10 +24,30 @@ from factloom.operators.ranking import allowed, best, hits_of, id_places, metada
 
 ANALYSERS: dict[str, Callable[[Column], Column]] = {"plain": words, "english": lexemes}
 BM25_K1, BM25_B = 1.2, 0.75
-# Query terms that are sent to every executor at a time, and counters a task holds at a time.
+# Query terms that are sent to every executor at a time, and tokens of documents a task counts at a time.
 BLOCK_TERMS, COUNTERS = 50_000, 4_000_000
 
 
+@dataclass(frozen=True)
+class Ranking:
+    """Score of a document: sum over terms of idf(documents, those with the term) * weight(count, document length, mean length).
+
+    The weight grows with the count and does not grow with the length."""
+
+    idf: Callable[[int, np.ndarray], np.ndarray]
+    weight: Callable[[np.ndarray, np.ndarray, float], np.ndarray]
+    needs_statistics: bool
+
+
+RANKINGS = {
+    "cover_density": Ranking(lambda n, df: np.ones(len(df)), lambda tf, length, mean: tf * scope.COVER_WEIGHT, False),
+    "bm25": Ranking(
+        lambda n, df: np.log(1.0 + (n - df + 0.5) / (df + 0.5)),
+        lambda tf, length, mean: tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / mean)), True,
+    ),
+}
+
+
 def query_terms(queries: DataFrame, analyser: str = "plain") -> DataFrame:
     """(query_id, term), distinct, from (query_id, query)."""
     return queries.select(
@@ -34,32 +55,45 @@ def query_terms(queries: DataFrame, analyser: str = "plain") -> DataFrame:
     )
 
 
-def _term_counts(batch: pa.RecordBatch, terms: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """Slices of a batch with the lengths of their documents and the counts (term, document)."""
+@dataclass
+class Postings:
+    """Documents of a run of rows by term: those of term t are docs[start[t] : start[t + 1]]."""
+
+    first: int
+    lengths: np.ndarray
+    start: np.ndarray
+    docs: np.ndarray
+    tf: np.ndarray
+
+
+def _postings(batch: pa.RecordBatch, terms: pa.Array) -> Iterator[Postings]:
+    """Runs of at most COUNTERS tokens (one document at least) of a batch, inverted for the given terms."""
     tokens = batch.column("tokens")
     lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     term = pc.fill_null(pc.index_in(tokens.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    start = np.append(0, np.cumsum(lengths))
-    step = max(1, COUNTERS // max(1, len(terms)))
-    for at in range(0, len(lengths), step):
-        n = min(step, len(lengths) - at)
-        part, owner = term[start[at] : start[at + n]], np.repeat(np.arange(n), lengths[at : at + n])
-        known = part >= 0
-        counts = np.bincount(part[known] * n + owner[known], minlength=len(terms) * n).reshape(len(terms), n)
-        yield slice(at, at + n), lengths[at : at + n], counts
-
-
-def _bm25_statistics(docs: DataFrame, terms: pa.Array) -> tuple[np.ndarray, float]:
-    """Inverse document frequency of each term and the mean length: one pass over the documents, one row per term and task."""
+    total = np.append(0, np.cumsum(lengths))
+    at = 0
+    while at < len(lengths):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + COUNTERS, side="right")) - 1)
+        n, part = end - at, term[total[at] : total[end]]
+        known = np.flatnonzero(part >= 0)
+        owner = np.searchsorted(total[at : end + 1], known + total[at], side="right") - 1
+        pairs, tf = np.unique(part[known] * n + owner, return_counts=True)
+        yield Postings(at, lengths[at:end], np.searchsorted(pairs, np.arange(len(terms) + 1) * n), pairs % n, tf)
+        at = end
+
+
+def _collection(docs: DataFrame, terms: pa.Array) -> tuple[int, np.ndarray, float]:
+    """Number of documents, of those with each term, and the mean length: one pass over the documents, one row per term and task."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holding, present, total = np.zeros(len(shared.value), np.int64), 0, 0
         for batch in batches:
             present += batch.num_rows - batch.column("tokens").null_count
-            for _, lengths, counts in _term_counts(batch, shared.value):
-                holding += (counts > 0).sum(1)
-                total += int(lengths.sum())
+            for found in _postings(batch, shared.value):
+                holding += np.diff(found.start)
+                total += int(found.lengths.sum())
         some = np.flatnonzero(holding)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(some, [-1, -2]), pa.int64()), pa.array(np.append(holding[some], [present, total]), pa.int64())], names=["term", "n"]
@@ -67,12 +101,11 @@ def _bm25_statistics(docs: DataFrame, terms: pa.Array) -> tuple[np.ndarray, floa
 
     sums = dict(docs.select("tokens").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
     shared.unpersist()
-    df = np.array([sums.get(i, 0) for i in range(len(terms))], np.float64)
     n_docs = sums.get(-1) or 0
-    return np.log(1.0 + (n_docs - df + 0.5) / (df + 0.5)), (sums.get(-2) or 0) / n_docs if n_docs else 1.0
+    return n_docs, np.array([sums.get(i, 0) for i in range(len(terms))], np.float64), (sums.get(-2) or 0) / n_docs if n_docs else 1.0
 
 
-def _search(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str, analyser: str, ranked_by_bm25: bool) -> DataFrame:
+def _search(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str, analyser: str, ranking: Ranking) -> DataFrame:
     scoped = scope_columns(docs, queries)
     found = docs.select(id_col, *scoped, ANALYSERS[analyser](F.col("text")).alias("tokens"))
     asked = queries.select("query_id", *scoped.values(), F.array_distinct(ANALYSERS[analyser](F.col("query"))).alias("terms")).filter("size(terms) > 0")
@@ -82,40 +115,45 @@ def _search(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str, analys
         terms = pa.array(sorted({t for row in asked_terms for t in row}), pa.string())
         number = {t: i for i, t in enumerate(terms.to_pylist())}
         own = [np.array([number[t] for t in row]) for row in asked_terms]
-        return terms, own, _bm25_statistics(found, terms) if ranked_by_bm25 else None
+        n_docs, df, mean = _collection(found, terms) if ranking.needs_statistics else (0, np.zeros(len(terms)), 1.0)
+        return terms, own, ranking.idf(n_docs, df), mean
 
     def score(batch: pa.RecordBatch, questions: pd.DataFrame, prepared, k: int) -> Iterator[pd.DataFrame]:
-        terms, own, statistics = prepared
+        terms, own, idf, mean = prepared
         rows = batch.drop_columns(["tokens"]).to_pandas()
         ids = rows[id_col].to_numpy()
-        for part, lengths, counts in _term_counts(batch, terms):
-            if statistics is None:
-                weights = counts * scope.COVER_WEIGHT
-            else:
-                idf, mean = statistics
-                weights = idf[:, None] * counts * (BM25_K1 + 1) / (counts + BM25_K1 * (1 - BM25_B + BM25_B * lengths / mean))
-            places, hits = id_places(ids[part]), []
+        for part in _postings(batch, terms):
+            n = len(part.lengths)
+            here = slice(part.first, part.first + n)
+            weights = ranking.weight(part.tf, part.lengths[part.docs], mean) * np.repeat(idf, np.diff(part.start))
+            places, hits = id_places(ids[here]), []
             for j, question in enumerate(questions.itertuples(index=False)):
-                scores = weights[own[j]].sum(0)
+                sizes = part.start[own[j] + 1] - part.start[own[j]]
+                if not sizes.any():
+                    continue
+                ends = np.cumsum(sizes)
+                at = np.arange(ends[-1]) + np.repeat(part.start[own[j]] - (ends - sizes), sizes)
+                scores = np.bincount(part.docs[at], weights[at], n)
                 matched = scores > 0
                 if scoped:
-                    matched &= allowed(rows[part], question, scoped)
+                    matched &= allowed(rows[here], question, scoped)
                 matched = np.flatnonzero(matched)
                 pick = best(places[matched], scores[matched], k)
                 hits.append((j, matched[pick], scores[matched[pick]]))
-            yield hits_of(questions, ids[part], id_col, hits)
+            if hits:
+                yield hits_of(questions, ids[here], id_col, hits)
 
     return search_blocks(found, asked, top_k, id_col, limit=BLOCK_TERMS, size=lambda q: len(q["terms"]), prepare=prepare, score=score)
 
 
 def cover_density(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str = "id", analyser: str = "plain") -> DataFrame:
     """Rank by 0.1 for every matching position."""
-    return _search(docs, queries, top_k, id_col, analyser, False)
+    return _search(docs, queries, top_k, id_col, analyser, RANKINGS["cover_density"])
 
 
 def bm25(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str = "id", analyser: str = "plain") -> DataFrame:
     """Rank by BM25 over all given documents; a request's own scope does not change the statistics."""
-    return _search(docs, queries, top_k, id_col, analyser, True)
+    return _search(docs, queries, top_k, id_col, analyser, RANKINGS["bm25"])
 
 
 SCORERS = {"cover_density": cover_density, "bm25": bm25}

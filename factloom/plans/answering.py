@@ -160,7 +160,9 @@ def answer(requests: DataFrame, chunks: DataFrame, anchors: DataFrame, *, planne
     summary = F.when(F.col("n_claims") > 0, F.array_join(F.transform("claims", lambda c: c["text"]), "; ")).otherwise(
         F.lit("(no claims)")
     )
+    # One name for a request's run, the same whenever it is computed.
+    trace = F.md5(F.concat_ws("/", F.col("request_id").cast("string"), "question"))
     return finished.select(
-        "request_id", "question", summary.alias("answer_summary"), "claims",
+        "request_id", trace.alias("trace_id"), "question", summary.alias("answer_summary"), "claims",
         caveat.alias("confidence_notes"), "replans", "n_hits", "n_numeric", "n_unverified", "verified_fraction", "notes",
     )

@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import scope
+from factloom.functions import chunk_udtf
 from factloom.functions import text as tx
 from factloom.functions.markup import html_to_text
 from factloom.functions.numeric import estimated_tokens
+from factloom.operators import chunk_pointers as cp
 from factloom.operators import chunks as ck
 from factloom.operators import sections as sc
 from factloom.operators.gates import violations
 from factloom.operators.lexical import ANALYSERS
-from factloom.operators.scan import Scan, block_scan, time_block
+from factloom.operators.scan import Scan, block_scan, line_block, time_block
 from factloom.plans.catalog import query, table, texts
 from factloom.plans.index_queries import WS_SQL
 
@@ -234,6 +236,38 @@ def chunk_greedy_pack(spark, folder):
     )
 
 
+@query("chunk_pack_sql", f"WITH RECURSIVE {CHUNK_SQL} SELECT doc_id, chunk_id, chunk_index, start_line, end_line, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS text_hash FROM chunks")
+def chunk_pack_sql(spark, folder):
+    """The table function, called from SQL on a table of lines."""
+    chunk_udtf.register(spark)
+    lines = texts(spark, folder, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    packed = spark.sql("SELECT * FROM pack_lines(TABLE({lines}) PARTITION BY doc_id ORDER BY line_no)", lines=lines)
+    return packed.select(
+        "doc_id", ck.chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", "start_line", "end_line",
+        F.length("text").alias("n_chars"), F.md5("text").alias("text_hash"),
+    )
+
+
+@query(
+    "chunk_pack_pointers",
+    f"""WITH RECURSIVE every AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1, string_agg(text, {NL} ORDER BY doc_id) FROM documents WHERE doc_id % 2 = 0),
+    {CHUNK_SQL.replace("FROM documents)", "FROM every)")}
+    SELECT doc_id, chunk_id, chunk_index, start_line, end_line, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS text_hash FROM chunks""",
+)
+def chunk_pack_pointers(spark, folder):
+    """The lines of all documents, and once more those of the even ones as one document that holds a third of all lines."""
+    lines = texts(spark, folder, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    sizes = lines.filter("doc_id % 2 = 0").groupBy("doc_id").agg(F.max("line_no").alias("last"))
+    before = block_scan(sizes.withColumn("all", F.lit(-1)), ["all"], ["doc_id"], line_block("doc_id"), end=Scan("total", F.col("last") + 1))
+    shifted = lines.join(before.select("doc_id", (F.col("end") - F.col("last") - 1).alias("shift")), "doc_id")
+    one = shifted.select(F.lit(-1).cast("long").alias("doc_id"), (F.col("line_no") + F.col("shift")).alias("line_no"), "line")
+    rows = cp.chunk_lines(lines.unionByName(one), "doc_id")
+    return rows.select(
+        "doc_id", ck.chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", "start_line", "end_line",
+        F.length("text").alias("n_chars"), F.md5("text").alias("text_hash"),
+    )
+
+
 @query(
     "chunk_validity",
     f"""WITH RECURSIVE {CHUNK_SQL},

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +15,13 @@ from factloom.operators.containment import passages_in
 from factloom.operators.dense import dense_search
 from factloom.operators.fusion import hybrid_search, reciprocal_rank_fusion, rerank, retrieve
 from factloom.operators.lexical import lexical_search
+from factloom.operators.lexical_index import search_index, write_index
+from factloom.operators.quantised_index import search_quantised_index, write_quantised_index
 from factloom.operators.scan import per_key_top
 from factloom.plans import retrieval_eval
 from factloom.plans.catalog import query, table, texts
 from factloom.plans.document_queries import CHUNK_SQL, chunked
+from factloom.session import shared_folder
 
 DIMENSION = 256
 ENCODER = em.hash_encoder(DIMENSION)
@@ -95,6 +100,15 @@ def lexical_bm25(spark, folder):
     return hits_out(lexical_search(chunk_texts(spark, folder), passages(spark, folder), id_col="chunk_id", scorer="bm25"))
 
 
+@query("lexical_search_bm25_indexed", f"{CHUNK_ARMS} SELECT {HITS} FROM bm_ranked WHERE rank <= 10")
+def lexical_bm25_indexed(spark, folder):
+    """The chunks are indexed once; the search reads posting blocks, no text."""
+    name = f"chunk_index_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = write_index(chunk_texts(spark, folder), name, buckets, id_col="chunk_id", path=f"{shared_folder(spark)}/{name}")
+    return hits_out(search_index(spark, index, passages(spark, folder), scorer="bm25"))
+
+
 @query("lexical_search_english")
 def lexical_english(spark, folder):
     return hits_out(lexical_search(chunk_texts(spark, folder), passages(spark, folder), id_col="chunk_id", analyser="english"))
@@ -129,6 +143,26 @@ def dense(spark, folder):
     return hits_out(dense_search(vectors, centroids, id_col="vec_id"), "vec_id")
 
 
+@query(
+    "vector_search_quantised",
+    """WITH asked AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
+    scored AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], v), 9) AS score FROM embeddings, asked)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, CAST(id AS VARCHAR) AS id, round(score, 6) AS score, true AS recall_reached
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 10""",
+)
+def vector_search_quantised(spark, folder):
+    """Every hundredth vector against all: the exact neighbours, and whether the index found nine in ten of all of them."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    path = f"{shared_folder(spark)}/quantised-{uuid.uuid4().hex}"
+    write_quantised_index(vectors, path, 16, id_col="vec_id")
+    found = search_quantised_index(spark, path, asked, 10, probes=10, id_col="vec_id").select("query_id", "vec_id", F.lit(1).alias("hit"))
+    exact = dense_search(vectors, asked, 10, id_col="vec_id")
+    met = exact.join(found, ["query_id", "vec_id"], "left")
+    reached = met.agg(F.count("hit") >= 0.9 * F.count("*")).first()[0]
+    return hits_out(exact, "vec_id").withColumn("recall_reached", F.lit(reached))
+
+
 @query(
     "rrf_fusion",
     """WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,8 @@ from factloom.functions.calculator import calculate, evaluate
 from factloom.functions.filings import concept_of
 from factloom.operators import facts as fa
 from factloom.operators.embedding import Encoder
-from factloom.operators.fusion import retrieve
+from factloom.operators.fusion import IndexSearch, retrieve
+from factloom.operators.lexical_index import LexicalIndex, search_index
 
 MAX_TOP_K = 50
 
@@ -40,17 +42,34 @@ class Corpus:
     encoder: Encoder | None = None
     scorer: str = "cover_density"
     analyser: str = "english"
+    index: LexicalIndex | None = None
+
+    def index_search(self) -> IndexSearch | None:
+        """Lexical search of the stored index, where there is one; the analyser is then the index's own."""
+        if self.index is None:
+            return None
+        return lambda queries, top_k: search_index(queries.sparkSession, self.index, queries, top_k, scorer=self.scorer)
+
+    def hits(self, queries: DataFrame, top_k: int) -> DataFrame:
+        """Retrieval for (query_id, query[, tickers, fiscal_years]); hybrid where an encoder is at hand."""
+        vector = self.encoder(F.col("query")) if self.encoder else F.lit(None).cast("array<double>")
+        return retrieve(
+            self.chunks, self.vectors, queries.withColumn("vector", vector), top_k, id_col="chunk_id", scorer=self.scorer, analyser=self.analyser, index_search=self.index_search(),
+        )
+
+
+def answer_search(corpus: Corpus) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
+    """The corpus's retrieval as the answer loop calls it."""
+    return lambda chunks, queries, top_k: corpus.hits(queries, top_k).drop("mode")
 
 
 def search(corpus: Corpus, requests: DataFrame, top_k: int = 5) -> DataFrame:
     """Hits for (query_id, query[, tickers, fiscal_years]); hybrid where an encoder is at hand."""
     if not 1 <= top_k <= MAX_TOP_K:
         raise ValueError(f"top_k must lie in 1..{MAX_TOP_K}")
-    vector = corpus.encoder(F.col("query")) if corpus.encoder else F.lit(None).cast("array<double>")
     blank = F.btrim(F.coalesce("query", F.lit(""))) == ""
     checked = F.when(blank, F.raise_error(F.lit("a search needs a query"))).otherwise(F.col("query"))
-    asked = requests.withColumn("query", checked).withColumn("vector", vector)
-    hits = retrieve(corpus.chunks, corpus.vectors, asked, top_k, id_col="chunk_id", scorer=corpus.scorer, analyser=corpus.analyser)
+    hits = corpus.hits(requests.withColumn("query", checked), top_k)
     placed = corpus.chunks.join(hits, "chunk_id")
     return placed.withColumn("citation", F.concat_ws("#", "accession_no", "item_section", "chunk_id"))
 

@@ -29,18 +29,23 @@ def build_session(app_name: str = "factloom", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    The folder named by ``spark.checkpoint.dir`` wins. A local session may do without it and gets
-    a temporary folder; on a cluster executors could not read each other's, so that is an error.
-    """
-    spark = df.sparkSession
+    A local session may do without it and gets a temporary folder; on a cluster executors could not read each other's, so that is an error."""
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local["):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = folder or tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        context.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -15,6 +15,7 @@ from factloom.operators import embedding as em
 from factloom.operators import fusion as fu
 from factloom.operators import lexical as lx
 from factloom.operators import metrics
+from factloom.operators import containment
 from factloom.operators.containment import passages_in
 from factloom.operators.gates import GateError, enforce
 from factloom import scope
@@ -210,7 +211,9 @@ def test_metrics(spark):
     assert line == "lexical                    0.125     0.125       4"
 
 
-def test_containment_equals_substring_search(spark):
+@pytest.mark.parametrize("block", [500_000, 20])
+def test_containment_equals_substring_search(spark, monkeypatch, block):
+    monkeypatch.setattr(containment, "BLOCK_CHARS", block)
     rng = random.Random(5)
     words = ["aa", "b", "ccc", "dd\ndd", "e"]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 30))) for _ in range(60)]
@@ -222,6 +225,16 @@ def test_containment_equals_substring_search(spark):
     assert got == {(p, d) for p, x in enumerate(passages) if x for d, t in enumerate(texts) if x in t}
 
 
+def test_containment_is_one_scan(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "ab abc"), (2, None), (3, "xabcx")], "d int, text string")
+    docs.write.parquet(str(tmp_path / "d"))
+    asked = spark.createDataFrame([("p", "abc"), ("q", "abc"), ("r", "b"), ("s", None), ("t", "")], "p string, passage string")
+    found = passages_in(spark.read.parquet(str(tmp_path / "d")), asked, "d", "p")
+    assert sorted((r.p, r.d) for r in found.collect()) == [("p", 1), ("p", 3), ("q", 1), ("q", 3), ("r", 1), ("r", 3)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Join" not in plan
+
+
 def test_embed_pending(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "id int, text string")
     stored = docs.select("id", F.when(F.col("id") < 2, F.array(F.lit(1.0))).alias("embedding"))
