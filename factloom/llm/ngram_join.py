@@ -31,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import SPACED, as_bytes, mix, numbered, partitions, per_text, prefix_hashes, run_hashes, slices, span_hashes, stored, tidy, word_spans
@@ -42,6 +42,7 @@ COORDINATES = 128  # at least; a longer text has more, see ``widths``
 TOKENS_A_COORDINATE = 8
 BLOCK_COORDINATES = 1 << 18
 LEAF = 32
+LISTED = 64  # a node with more keys at a time does not carry their list
 POINTS = "node long, n long, counts binary"
 CHUNK_BYTES = 16 << 20
 KEYS, MEMBER, INFO, STAR = 0, 1, 2, 3
@@ -372,9 +373,36 @@ class Tree:
         return found[good], bound[good]
 
 
-def group_pairs(counts: list[bytes], size: np.ndarray, root: np.ndarray, side: np.ndarray, rule: Rule, exhaust: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs across roots to verify, of two blocks (sides 1 and 2) only those across them. Unless ``exhaust``, pairs that would only join what the pairs
-    before join are left for a later round.
+class Owners:
+    """Which pairs of rows belong to their key: those that have no smaller key in common. Rows without a list of their keys share all pairs."""
+
+    def __init__(self, keys: pa.ListArray):
+        self.start, self.flat = keys.offsets.to_numpy(), keys.values.to_numpy()
+        self.listed = keys.is_valid().to_numpy(zero_copy_only=False)
+
+    def own(self, first: np.ndarray, second: np.ndarray, key: np.ndarray) -> np.ndarray:
+        out = np.ones(len(first), bool)
+        both = np.flatnonzero(self.listed[first] & self.listed[second])
+        pairs, keys = [], []
+        for side in (first[both], second[both]):
+            sizes = self.start[side + 1] - self.start[side]
+            pair = np.repeat(both, sizes)
+            value = self.flat[np.arange(len(pair)) + np.repeat(self.start[side] - (np.cumsum(sizes) - sizes), sizes)]
+            smaller = value < key[pair]
+            pairs.append(pair[smaller])
+            keys.append(value[smaller])
+        pair, value = np.concatenate(pairs), np.concatenate(keys)
+        order = np.lexsort((value, pair))
+        pair, value = pair[order], value[order]
+        out[pair[1:][(pair[1:] == pair[:-1]) & (value[1:] == value[:-1])]] = False
+        return out
+
+
+def group_pairs(
+    counts: list[bytes], size: np.ndarray, root: np.ndarray, side: np.ndarray, rule: Rule, exhaust: bool, mine_alone=lambda i, found: np.ones(len(found), bool),
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs across roots to verify, of two blocks (sides 1 and 2) only those across them, and only those that are this key's. Unless ``exhaust``, pairs that
+    would only join what the pairs before join are left for a later round.
 
     Points of one width form a tree. Points near the mean of those that search go first: the text that the others are copies of joins them all."""
     label = np.unique(root, return_inverse=True)[1]
@@ -399,6 +427,9 @@ def group_pairs(counts: list[bytes], size: np.ndarray, root: np.ndarray, side: n
                 found = h[found]
                 other = label[found] != label[i]
                 found, bound = found[other], bound[other]
+                if len(found):
+                    own = mine_alone(i, found)
+                    found, bound = found[own], bound[own]
                 if exhaust:
                     if one_block and wa == wh:
                         found = found[found > i]
@@ -421,6 +452,7 @@ def candidates(rule: Rule, exhaust: bool):
         for batch in by_groups(batches, "cell"):
             cell, key, node, root, size, side = (batch.column(c).to_numpy() for c in ("cell", "key", "node", "root", "n", "side"))
             counts = batch.column("counts").to_pylist()
+            owners = Owners(batch.column("keys"))
             head = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (key[1:] != key[:-1])))
             sizes = np.diff(np.append(head, len(key)))
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -437,10 +469,16 @@ def candidates(rule: Rule, exhaust: bool):
                 apart = (root[c] != root[d]) & ((side[c] == 0) | (side[c] != side[d]))
                 c, d = c[apart], d[apart]
                 good = overlap_bound([counts[i] for i in c.tolist()], [counts[i] for i in d.tolist()]) >= rule.least_overlap(size[c] + size[d])
-                found.append((key[c[good]], node[c[good]], node[d[good]]))
+                c, d = c[good], d[good]
+                mine = owners.own(c, d, key[c])
+                found.append((key[c[mine]], node[c[mine]], node[d[mine]]))
             for at, g in zip(head[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                part = slice(at, at + g)
-                for i, j in group_pairs(counts[part], size[part], root[part], side[part], rule, exhaust):
+                part, here = slice(at, at + g), at
+
+                def mine_alone(i: int, others: np.ndarray) -> np.ndarray:
+                    return owners.own(np.full(len(others), here + i), here + others, np.full(len(others), key[here]))
+
+                for i, j in group_pairs(counts[part], size[part], root[part], side[part], rule, exhaust, mine_alone):
                     if len(i):
                         found.append((np.full(len(i), key[at]), node[at + i], node[at + j]))
                         held += len(i)
@@ -516,7 +554,10 @@ def join_numbered(rows: DataFrame, rule: Rule) -> DataFrame:
             blocks.alias("blocks"),
             (F.min("a") == F.max("a")).alias("one"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(other).alias("other_lo"), F.max(other).alias("other_hi"),
         ).where(F.when(F.col("one"), F.col("other_lo") < F.col("other_hi")).otherwise(F.col("lo") < F.col("hi"))).select("key", "one", "blocks")
-        facing = placed.join(crossed, "key").where("not one or node != a").join(located.select("node", "counts"), "node").select("key", "node", "root", "n", "counts", "blocks")
+        facing = placed.join(crossed, "key").where("not one or node != a").select("key", "node", "root", "n", "blocks")
+        every = F.sort_array(F.collect_list("key").over(Window.partitionBy("node")))
+        listed = facing.withColumn("keys", every).withColumn("keys", F.when(F.size("keys") <= LISTED, F.col("keys")))
+        facing = listed.join(located.select("node", "counts"), "node").select("key", "node", "root", "n", "counts", "blocks", "keys")
         facing = cells(facing).repartition(n_parts, "cell").sortWithinPartitions("cell", "key", "node")
         found = stored(facing.mapInArrow(candidates(rule, exhaust), "key long, a long, b long"), "found")
         tested = tested.unionByName(verified(found.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), True))

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,47 @@ def test_edge_cases(spark):
     assert sorted((g.doc_id, g.n_removed, g["row"], g.start) for g in got) == [(1, 0, "z", 1), (1, 0, "z", 1), (2, 27, "z", 1)]
     with pytest.raises(ValueError):
         superkmer_dedup.remove_repeats(one, k=2, m=3)
+
+
+# Constants of a module reach Spark's workers only as they stand there, so all ways are tried here without Spark.
+def run_tasks(monkeypatch, rows, k, m, bins, batch, **sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(superkmer_dedup, name, value)
+    ids = pa.array([LEAST if d is None else d for d, _ in rows])
+    table = pa.record_batch([ids, pa.array([t for _, t in rows], pa.string()), pa.array(range(len(rows)))], names=["_doc", "text", "_hash"])
+    parts = [table.slice(i, 20) for i in range(0, len(rows), 20)]
+
+    def exchanged(batches, *keys):
+        joined = pa.Table.from_batches(batches)
+        return joined.take(pc.sort_indices(joined, sort_keys=[(c, "ascending") for c in keys])).combine_chunks().to_batches(batch)
+
+    sent = [b for half in (parts[: len(parts) // 2], parts[len(parts) // 2 :]) for b in superkmer_dedup.cut_texts(k, m, bins)(iter(half))]
+    judged = list(superkmer_dedup.judge(k)(iter(exchanged(sent, "bin")))) if sent else []
+    spans, common = [], 0
+    if judged:
+        both = pa.Table.from_batches(judged)
+        windows = both.filter(pc.equal(both["kind"], superkmer_dedup.DIGEST))
+        common = windows.num_rows
+        spans += both.filter(pc.equal(both["kind"], superkmer_dedup.SPAN)).to_pylist()
+        if common:
+            for found in superkmer_dedup.judge_windows(k)(iter(exchanged(windows.to_batches(), "deal", "second", "doc"))):
+                spans += found.to_pylist()
+    out = [set() for _ in rows]
+    for s in spans:
+        out[s["row"]].update(range(s["start"], s["end"]))
+    return out, common
+
+
+def test_every_way_of_a_window(monkeypatch):
+    common = 0
+    for seed in range(40):
+        r = random.Random(seed)
+        k = r.choice([13, 5, 2, 1])
+        rows = mixed(seed, 100) + [(500, None), (501, ""), (502, "  "), (503, "word " * 300), (504, "word " * 20)]
+        gone, windows = run_tasks(
+            monkeypatch, rows, k, min(k, r.choice([1, 2, 3])), r.choice([1, 5, 40]), r.choice([1, 3, 1000]), FEW=r.choice([1, 8]), MANY=r.choice([2, 10, 4096]),
+            CHUNK_BYTES=r.choice([500, 1 << 24]), PART_BYTES=r.choice([64, 300, 1 << 22]), BIN_BYTES=r.choice([200, 1 << 24]), SLICE=r.choice([100, 1 << 20]),
+        )
+        assert [len(g) for g in gone] == [w[1] for w in without_repeats(rows, k)]
+        common += windows
+    assert common > 1000
