@@ -232,6 +232,19 @@ def filing_chunks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def nation_questions(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.element_at(F.array(F.lit("net income"), F.lit("total assets"), F.lit("head count")), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    return table(spark, folder, "nation").select(
+        F.col("n_nationkey").alias("request_id"),
+        F.format_string("Within what filings did %s report %s for fiscal year %d? The and of.", _ticker("n_nationkey"), label, F.col("n_nationkey") % 2 + 1996).alias("question"),
+    )
+
+
+ASKED_SQL = f"""asked AS (SELECT n_nationkey, {_ticker_sql('n_nationkey')} AS ticker, 1996 + n_nationkey % 2 AS fy, CASE WHEN n_nationkey % 3 = 0 THEN 'net income' WHEN n_nationkey % 3 = 1 THEN 'total assets' ELSE 'head count' END AS label,
+            CASE WHEN n_nationkey % 3 = 0 THEN 'NetIncomeLoss' WHEN n_nationkey % 3 = 1 THEN 'Assets' END AS concept FROM nation),
+    found AS (SELECT a.*, f.value, f.unit FROM asked a LEFT JOIN anchored f ON f.ticker = a.ticker AND f.concept = a.concept AND f.fiscal_year = a.fy)"""
+
+
 @query(
     "answer_memos",
     f"""WITH {FACT_CTES}, asked AS (SELECT n_nationkey, {_ticker_sql('n_nationkey')} AS ticker, 1996 + n_nationkey % 2 AS fy, CASE WHEN n_nationkey % 3 = 0 THEN 'net income' WHEN n_nationkey % 3 = 1 THEN 'total assets' ELSE 'head count' END AS label,
@@ -245,10 +258,24 @@ def answer_memos(spark, folder):
     """A question per nation about a figure of its filer, through the whole loop."""
     from factloom.plans.answering import answer
 
-    label = F.element_at(F.array(F.lit("net income"), F.lit("total assets"), F.lit("head count")), (F.col("n_nationkey") % 3 + 1).cast("int"))
-    asked = table(spark, folder, "nation").select(
-        F.col("n_nationkey").alias("request_id"),
-        F.format_string("Within what filings did %s report %s for fiscal year %d? The and of.", _ticker("n_nationkey"), label, F.col("n_nationkey") % 2 + 1996).alias("question"),
-    )
-    memos = answer(asked, filing_chunks(spark, folder), anchored(spark, folder), years=(1996, 1997))
+    memos = answer(nation_questions(spark, folder), filing_chunks(spark, folder), anchored(spark, folder), years=(1996, 1997))
     return memos.select("request_id", "answer_summary", "replans", "n_numeric", "n_unverified", "verified_fraction")
+
+
+@query(
+    "answer_memos_replanned",
+    f"""WITH {FACT_CTES}, {ASKED_SQL}
+    SELECT n_nationkey AS request_id, CASE WHEN value <> 0 AND n_nationkey % 2 = 0 THEN 3 ELSE 0 END AS replans, CAST(value IS NOT NULL AS INTEGER) AS n_numeric,
+        CAST(coalesce(value <> 0 AND n_nationkey % 2 = 0, false) AS INTEGER) AS n_unverified, CASE WHEN value <> 0 AND n_nationkey % 2 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS verified_fraction,
+        coalesce(value <> 0 AND n_nationkey % 2 = 0, false) AS disclosed FROM found""",
+)
+def answer_memos_replanned(spark, folder):
+    """The same questions with a drafter that doubles the figures of every other request: those are re-planned until the bound and say so."""
+    from factloom.plans.answering import answer, extractive_drafter
+
+    def misstating(plans, hits, facts):
+        drafts = extractive_drafter(plans, hits, facts)
+        return drafts.withColumn("value", F.when(F.col("request_id") % 2 == 0, F.col("value") * 2).otherwise(F.col("value")))
+
+    memos = answer(nation_questions(spark, folder), filing_chunks(spark, folder), anchored(spark, folder), drafter=misstating, years=(1996, 1997))
+    return memos.select("request_id", "replans", "n_numeric", "n_unverified", "verified_fraction", (F.col("confidence_notes") != "").alias("disclosed"))

@@ -14,6 +14,7 @@ KEYS = {
     "chunks": ["chunk_id"],
     "facts": ["ticker", "concept", "unit", "period_start", "period_end"],
     "questions": ["question_id"],
+    "memos": ["request_id"],
 }
 PARTITIONS = {"chunks": ["ticker"]}
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +16,10 @@ from factloom import scope
 from factloom.operators.embedding import Encoder, embed, pending
 from factloom.operators.rate_limit import admit
 from factloom.operators.scan import keep_first
+from factloom.session import cut_lineage
+
+if TYPE_CHECKING:
+    from factloom.serving.tools import Corpus
 
 
 def _run_available(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -51,6 +56,30 @@ def load_stream(rows: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     return _run_available(rows, lambda batch, _: append_new(batch.sparkSession, table, batch), checkpoint)
 
 
+def ask_stream(requests: DataFrame, corpus: Corpus, table: str, checkpoint: str, years=scope.FISCAL_YEARS) -> StreamingQuery:
+    """Answer arriving (request_id, question) rows and store one memo per request.
+
+    All requests of a micro-batch are answered together, so the corpus is searched once for all of them. A request that is stored already is neither answered nor
+    stored again: a replayed batch, or a request that is sent twice, changes nothing."""
+    from factloom.plans.answering import answer
+    from factloom.serving.tools import answer_search
+    from factloom.sources.tables import append_new, create_table
+
+    def work(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        asked = keep_first(batch.select("request_id", "question"), ["request_id"], [F.col("question")])
+        if spark.catalog.tableExists(table):
+            asked = asked.join(spark.table(table).select("request_id"), "request_id", "left_anti")
+        asked = cut_lineage(asked)
+        if asked.isEmpty():
+            return
+        memos = answer(asked, corpus.chunks, corpus.anchors, search=answer_search(corpus), years=years)
+        create_table(spark, table, memos.schema)
+        append_new(spark, table, memos)
+
+    return _run_available(requests, work, checkpoint)
+
+
 def shed_stream(requests: DataFrame, key: str, ts: str, rate: float = scope.ASK_RATE, capacity: float = scope.ASK_BURST) -> DataFrame:
     """Token bucket per caller over a stream. The state is two numbers per caller.
 

@@ -280,3 +280,42 @@ def test_models_plug_in(spark, chunks, anchors):
     ask = spark.createDataFrame([(1, "How much did it sell?")], "request_id int, question string")
     memo = answer(ask, chunks, anchors, planner=model_planner(planner), drafter=model_drafter(drafter)).first()
     assert len(memo.claims) == 1 and memo.claims[0].verification.verified and memo.notes == ["uncited: 2"]
+
+
+def test_asks_are_answered_by_micro_batch_and_once(spark, corpus, tmp_path, monkeypatch):
+    from factloom.streaming.jobs import ask_stream
+
+    name, searches = "memo_db.memos", []
+    spark.sql("CREATE DATABASE IF NOT EXISTS memo_db")
+    monkeypatch.setattr(tools.Corpus, "hits", (lambda hits: lambda self, q, k: (searches.append(1), hits(self, q, k))[1])(tools.Corpus.hits))
+    asked = [(f"r{i}", "What was NVDA revenue for fiscal 2025?" if i % 2 else "Which supply risks does Apple face?") for i in range(100)]
+    schema = "request_id string, question string"
+    spark.createDataFrame(asked + [("r1", "What was NVDA revenue for fiscal 2025?")], schema).coalesce(1).write.json(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    ask_stream(stream(), corpus, name, str(tmp_path / "one")).awaitTermination()
+    memos = {r.request_id: r for r in spark.table(name).collect()}
+    assert len(memos) == spark.table(name).count() == 100 and len(searches) == 1
+    assert memos["r1"].claims[0].value == 130497.0 and memos["r2"].claims[0].citation.chunk_id == "a25:0000" and memos["r1"].trace_id != memos["r3"].trace_id
+    ask_stream(stream(), corpus, name, str(tmp_path / "two")).awaitTermination()  # everything is read once more
+    assert spark.table(name).count() == 100 and len(searches) == 1
+    spark.sql("DROP DATABASE memo_db CASCADE")
+
+
+def test_a_failed_check_says_what_the_lookup_said(spark, anchors):
+    row = cl.verify(claim(spark, ticker="AAPL"), anchors).first()
+    assert row.detail == "no RevenueFromContractWithCustomerExcludingAssessedTax fact for AAPL FY2025"
+    assert cl.verify(claim(spark, concept="head count"), anchors).first().detail == "no concept known for this label"
+
+
+def test_index_serves_searches_and_asks(spark, chunks, corpus):
+    from dataclasses import replace
+
+    from factloom.operators.lexical_index import write_index
+
+    index = write_index(chunks, "served_index", 2, id_col="chunk_id", analyser="english")
+    served = replace(corpus, index=index)
+    ask = spark.createDataFrame([(1, "supply risks", ["AAPL"], []), (2, "revenue", [], [])], "query_id int, query string, tickers array<string>, fiscal_years array<int>")
+    plain, indexed = (sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in tools.search(c, ask).collect()) for c in (corpus, served))
+    assert plain == indexed
+    made, _ = service(spark, served)
+    assert made.ask("What was NVDA revenue for fiscal 2025?", "k").body["memo"]["claims"][0]["value"] == 130497.0
