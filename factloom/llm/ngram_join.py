@@ -42,7 +42,7 @@ COORDINATES = 128  # at least; a longer text has more, see ``widths``
 TOKENS_A_COORDINATE = 8
 BLOCK_COORDINATES = 1 << 18
 LEAF = 32
-LISTED = 64  # a node with more keys at a time does not carry their list
+LISTED = 16  # of its keys a node carries so many, the smallest
 POINTS = "node long, n long, counts binary"
 CHUNK_BYTES = 16 << 20
 KEYS, MEMBER, INFO, STAR = 0, 1, 2, 3
@@ -326,12 +326,12 @@ def verifier(rule: Rule):
 
         for left, right in batches:
             got = []
-            for at in range(0, len(left), 1024):
-                # Neighbours share the left text more often than not: each is hashed once.
-                once = left.slice(at, 1024).dictionary_encode()
-                firsts = sets(once.dictionary)
-                for i, b in zip(once.indices.to_pylist(), sets(right.slice(at, 1024))):
-                    a = firsts[i]
+            for at in range(0, len(left), 4096):
+                # A text is in several pairs: each is hashed once.
+                ones, others = (side.slice(at, 4096).dictionary_encode() for side in (left, right))
+                firsts, seconds = sets(ones.dictionary), sets(others.dictionary)
+                for i, j in zip(ones.indices.to_pylist(), others.indices.to_pylist()):
+                    a, b = firsts[i], seconds[j]
                     both = len(np.intersect1d(a, b, assume_unique=True))
                     got.append(bool(both and rule.den * both >= rule.num * (len(a) + len(b) - both)))
             yield pa.array(got, pa.bool_())
@@ -374,19 +374,17 @@ class Tree:
 
 
 class Owners:
-    """Which pairs of rows belong to their key: those that have no smaller key in common. Rows without a list of their keys share all pairs."""
+    """Which pairs of rows belong to their key: those that have no smaller key in common, as far as the rows list their keys."""
 
     def __init__(self, keys: pa.ListArray):
         self.start, self.flat = keys.offsets.to_numpy(), keys.values.to_numpy()
-        self.listed = keys.is_valid().to_numpy(zero_copy_only=False)
 
     def own(self, first: np.ndarray, second: np.ndarray, key: np.ndarray) -> np.ndarray:
         out = np.ones(len(first), bool)
-        both = np.flatnonzero(self.listed[first] & self.listed[second])
         pairs, keys = [], []
-        for side in (first[both], second[both]):
+        for side in (first, second):
             sizes = self.start[side + 1] - self.start[side]
-            pair = np.repeat(both, sizes)
+            pair = np.repeat(np.arange(len(side)), sizes)
             value = self.flat[np.arange(len(pair)) + np.repeat(self.start[side] - (np.cumsum(sizes) - sizes), sizes)]
             smaller = value < key[pair]
             pairs.append(pair[smaller])
@@ -555,8 +553,8 @@ def join_numbered(rows: DataFrame, rule: Rule) -> DataFrame:
             (F.min("a") == F.max("a")).alias("one"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(other).alias("other_lo"), F.max(other).alias("other_hi"),
         ).where(F.when(F.col("one"), F.col("other_lo") < F.col("other_hi")).otherwise(F.col("lo") < F.col("hi"))).select("key", "one", "blocks")
         facing = placed.join(crossed, "key").where("not one or node != a").select("key", "node", "root", "n", "blocks")
-        every = F.sort_array(F.collect_list("key").over(Window.partitionBy("node")))
-        listed = facing.withColumn("keys", every).withColumn("keys", F.when(F.size("keys") <= LISTED, F.col("keys")))
+        least = F.slice(F.sort_array(F.collect_list("key").over(Window.partitionBy("node"))), 1, LISTED)
+        listed = facing.withColumn("keys", least)
         facing = listed.join(located.select("node", "counts"), "node").select("key", "node", "root", "n", "counts", "blocks", "keys")
         facing = cells(facing).repartition(n_parts, "cell").sortWithinPartitions("cell", "key", "node")
         found = stored(facing.mapInArrow(candidates(rule, exhaust), "key long, a long, b long"), "found")
