@@ -15,6 +15,12 @@ def exact_delta(later: Column, earlier: Column) -> Column:
     return (later.cast(EXACT) - earlier.cast(EXACT)).cast("double")
 
 
+def rounded(value: Column, decimals: int) -> Column:
+    """Rounded as SQL engines round doubles: the scaled double, halves away from zero."""
+    scale = F.lit(float(10**decimals))
+    return F.round(value * scale) / scale
+
+
 def percent_change(later: Column, earlier: Column) -> Column:
     """Change in percent of |earlier|, two decimals; NULL when earlier is zero."""
     delta = exact_delta(later, earlier)

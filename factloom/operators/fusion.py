@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom import scope
+from factloom.functions.numeric import rounded
 from factloom.functions.text import words
 from factloom.operators.dense import dense_search
 from factloom.operators.gates import union_all
@@ -67,6 +68,6 @@ def rerank(shortlist: DataFrame, docs: DataFrame, queries: DataFrame, top_k: int
     shortlist = cut_lineage(shortlist)
     texts = docs.join(shortlist.select(id_col).distinct(), id_col, "left_semi").select(id_col, "text")
     pairs = shortlist.join(texts, id_col).join(queries.select("query_id", "query"), "query_id")
-    scored = pairs.withColumn("score", F.round(scorer(F.col("query"), F.col("text")), 9)).withColumnRenamed("rank", "rank_in")
+    scored = pairs.withColumn("score", rounded(scorer(F.col("query"), F.col("text")), 9)).withColumnRenamed("rank", "rank_in")
     ranked = per_key_top(scored, ["query_id"], [F.desc("score"), F.asc("rank_in")], top_k)
     return ranked.select("query_id", "rank", id_col, "score")

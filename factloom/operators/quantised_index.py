@@ -2,11 +2,11 @@
 
 Cells and codebooks are fitted on a sample of at most ``sample`` vectors, those with the smallest hash of their id, whatever the table's size; every vector is indexed. A vector belongs to the cell of
 the nearest centre; what it differs by from the centre is cut into sub-vectors, each replaced by the number of the nearest of the cell's own ``CODES`` codewords. A search reads ids and codes
-of the probed cells only: the score of a code is a sum of entries of a table that is made once for each query and cell. The best of these estimates, ``shortlist`` times k, are scored exactly on
+of the probed cells only: the score of a code is that of the centre and codewords it stands for. The best of these estimates, ``shortlist`` times k, are scored exactly on
 their stored vectors.
 
 Cells are written in blocks of bounded rows, so a cell that holds a large share of the vectors is encoded and read by many tasks. What is broadcast, queries and the codebooks of the cells
-they probe, is bounded: queries are taken in blocks of ``BLOCK_BYTES`` of both.
+they probe, is bounded: queries are taken in blocks of ``BLOCK_BYTES`` of both. 256 codewords for four dimensions, two bits a dimension, keep the neighbours of vectors without any structure in a shortlist of ten times k.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from factloom import scope
 from factloom.functions.vectors import l2_normalise
 from factloom.operators.dense import _matrix, _unit, dense_search
-from factloom.operators.ranking import best, id_places, search_blocks, top_hits
+from factloom.operators.ranking import best, hits_of, id_places, search_blocks, top_hits
 from factloom.session import cut_lineage
 
-CODES, SUB_DIMENSION, BLOCK_ROWS, BLOCK_BYTES = 16, 4, 65_536, 64 << 20
+CODES, SUB_DIMENSION, BLOCK_ROWS, BLOCK_BYTES = 256, 4, 65_536, 64 << 20
 ROUNDS = 12
+# Distances to codewords, or estimated scores, that a task computes at a time.
+PRODUCT = 4_000_000
 
 
 def fitted_codewords(residuals: np.ndarray, seed: int = 1) -> np.ndarray:
@@ -43,18 +45,17 @@ def fitted_codewords(residuals: np.ndarray, seed: int = 1) -> np.ndarray:
     pick = np.random.default_rng(seed).choice(n, CODES, replace=n < CODES)
     words = split[:, pick].copy()
     for _ in range(ROUNDS):
-        code = nearest(split, words)
-        for c in range(CODES):
-            mine = code == c
-            count = mine.sum(1)
-            total = np.einsum("pn,pnd->pd", mine, split)
-            words[:, c] = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], words[:, c])
+        for own, part, code in zip(words, split, nearest(split, words)):
+            count = np.bincount(code, minlength=CODES)
+            total = np.stack([np.bincount(code, column, CODES) for column in part.T], 1)
+            own[count > 0] = total[count > 0] / count[count > 0, None]
     return words
 
 
 def nearest(split: np.ndarray, words: np.ndarray) -> np.ndarray:
     """(sub-vectors, vectors) number of the nearest codeword."""
-    return (((words**2).sum(2)[:, None, :]) - 2 * np.einsum("pnd,pcd->pnc", split, words)).argmin(2)
+    lengths, step = (words**2).sum(2)[:, None, :], max(1, PRODUCT // (words.shape[0] * words.shape[1]))
+    return np.concatenate([(lengths - 2 * split[:, at : at + step] @ words.transpose(0, 2, 1)).argmin(2) for at in range(0, split.shape[1], step)], 1)
 
 
 def encoded(units: np.ndarray, centre: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -123,8 +124,12 @@ def search_quantised_index(spark: SparkSession, path: str, queries: DataFrame, t
     asked = queries.filter("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     near = dense_search(books.select(F.col("cell").alias("id"), F.col("centre").alias("embedding")), asked, probes).groupBy("query_id").agg(F.collect_list("id").alias("cells"))
     asked = cut_lineage(asked.join(near, "query_id"))
-    # A query costs its vector and the codebooks of its cells.
-    cost = lambda q: len(q["vector"]) * 8 * (1 + len(q["cells"]) * (CODES + 1))
+    # All codebooks where they fill at most half a block; else a query costs its vector and the codebooks of its cells.
+    first = books.select(F.size("words").alias("n")).first()
+    all_books = books.count() * first["n"] * 8 if first else 0
+    shared_books = all_books <= BLOCK_BYTES // 2
+    cost = lambda q: len(q["vector"]) * 8 * (1 if shared_books else 1 + len(q["cells"]) * (CODES + 1))
+    limit = BLOCK_BYTES - all_books if shared_books else BLOCK_BYTES
 
     def prepare(questions: pd.DataFrame):
         units = _unit(np.array(questions["vector"].tolist(), float))
@@ -137,26 +142,26 @@ def search_quantised_index(spark: SparkSession, path: str, queries: DataFrame, t
     def score(batch: pa.RecordBatch, questions: pd.DataFrame, prepared, k: int) -> Iterator[pd.DataFrame]:
         units, book, wanted = prepared
         cells, ids = batch.column("cell").to_numpy(), batch.column(id_col).to_pandas().to_numpy()
-        codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
-        places, out = id_places(ids), []
+        codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+        places = id_places(ids)
         for cell in np.unique(cells):
             if cell not in wanted:
                 continue
             rows, (centre, words) = np.flatnonzero(cells == cell), book[cell]
-            flat = codes[rows] + np.arange(codes.shape[1]) * CODES
-            for i in wanted[cell]:
-                padded = np.zeros(words.shape[0] * SUB_DIMENSION)
-                padded[: units.shape[1]] = units[i]
-                entries = np.einsum("pcd,pd->pc", words, padded.reshape(-1, SUB_DIMENSION)).ravel()
-                estimate = units[i] @ centre + entries[flat].sum(1)
-                pick = best(places[rows], estimate, k)
-                out.append(pd.DataFrame({"query_id": questions["query_id"].iloc[i], id_col: ids[rows[pick]], "score": estimate[pick]}))
-        if out:
-            yield pd.concat(out)
+            # What the codes stand for; equal codes give equal rows, and so equal estimates.
+            stand_in = words[np.arange(codes.shape[1]), codes[rows]].reshape(len(rows), -1)[:, : units.shape[1]] + centre
+            step = max(1, PRODUCT // len(rows))
+            for at in range(0, len(wanted[cell]), step):
+                some = wanted[cell][at : at + step]
+                estimates, found = units[some] @ stand_in.T, []
+                for i, estimate in zip(some, estimates):
+                    pick = best(places[rows], estimate, k)
+                    found.append((i, rows[pick], estimate[pick]))
+                yield hits_of(questions, ids, id_col, found)
 
     probed = sorted(r["cell"] for r in asked.select(F.explode("cells").alias("cell")).distinct().collect())  # bounded by the cells
     coded = stored.filter(F.col("cell").isin(probed)).select("cell", id_col, "codes")
-    found = cut_lineage(search_blocks(coded, asked, top_k * shortlist, id_col, limit=BLOCK_BYTES, size=cost, prepare=prepare, score=score).select("query_id", id_col))
+    found = cut_lineage(search_blocks(coded, asked, top_k * shortlist, id_col, limit=limit, size=cost, prepare=prepare, score=score).select("query_id", id_col))
 
     @F.arrow_udf("double")
     def cosine(left: pa.Array, right: pa.Array) -> pa.Array:

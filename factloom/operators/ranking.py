@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from factloom.functions.numeric import rounded
 from factloom.operators.gates import union_all
 from factloom.operators.scan import per_key_top
 from factloom.session import cut_lineage
@@ -36,8 +37,8 @@ def metadata_filter(df: DataFrame, **allowed) -> DataFrame:
 
 def top_hits(scores: DataFrame, top_k: int, id_col: str) -> DataFrame:
     """query_id, rank, id, score: best score first, then smallest id."""
-    rounded = scores.withColumn("score", F.round("score", SCORE_DECIMALS))
-    ranked = per_key_top(rounded, ["query_id"], [F.desc("score"), F.asc(id_col)], top_k)
+    decimals = scores.withColumn("score", rounded(F.col("score"), SCORE_DECIMALS))
+    ranked = per_key_top(decimals, ["query_id"], [F.desc("score"), F.asc(id_col)], top_k)
     return ranked.select("query_id", "rank", id_col, "score")
 
 
