@@ -9,7 +9,8 @@ from factloom import scope
 
 # Unicode white space as a regular-expression class (fixed values).
 SPACE = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
-GLUE_CELLS = ("$", "(", "$(")
+# A lone "$(" or "(", or a "$" and a "(" after it, at the begin of a cell; and the whole cell that follows.
+_GLUED = r"(?<=^|\| )(?:(\$?\()|(\$)(?: \| (\()(?= \||\z))?)(?: \| ([^|]+))?"
 
 
 def strip(text: Column) -> Column:
@@ -32,21 +33,12 @@ def split_items(text: Column) -> Column:
 
 
 def tidy_row(line: Column) -> Column:
-    """Drop spacer cells and attach a lone currency sign or bracket to the cell after it."""
-    cells = F.filter(F.transform(F.split(line, r"\|"), strip), lambda cell: cell != "")
-    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(""))
-    glued = F.reduce(
-        cells,
-        F.array().cast("array<string>"),
-        lambda acc, cell: F.when(
-            last(acc).isin(*GLUE_CELLS),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(F.concat(last(acc), cell)),
-            ),
-        ).otherwise(F.concat(acc, F.array(cell))),
-    )
-    return F.array_join(glued, scope.CELL_SEPARATOR)
+    """Drop spacer cells and attach a lone currency sign or bracket to the cell after it.
+
+    Expressions for the whole line: a fold over its cells copies the row so far at every cell."""
+    parted = F.regexp_replace(line, rf"{SPACE}*+\|[{SPACE[1:-1]}|]*+", scope.CELL_SEPARATOR)
+    cells = F.regexp_replace(parted, rf"^[{SPACE[1:-1]}|]++|[{SPACE[1:-1]}|]++\z", "")
+    return F.regexp_replace(cells, _GLUED, "$1$2$3$4")
 
 
 def normalise(raw: Column) -> Column:
