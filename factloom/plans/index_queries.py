@@ -337,11 +337,13 @@ def set_difference(spark, folder):
 )
 def orphan_anti_join(spark, folder):
     orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
-    same = F.col("l_orderkey") == F.col("o_orderkey")
-    empty = orders.join(lines.select("l_orderkey"), same, "left_anti").groupBy(F.col("o_orderkey").alias("k"))
-    closed = orders.filter("o_orderstatus = 'F'").select("o_orderkey")
-    loose = lines.join(closed, same, "left_anti").groupBy(F.col("l_orderkey").alias("k"))
-    n = F.count(F.lit(1)).alias("n")
-    return empty.agg(n).select(F.lit("order without lines").alias("side"), "k", "n").unionByName(
-        loose.agg(n).select(F.lit("line without closed order").alias("side"), "k", "n")
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    # Keys of both tables are counted side by side: rows are combined before the shuffle, and nothing is sorted or joined.
+    both = orders.select(F.col("o_orderkey").alias("k"), one.alias("orders"), F.when(F.col("o_orderstatus") == "F", one).otherwise(none).alias("closed"), none.alias("lines")).unionByName(
+        lines.select(F.col("l_orderkey").alias("k"), none.alias("orders"), none.alias("closed"), one.alias("lines"))
     )
+    counts = both.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("orders", "closed", "lines")])
+    matches = F.col("k").isNotNull()  # a NULL key has no partner
+    empty = F.when((F.col("orders") > 0) & ~(matches & (F.col("lines") > 0)), F.struct(F.lit("order without lines").alias("side"), "k", F.col("orders").alias("n")))
+    loose = F.when((F.col("lines") > 0) & ~(matches & (F.col("closed") > 0)), F.struct(F.lit("line without closed order").alias("side"), "k", F.col("lines").alias("n")))
+    return counts.select(F.explode(F.array(empty, loose)).alias("r")).filter("r is not null").select("r.side", "r.k", "r.n")
