@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +13,16 @@ from factloom import scope
 EXACT = "decimal(30,8)"
 
 
+def runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of rows whose sizes add up to ``limit`` at most; a larger row is a run of its own."""
+    total = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + limit, side="right")) - 1)
+        yield at, end
+        at = end
+
+
 def exact_delta(later: Column, earlier: Column) -> Column:
     """Difference of two decimal quantities, free of binary-float residue."""
     return (later.cast(EXACT) - earlier.cast(EXACT)).cast("double")

@@ -6,7 +6,8 @@ go to the Arrow function; the text stays in the JVM, where chunk texts are slice
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,27 +24,30 @@ from factloom.session import cut_lineage
 _RANGE = T.StructType().add("name", T.StringType()).add("start_line", T.IntegerType()).add("end_line", T.IntegerType())
 
 
-def packed_ranges(lengths: np.ndarray, tabular: np.ndarray, start: int, end: int) -> list[tuple[int, int]]:
-    """Greedy line ranges of one span. Two table rows in sequence may run on to the larger limit."""
-    limit = np.full(end - start, scope.TARGET_CHARS)
-    limit[1:][tabular[start + 1 : end] & tabular[start : end - 1]] = scope.MAX_CHARS
-    total = np.concatenate([[0], np.cumsum(lengths[start:end] + 1)])
-    cuts, first, n = [start], 0, end - start
-    while first < n:
-        # lines after `first` that would push the open range over their own limit
-        over = np.flatnonzero(total[first + 2 : first + 2 + scope.MAX_CHARS] - total[first] > limit[first + 1 : first + 1 + scope.MAX_CHARS])
-        first = first + 1 + int(over[0]) if len(over) else n
-        cuts.append(start + first)
-    return list(zip(cuts[:-1], cuts[1:]))
+def packed_ranges(lengths: Sequence[int], tabular: Sequence[bool], start: int, end: int) -> list[tuple[int, int]]:
+    """Greedy line ranges of one span. Two table rows in sequence may run on to the larger limit.
+
+    Most documents have a few lines, where plain numbers are faster than arrays."""
+    if end <= start:
+        return []
+    cuts, held, before = [start], lengths[start] + 1, tabular[start]
+    for line in range(start + 1, end):
+        cost, now = lengths[line] + 1, tabular[line]
+        held += cost
+        if held > (scope.MAX_CHARS if now and before else scope.TARGET_CHARS):
+            cuts.append(line)
+            held = cost
+        before = now
+    return list(zip(cuts, [*cuts[1:], end]))
 
 
 @F.arrow_udf(T.ArrayType(_RANGE))
 def pack(lengths: pa.Array, tabular: pa.Array, spans: pa.Array) -> pa.Array:
     names, starts, ends, offsets = [], [], [], [0]
-    for size, rows, tiles in zip(lengths, tabular, spans):
-        size, rows = (x.values.to_numpy(zero_copy_only=False) for x in (size, rows))
-        for tile in tiles.as_py():
-            for first, last in packed_ranges(size.astype(np.int64), rows.astype(bool), tile["start_line"], tile["end_line"]):
+    for at in range(len(lengths)):
+        size, rows = lengths[at].as_py(), tabular[at].as_py()
+        for tile in spans[at].as_py() if size is not None else ():  # a document without text has no lines
+            for first, last in packed_ranges(size, rows, tile["start_line"], tile["end_line"]):
                 names.append(tile["name"])
                 starts.append(first)
                 ends.append(last)

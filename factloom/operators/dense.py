@@ -20,7 +20,7 @@ from factloom.operators.ranking import allowed, best, hits_of, id_places, metada
 # Vector elements of the queries that are sent to every executor at a time.
 BLOCK_VALUES = 4_000_000
 # Scores (vectors times queries) a task computes at a time.
-PRODUCT = 4_000_000
+PRODUCT = 1_000_000
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -49,8 +49,8 @@ def dense_search(corpus: DataFrame, queries: DataFrame, top_k: int = scope.DEFAU
     vectors = metadata_filter(corpus, **filters).filter("embedding is not null").select(id_col, *scoped, "embedding")
     asked = queries.filter("vector is not null").select("query_id", *scoped.values(), "vector")
 
-    def prepare(questions: pd.DataFrame) -> np.ndarray:
-        return _unit(_matrix(pa.array(questions.pop("vector"), pa.list_(pa.float64()))))
+    def prepare(questions: pd.DataFrame) -> tuple[np.ndarray, DataFrame]:
+        return _unit(_matrix(pa.array(questions.pop("vector"), pa.list_(pa.float64())))), vectors
 
     def score(batch: pa.RecordBatch, questions: pd.DataFrame, asked_units: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
         step = max(1, PRODUCT // len(questions))

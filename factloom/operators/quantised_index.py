@@ -137,7 +137,7 @@ def search_quantised_index(spark: SparkSession, path: str, queries: DataFrame, t
         rows = books.filter(F.col("cell").isin(probed)).collect()  # within BLOCK_BYTES
         book = {r["cell"]: (np.array(r["centre"]), np.array(r["words"]).reshape(-1, CODES, SUB_DIMENSION)) for r in rows}
         wanted = {c: np.array([i for i, cells in enumerate(questions["cells"]) if c in cells]) for c in probed}
-        return units, book, wanted
+        return (units, book, wanted), coded
 
     def score(batch: pa.RecordBatch, questions: pd.DataFrame, prepared, k: int) -> Iterator[pd.DataFrame]:
         units, book, wanted = prepared

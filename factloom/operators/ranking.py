@@ -101,9 +101,9 @@ def query_blocks(asked: DataFrame, limit: int, size: Callable[[dict], int]) -> I
 
 
 def search_blocks(rows: DataFrame, asked: DataFrame, top_k: int, id_col: str, *, limit: int, size: Callable[[dict], int],
-                  prepare: Callable[[pd.DataFrame], object],
+                  prepare: Callable[[pd.DataFrame], tuple[object, DataFrame]],
                   score: Callable[[pa.RecordBatch, pd.DataFrame, object, int], Iterator[pd.DataFrame]]) -> DataFrame:
-    """Top k of ``rows`` per query. ``prepare`` turns a block of queries into what tasks need; ``score`` yields the candidates of a batch.
+    """Top k of ``rows`` per query. ``prepare`` turns a block of queries into what tasks need and the rows they read, ``rows`` or what it made of them; ``score`` yields the candidates of a batch.
 
     The hits of a block are stored before the next block is read, so the driver holds one block at a time; the last block stays lazy."""
     output = (
@@ -132,6 +132,7 @@ def search_blocks(rows: DataFrame, asked: DataFrame, top_k: int, id_col: str, *,
         if shared is not None:
             parts[-1] = cut_lineage(parts[-1])
             shared.unpersist()
-        shared = rows.sparkSession.sparkContext.broadcast((questions, prepare(questions)))
-        parts.append(top_hits(rows.mapInArrow(task(shared), output), top_k, id_col))
+        prepared, read = prepare(questions)
+        shared = rows.sparkSession.sparkContext.broadcast((questions, prepared))
+        parts.append(top_hits(read.mapInArrow(task(shared), output), top_k, id_col))
     return union_all(parts) if parts else top_hits(rows.sparkSession.createDataFrame([], output), top_k, id_col)

@@ -2,6 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from factloom.functions.text import strip
+from factloom.operators import chunks as ck
+from factloom.operators import lexical as lx
 from factloom.plans.registered import QUERIES
 
 
@@ -20,6 +23,13 @@ def counted(df, column, counter):
     return df.withColumn(column, same(F.col(column)))
 
 
+def test_bm25_reads_texts_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    docs = counted(spark.createDataFrame([(1, "red fox"), (2, "blue fox fox"), (3, None)], "id int, text string"), "text", made)
+    found = lx.lexical_search(docs, spark.createDataFrame([(7, "fox red")], "query_id int, query string"), 2, scorer="bm25")
+    assert [r.id for r in sorted(found.collect(), key=lambda r: r.rank)] == [1, 2] and made.value == 3
+
+
 def test_orphans_without_join_and_with_null_keys(spark, tmp_path):
     spark.createDataFrame([(1, "F"), (1, "O"), (2, "O"), (3, "F"), (None, "F")], "o_orderkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
     spark.createDataFrame([(1,), (2,), (2,), (4,), (None,)], "l_orderkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
