@@ -9,6 +9,7 @@ and an extractive drafter. Neither writes citations; a draft only names the posi
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ from factloom import scope
 from factloom.operators import claims as cl
 from factloom.operators import facts as fa
 from factloom.operators.lexical import lexical_search
-from factloom.session import cut_lineage
+from factloom.session import cut_lineage, shared_folder
 
 Planner = Callable[[DataFrame], DataFrame]
 Drafter = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
@@ -146,6 +147,11 @@ def answer(requests: DataFrame, chunks: DataFrame, anchors: DataFrame, *, planne
     chunks: chunk_id, accession_no, ticker, fiscal_year, item_section, text; anchors: the output
     of `facts.anchored`."""
     planner = planner or dictionary_planner(years)
+    # Every round searches the chunks and picks up the texts of its hits: they are made once.
+    path = f"{shared_folder(chunks.sparkSession)}/chunks-{uuid.uuid4().hex}"
+    chunks.write.parquet(path)
+    chunks = chunks.sparkSession.read.schema(chunks.schema).parquet(path)
+    anchors = cut_lineage(anchors)  # one row a filer, concept and year, read twice a round
     todo = requests.select("request_id", "question", F.lit(0).alias("replans"), F.array().cast("array<string>").alias("notes"))
     finished = None
     for _ in range(max_replans + 1):

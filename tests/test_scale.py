@@ -37,3 +37,31 @@ def test_orphans_without_join_and_with_null_keys(spark, tmp_path):
     got = {(r.side, r.k, r.n) for r in found.collect()}
     assert got == {("order without lines", 3, 1), ("order without lines", None, 1), ("line without closed order", 2, 2), ("line without closed order", 4, 1), ("line without closed order", None, 1)}
     assert "Join" not in plan(found) and "Sort" not in plan(found)
+
+
+def test_replanned_answers_make_chunks_and_anchors_once(spark):
+    from factloom.plans.answering import answer, extractive_drafter
+
+    row = ("n25:0000", "n25", "NVDA", 2025, "MDA", "NVIDIA revenue grew to $130.5 billion.")
+    chunks = spark.createDataFrame([row], "chunk_id string, accession_no string, ticker string, fiscal_year int, item_section string, text string")
+    anchors = spark.createDataFrame([("NVDA", "Revenues", 2025, 130497.0, "USD", "n25")], "ticker string, concept string, fiscal_year int, value double, unit string, accession_no string")
+    anchors = anchors.withColumn("period_end", F.to_date(F.lit("2025-01-26"))).withColumn("restated", F.lit(False))
+    made, looked = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    ask = spark.createDataFrame([(1, "What was NVIDIA revenue in 2025?")], "request_id int, question string")
+    memo = answer(
+        ask, counted(chunks, "text", made), counted(anchors, "unit", looked),
+        drafter=lambda *tables: extractive_drafter(*tables).withColumn("value", F.col("value") * 2),
+    ).first()
+    assert memo.replans == 3 and memo.n_unverified == 1
+    assert (made.value, looked.value) == (1, 1)
+
+
+def test_documents_without_text_have_no_chunks(spark):
+    docs = spark.createDataFrame([(1, None), (2, ["a", " "]), (3, [])], "doc_id int, lines array<string>").withColumn("spans", ck.whole_span(F.col("lines")))
+    assert [(r.doc_id, r.start_line, r.end_line, r.text) for r in ck.chunk_rows(docs, ["doc_id"]).collect()] == [(2, 0, 2, "a")]
+
+
+def test_strip_takes_all_white_space_from_the_ends_only(spark):
+    space = "\t\n\x0b\f\r\x1c\x1f \x85\xa0       　"
+    row = spark.createDataFrame([(f"{space}a{space}​b{space}", space)], "x string, y string").select(strip(F.col("x")).alias("x"), strip(F.col("y")).alias("y")).first()
+    assert (row.x, row.y) == (f"a{space}​b", "")
