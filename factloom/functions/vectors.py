@@ -10,6 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.functions.numeric import runs
+
+# Tokens and vector elements that are counted at a time.
+RUN = 500_000
+
 
 def norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
@@ -36,17 +41,23 @@ def slot(token: str, dimension: int) -> tuple[int, float]:
 
 
 def hash_encode(batch: pa.Array, dimension: int) -> np.ndarray:
-    """Signed feature hashing of token lists, one unit vector per list."""
-    encoded = batch.flatten().dictionary_encode()
-    slots = [slot(token, dimension) for token in encoded.dictionary.to_pylist()]
-    rows = np.repeat(np.arange(len(batch)), batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-    out = np.zeros((len(batch), dimension))
-    if len(rows):
-        bucket, sign = (np.array(x) for x in zip(*slots))
-        codes = encoded.indices.to_numpy(zero_copy_only=False)
-        np.add.at(out, (rows, bucket[codes]), sign[codes])
-    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return np.divide(out, length, out=out, where=length > 0)
+    """Signed feature hashing of token lists, one unit vector per list. Lists are counted in runs of bounded size."""
+    out, known = np.zeros((len(batch), dimension)), {}
+    sizes = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    for at, end in runs(sizes + dimension, RUN):
+        encoded = batch.slice(at, end - at).flatten().dictionary_encode()
+        slots = [known.get(token) or known.setdefault(token, slot(token, dimension)) for token in encoded.dictionary.to_pylist()]
+        part = out[at:end]
+        if slots:
+            bucket, sign = (np.array(x) for x in zip(*slots))
+            codes = encoded.indices.to_numpy(zero_copy_only=False)
+            cells = np.repeat(np.arange(end - at) * dimension, sizes[at:end]) + bucket[codes]
+            part += np.bincount(cells, sign[codes], part.size).reshape(part.shape)
+        length = np.sqrt((part * part).sum(axis=1, keepdims=True))
+        np.divide(part, length, out=part, where=length > 0)
+        if len(known) > RUN:
+            known.clear()
+    return out
 
 
 def hashing_encoder(dimension: int):
