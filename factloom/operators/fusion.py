@@ -40,16 +40,22 @@ def hybrid_search(docs: DataFrame, corpus: DataFrame, queries: DataFrame, top_k:
 
     With ``index_search`` the lexical arm is that search, and the texts of ``docs`` are not read."""
     depth = top_k * scope.CANDIDATE_MULTIPLIER
-    lexical = _lexical(docs, queries, depth, id_col, index_search, scorer=scorer, analyser=analyser, **filters)
-    dense = dense_search(corpus, queries, depth, id_col=id_col, **filters)
+    return _fused(_lexical(docs, queries, depth, id_col, index_search, scorer=scorer, analyser=analyser, **filters), corpus, queries, top_k, id_col, **filters)
+
+
+def _fused(lexical: DataFrame, corpus: DataFrame, queries: DataFrame, top_k: int, id_col: str, **filters) -> DataFrame:
+    dense = dense_search(corpus, queries, top_k * scope.CANDIDATE_MULTIPLIER, id_col=id_col, **filters)
     return reciprocal_rank_fusion([lexical, dense], top_k, id_col=id_col)
 
 
 def retrieve(docs: DataFrame, corpus: DataFrame, queries: DataFrame, top_k: int, *, id_col: str = "id", index_search: IndexSearch | None = None, **options) -> DataFrame:
     """Hybrid for queries that carry a vector, lexical alone for those that do not."""
-    plain = queries.filter("vector is null")
-    lexical = _lexical(docs, plain, top_k, id_col, index_search, **options)
-    hybrid = hybrid_search(docs, corpus, queries.filter("vector is not null"), top_k, id_col=id_col, index_search=index_search, **options)
+    # One lexical search for both, as deep as the fusion needs; its lists are small and read twice.
+    lists = {k: options.pop(k) for k in ("scorer", "analyser") if k in options}
+    deep = cut_lineage(_lexical(docs, queries, top_k * scope.CANDIDATE_MULTIPLIER, id_col, index_search, **lists, **options))
+    fused = queries.filter("vector is not null")
+    lexical = deep.join(queries.filter("vector is null").select("query_id"), "query_id", "left_semi").filter(F.col("rank") <= top_k)
+    hybrid = _fused(deep.join(fused.select("query_id"), "query_id", "left_semi"), corpus, fused, top_k, id_col, **options)
     return lexical.withColumn("mode", F.lit("lexical")).unionByName(hybrid.withColumn("mode", F.lit("hybrid")))
 
 
