@@ -65,3 +65,13 @@ def test_strip_takes_all_white_space_from_the_ends_only(spark):
     space = "\t\n\x0b\f\r\x1c\x1f \x85\xa0       　"
     row = spark.createDataFrame([(f"{space}a{space}​b{space}", space)], "x string, y string").select(strip(F.col("x")).alias("x"), strip(F.col("y")).alias("y")).first()
     assert (row.x, row.y) == (f"a{space}​b", "")
+
+
+def test_retrieve_reads_texts_once_for_both_kinds(spark):
+    from factloom.operators.fusion import retrieve
+
+    made = spark.sparkContext.accumulator(0)
+    docs = spark.createDataFrame([(1, "red fox", [1.0, 0.0]), (2, "blue fox", [0.0, 1.0])], "id int, text string, embedding array<double>")
+    asked = spark.createDataFrame([(7, "red", [1.0, 0.0]), (8, "blue", None)], "query_id int, query string, vector array<double>")
+    found = retrieve(counted(docs.drop("embedding"), "text", made), docs.drop("text"), asked, 1).collect()
+    assert {(r.query_id, r.id, r.mode) for r in found} == {(7, 1, "hybrid"), (8, 2, "lexical")} and made.value == 2
