@@ -38,6 +38,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``stored`` in one bucket for each shuffle partition; ``df`` comes dealt by ``column`` in as many, and joins on it do not shuffle it again."""
+    path = shared_folder(df.sparkSession, name)
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(partitions(df.sparkSession), column).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def numbered(df: DataFrame, name: str, column: str) -> DataFrame:
     """``df`` with a running number of its rows, given once and stored with them.
 

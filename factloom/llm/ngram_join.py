@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import SPACED, as_bytes, mix, numbered, partitions, per_text, prefix_hashes, run_hashes, slices, span_hashes, stored, tidy, word_spans
+from factloom.llm.common import SPACED, as_bytes, mix, numbered, partitions, per_text, prefix_hashes, run_hashes, slices, span_hashes, stored, stored_by, tidy, word_spans
 from factloom.llm.graph import components
 
 ROW = "_row"
@@ -258,8 +258,21 @@ def widths(size: np.ndarray) -> np.ndarray:
     return 1 << np.ceil(np.log2(need)).astype(np.int64)
 
 
+def compact(counts: np.ndarray) -> bytes:
+    """Counts of a point in 4, 8 or 32 bits each, the least that the largest fits in; the first byte says which."""
+    top = counts.max(initial=0)
+    if top < 16:
+        return b"\x04" + (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+    return b"\x08" + counts.astype(np.uint8).tobytes() if top < 256 else b"\x20" + counts.astype("<i4").tobytes()
+
+
+def coordinates(point: bytes) -> int:
+    """How many counts a point has."""
+    return (len(point) - 1) * 8 // point[0]
+
+
 def points(words: int):
-    """Set size and group counts (32-bit) of texts."""
+    """Set size and group counts of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,7 +285,7 @@ def points(words: int):
                 slot = (mix(token + np.uint64(77)) % width[text].astype(np.uint64)).astype(np.int64)
                 counts = np.bincount(edge[text] + slot, minlength=edge[-1]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("node")[a:b], pa.array(size), pa.array([c.tobytes() for c in np.split(counts, edge[1:-1])], pa.binary()),
+                    batch.column("node")[a:b], pa.array(size), pa.array([compact(c) for c in np.split(counts, edge[1:-1])], pa.binary()),
                 ], names=["node", "n", "counts"])
 
     return run
@@ -280,17 +293,23 @@ def points(words: int):
 
 def vectors(counts: list[bytes], width: int) -> np.ndarray:
     """Points of at least this width, folded to it."""
-    wide = np.array([len(c) // 4 for c in counts], np.int64)
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for i, c in enumerate(counts):
+        shapes.setdefault((c[0], len(c)), []).append(i)
     out = np.empty((len(counts), width), np.int32)
-    for w in np.unique(wide).tolist():
-        at = np.flatnonzero(wide == w)
-        out[at] = np.frombuffer(b"".join([counts[i] for i in at.tolist()]), np.int32).reshape(len(at), w // width, width).sum(1)
+    for (bits, size), at in shapes.items():
+        values = np.frombuffer(b"".join([counts[i] for i in at]), np.uint8).reshape(len(at), size)[:, 1:]
+        if bits == 4:
+            values = np.stack([values & 15, values >> 4], 2)
+        elif bits == 32:
+            values = np.ascontiguousarray(values).view("<i4")
+        out[at] = values.reshape(len(at), -1, width).sum(1)
     return out
 
 
 def overlap_bound(first: list[bytes], second: list[bytes]) -> np.ndarray:
     """Bound of the overlap of each pair of points."""
-    width = np.array([min(len(a), len(b)) // 4 for a, b in zip(first, second)], np.int64)
+    width = np.array([min(coordinates(a), coordinates(b)) for a, b in zip(first, second)], np.int64)
     out = np.zeros(len(first), np.int64)
     for w in np.unique(width).tolist():
         same = np.flatnonzero(width == w)
@@ -405,7 +424,7 @@ def group_pairs(
     Points of one width form a tree. Points near the mean of those that search go first: the text that the others are copies of joins them all."""
     label = np.unique(root, return_inverse=True)[1]
     left = label.max() + 1
-    width = np.array([len(c) // 4 for c in counts], np.int64)
+    width = np.array([coordinates(c) for c in counts], np.int64)
     one_block = not side.any()
     asking, held = (np.ones(len(size), bool),) * 2 if one_block else (side == 1, side == 2)
     for wa in np.unique(width[asking]).tolist():
@@ -517,8 +536,9 @@ def join_numbered(rows: DataFrame, rule: Rule) -> DataFrame:
     known = entered.where(F.col("kind") == INFO).select(F.col("x").alias("row"), F.nullif("y", F.lit(NO_ID)).alias("doc"), F.col("z").alias("n"), F.col("w").alias("node"))
     keyed = entered.where(F.col("kind") == MEMBER).select(F.col("x").alias("key"), F.col("y").alias("node"), F.col("z").alias("a"))
     stars = entered.where(F.col("kind") == STAR).select(F.col("x").alias("a"), F.col("y").alias("node"), F.col("z").alias("count"))
-    involved = stars.select(F.explode(F.array("a", "node")).alias(ROW)).distinct()
-    texts = stored(rows.select(ROW, "text").join(involved, ROW, "left_semi").select(F.col(ROW).alias("node"), "text"), "texts")
+    involved = stars.select(F.explode(F.array("a", "node")).alias("node")).distinct()
+    dealt = rows.select(F.col(ROW).alias("node"), "text").repartition(n_parts, "node")
+    texts = stored_by(dealt.join(involved, "node", "left_semi"), "texts", "node")
     located = stored(texts.mapInArrow(points(rule.words), POINTS), "points")
     linked, may = verifier(rule), within_bound(rule)
 
@@ -527,7 +547,8 @@ def join_numbered(rows: DataFrame, rule: Rule) -> DataFrame:
             first, second = (located.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}")) for c in "ab")
             pairs = pairs.join(second, "b").join(first, "a").where(may("na", "nb", "ca", "cb")).select("a", "b")
         first, second = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-        both = pairs.join(second, "b").join(first, "a")
+        # A text that many others face is the first: their pairs part again for the second.
+        both = pairs.join(first, "a").join(second, "b")
         return stored(both.select("a", "b", linked("ta", "tb").alias("good")), "verified")
 
     stars = stored(stars.groupBy("a", "node").agg(F.sum("count").alias("count")), "stars")
@@ -554,7 +575,8 @@ def join_numbered(rows: DataFrame, rule: Rule) -> DataFrame:
         ).where(F.when(F.col("one"), F.col("other_lo") < F.col("other_hi")).otherwise(F.col("lo") < F.col("hi"))).select("key", "one", "blocks")
         facing = placed.join(crossed, "key").where("not one or node != a").select("key", "node", "root", "n", "blocks")
         least = F.slice(F.sort_array(F.collect_list("key").over(Window.partitionBy("node"))), 1, LISTED)
-        listed = facing.withColumn("keys", least)
+        # Of the keys listed only those before the row's own decide whose a pair is.
+        listed = facing.withColumn("keys", F.filter(least, lambda k: k < F.col("key")))
         facing = listed.join(located.select("node", "counts"), "node").select("key", "node", "root", "n", "counts", "blocks", "keys")
         facing = cells(facing).repartition(n_parts, "cell").sortWithinPartitions("cell", "key", "node")
         found = stored(facing.mapInArrow(candidates(rule, exhaust), "key long, a long, b long"), "found")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import fingerprints, lm_scoring, ngram_join, suffix_dedup
+from factloom.llm import common, fingerprints, lm_scoring, ngram_join, suffix_dedup
 from factloom.llm.graph import components
 from tests.llm.helpers import documents, linked_components, near_copies, odd_rows, repeats, shingles, words
 
@@ -227,3 +227,22 @@ def test_a_pair_belongs_to_its_smallest_common_key():
     got = owners.own(*(np.array(c) for c in zip(*pairs)))
     want = [not any(x < k for x in set(lists[i]) & set(lists[j])) for i, j, k in pairs]
     assert got.tolist() == want
+
+
+@pytest.mark.parametrize("top, size", [(15, 65), (255, 129), (70_000, 513)])
+def test_points_take_the_fewest_bits_and_fold(top, size):
+    counts = np.random.default_rng(5).integers(0, top + 1, 128).astype(np.int32)
+    counts[7] = top
+    point = ngram_join.compact(counts)
+    assert (len(point), ngram_join.coordinates(point)) == (size, 128)
+    assert ngram_join.vectors([point, point], 128).tolist() == [counts.tolist()] * 2
+    assert ngram_join.vectors([point], 32).tolist() == [counts.reshape(4, 32).sum(0).tolist()]
+
+
+def test_bucketed_texts_are_joined_without_a_shuffle(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = common.stored_by(spark.range(50).selectExpr("id node", "repeat('x', id) text").repartition(n, "node"), "texts", "node")
+    joined = spark.range(20).selectExpr("id a").join(texts.hint("merge"), F.col("a") == F.col("node"))
+    assert joined.count() == 20
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
