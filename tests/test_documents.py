@@ -195,3 +195,10 @@ def test_packing_properties(lines):
         assert all(cost(i + 1) <= limit(i) for i in range(a + 1, b))
         if following:
             assert cost(b + 1) > limit(b)
+
+
+def test_a_batch_of_pages_becomes_texts_a_few_at_a_time():
+    pages = [f"<p>page {i}</p>" if i % 7 else None for i in range(300)]
+    got = list(markup.read_pages(iter([pa.array(pages, pa.string()), pa.array([], pa.string())])))
+    assert max(map(len, got)) <= markup.PAGES_AT_ONCE < 300
+    assert [t for part in got for t in part.to_pylist()] == [markup.visible_text(p) for p in pages]
