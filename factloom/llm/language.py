@@ -245,6 +245,8 @@ def learn(labelled: DataFrame, **options) -> Model:
         return fit(labelled, **options)
     except NothingLabelled:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), np.zeros(1 << 21, np.uint8))
+    finally:
+        tidy()  # here the driver's: the sample takes over 100 MB
 
 
 def predictor(documents: DataFrame, model: Model):

@@ -14,6 +14,11 @@ A text's set is that of its distinct word n-grams (64-bit hashes). Two texts lin
    block is paired with each in a task of its own (``cells``). A point has about one coordinate for eight tokens, else the bound says nothing of long
    texts; points of different width are compared at the lesser one, to which the other folds. Pairs across components that survive are verified on
    their texts: first only so many as join a key's components if all hold; where one does not hold, all pairs of the key that are left.
+   Only members outside the key's largest component search, since every pair to be found has such a member.
+
+   A key of over ``HOT`` members mostly stands for a passage that unrelated texts have in common. Its members have their rarest tokens as keys
+   instead: a text of n tokens so many that no linked text can do without all of them (n - o + 1, where o is the least overlap). All rank tokens by one
+   table of counts of these members' tokens, so two linked texts have one of them in common, and the passage's own tokens come last.
 
 After step 4 every pair that can link was verified or already lies in one component, so components are exact, while a group of m near copies costs about m
 verifications, not m squared. One R-tree over all texts is not used: coordinates of unrelated texts differ too little for upper nodes to prune.
@@ -31,7 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import SPACED, as_bytes, mix, numbered, partitions, per_text, prefix_hashes, run_hashes, slices, span_hashes, stored, stored_by, tidy, word_spans
@@ -43,6 +48,8 @@ TOKENS_A_COORDINATE = 8
 BLOCK_COORDINATES = 1 << 18
 LEAF = 32
 LISTED = 16  # of its keys a node carries so many, the smallest
+HOT = 128  # keys of more members are replaced by tokens
+TALLIES, SEGMENTS = 1 << 17, 32
 POINTS = "node long, n long, counts binary"
 CHUNK_BYTES = 16 << 20
 KEYS, MEMBER, INFO, STAR = 0, 1, 2, 3
@@ -61,6 +68,10 @@ class Rule:
         """Least intersection of linked sets whose sizes add up to ``total``."""
         return -(-self.num * total // (self.num + self.den))
 
+    def without_link(self, size):
+        """So many tokens of a set of this size, whichever they are: each set linked to it has one of them at least."""
+        return size - self.least_overlap(size + -(-self.num * size // self.den)) + 1
+
     @property
     def levels(self) -> tuple[list[int], list[int], list[int]]:
         return levels(self.num, self.den)
@@ -252,6 +263,63 @@ def share_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(MEMBER, keys[several], node[several], first[several])
 
 
+def tally(token: np.ndarray) -> np.ndarray:
+    """Place of tokens in the table of counts."""
+    return (mix(token ^ np.uint64(0x7A11)) % np.uint64(TALLIES)).astype(np.int64)
+
+
+def count_tokens(words: int):
+    """The table of counts over the texts of a task, in segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(TALLIES, np.int64)
+        for batch in batches:
+            raw, offs = as_bytes(batch.column("text"))
+            for *_, part, at in slices(raw, offs):
+                held += np.bincount(tally(token_sets(part, at, words)[0]), minlength=TALLIES)
+        if held.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([planes(x) for x in np.split(held, SEGMENTS)], pa.binary())], names=["segment", "counts"])
+
+    return run
+
+
+def sum_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for segment, counts in zip(batch.column("segment").to_pylist(), batch.column("counts").to_pylist()):
+            total[segment] = total.get(segment, np.uint64(0)) + from_planes(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([planes(x) for x in total.values()], pa.binary())], names=["segment", "counts"])
+
+
+def rarest(rule: Rule, shared):
+    """Keys of texts: the rarest of their tokens by the broadcast table of counts, so many that two linked texts have one in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = as_bytes(batch.column("text"))
+            nodes = batch.column("node").to_numpy()
+            for a, b, part, at in slices(raw, offs):
+                token, text = token_sets(part, at, rule.words)
+                size = np.bincount(text, minlength=b - a)
+                order = np.lexsort((token, shared.value[tally(token)], text))
+                place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+                kept = order[place < rule.without_link(size)[text]]
+                yield pa.RecordBatch.from_arrays([pa.array(mix(token[kept] ^ np.uint64(0x4A7E)).view(np.int64)), pa.array(nodes[a + text[kept]])], names=["key", "node"])
+        tidy()
+
+    return run
+
+
+def rare_keys(texts: DataFrame, rule: Rule) -> DataFrame:
+    """Of ``texts`` (node, text): their rarest tokens as keys (key, node)."""
+    spark = texts.sparkSession
+    counted = texts.mapInArrow(count_tokens(rule.words), "segment int, counts binary").repartition(SEGMENTS, "segment")
+    counts = np.zeros((SEGMENTS, TALLIES // SEGMENTS), np.uint64)
+    for row in counted.mapInArrow(sum_segments, "segment int, counts binary").collect():
+        counts[row["segment"]] = from_planes(row["counts"])
+    return stored(texts.mapInArrow(rarest(rule, spark.sparkContext.broadcast(counts.ravel())), "key long, node long"), "rare")
+
+
 def widths(size: np.ndarray) -> np.ndarray:
     """Number of coordinates of texts with so many tokens: a power of two, so that the points of two widths fold to the lesser."""
     need = np.maximum(-(-np.asarray(size, np.int64) // TOKENS_A_COORDINATE), COORDINATES)
@@ -414,50 +482,68 @@ class Owners:
         out[pair[1:][(pair[1:] == pair[:-1]) & (value[1:] == value[:-1])]] = False
         return out
 
+    def settled(self, at: int, n: int, key: int) -> np.ndarray:
+        """Which of n rows list the smaller key that most of them list: no pair of two of these is this key's."""
+        value = self.flat[self.start[at] : self.start[at + n]]
+        row = np.repeat(np.arange(n), np.diff(self.start[at : at + n + 1]))
+        row, value = row[value < key], value[value < key]
+        out = np.zeros(n, bool)
+        if len(value):
+            smaller, which, count = np.unique(value, return_inverse=True, return_counts=True)
+            out[row[which == count.argmax()]] = True
+        return out
+
 
 def group_pairs(
-    counts: list[bytes], size: np.ndarray, root: np.ndarray, side: np.ndarray, rule: Rule, exhaust: bool, mine_alone=lambda i, found: np.ones(len(found), bool),
+    counts: list[bytes], size: np.ndarray, root: np.ndarray, side: np.ndarray, rule: Rule, exhaust: bool,
+    mine_alone=lambda i, found: np.ones(len(found), bool), settled: np.ndarray | None = None,
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs across roots to verify, of two blocks (sides 1 and 2) only those across them, and only those that are this key's. Unless ``exhaust``, pairs that
-    would only join what the pairs before join are left for a later round.
+    """Pairs across roots to verify, of two blocks (sides 1 and 2) only those across them, and only those that are this key's; none between two rows that
+    are ``settled``. Unless ``exhaust``, pairs that would only join what the pairs before join are left for a later round.
 
-    Points of one width form a tree. Points near the mean of those that search go first: the text that the others are copies of joins them all."""
+    Points of one width form a tree. Rows of the largest root (or the settled ones, if more) do not search: the others find them. Points near the mean of
+    those that search go first: the text that the others are copies of joins them all."""
     label = np.unique(root, return_inverse=True)[1]
     left = label.max() + 1
     width = np.array([coordinates(c) for c in counts], np.int64)
+    idle = label == np.bincount(label).argmax()
+    if settled is not None and settled.sum() > idle.sum():
+        idle = settled
     one_block = not side.any()
-    asking, held = (np.ones(len(size), bool),) * 2 if one_block else (side == 1, side == 2)
-    for wa in np.unique(width[asking]).tolist():
-        for wh in np.unique(width[held]).tolist():
-            if one_block and wh < wa:
-                continue
-            a, h = np.flatnonzero(asking & (width == wa)), np.flatnonzero(held & (width == wh))
-            if rule.den * size[a].max() < rule.num * size[h].min() or rule.den * size[h].max() < rule.num * size[a].min():
-                continue
-            mine, theirs = (vectors([counts[i] for i in x.tolist()], min(wa, wh)) for x in (a, h))
-            tree = Tree(theirs, size[h], rule)
-            for at in np.argsort(np.abs(mine - mine.mean(0)).sum(1), kind="stable").tolist():
-                if left == 1:
-                    return
-                i = a[at]
-                found, bound = tree.search(size[i], mine[at])
-                found = h[found]
-                other = label[found] != label[i]
-                found, bound = found[other], bound[other]
-                if len(found):
-                    own = mine_alone(i, found)
-                    found, bound = found[own], bound[own]
-                if exhaust:
-                    if one_block and wa == wh:
-                        found = found[found > i]
-                    yield np.full(len(found), i), found
+    # Of two blocks the rows of one search the other; then those of the other search the first one's idle rows, which did not.
+    ways = [(~idle, np.ones(len(size), bool))] if one_block else [(~idle & (side == 1), side == 2), (~idle & (side == 2), idle & (side == 1))]
+    for asking, held in ways:
+        for wa in np.unique(width[asking]).tolist():
+            for wh in np.unique(width[held]).tolist():
+                a, h = np.flatnonzero(asking & (width == wa)), np.flatnonzero(held & (width == wh))
+                if one_block and wh < wa:
+                    h = h[idle[h]]
+                if not len(h) or rule.den * size[a].max() < rule.num * size[h].min() or rule.den * size[h].max() < rule.num * size[a].min():
                     continue
-                found = found[np.argsort(-bound, kind="stable")]
-                _, once = np.unique(label[found], return_index=True)
-                yield np.full(len(once), i), found[once]
-                joined = np.isin(label, label[found])
-                left -= len(once)
-                label[joined] = label[i]
+                mine, theirs = (vectors([counts[i] for i in x.tolist()], min(wa, wh)) for x in (a, h))
+                tree = Tree(theirs, size[h], rule)
+                for at in np.argsort(np.abs(mine - mine.mean(0)).sum(1), kind="stable").tolist():
+                    if left == 1:
+                        return
+                    i = a[at]
+                    found, bound = tree.search(size[i], mine[at])
+                    found = h[found]
+                    other = label[found] != label[i]
+                    found, bound = found[other], bound[other]
+                    if len(found):
+                        own = mine_alone(i, found)
+                        found, bound = found[own], bound[own]
+                    if exhaust:
+                        if one_block and wa == wh:
+                            found = found[idle[found] | (found > i)]
+                        yield np.minimum(i, found), np.maximum(i, found)
+                        continue
+                    found = found[np.argsort(-bound, kind="stable")]
+                    _, once = np.unique(label[found], return_index=True)
+                    yield np.full(len(once), i), found[once]
+                    joined = np.isin(label, label[found])
+                    left -= len(once)
+                    label[joined] = label[i]
 
 
 def candidates(rule: Rule, exhaust: bool):
@@ -495,7 +581,7 @@ def candidates(rule: Rule, exhaust: bool):
                 def mine_alone(i: int, others: np.ndarray) -> np.ndarray:
                     return owners.own(np.full(len(others), here + i), here + others, np.full(len(others), key[here]))
 
-                for i, j in group_pairs(counts[part], size[part], root[part], side[part], rule, exhaust, mine_alone):
+                for i, j in group_pairs(counts[part], size[part], root[part], side[part], rule, exhaust, mine_alone, owners.settled(at, g, key[at])):
                     if len(i):
                         found.append((np.full(len(i), key[at]), node[at + i], node[at + j]))
                         held += len(i)
@@ -561,22 +647,32 @@ def join_numbered(rows: DataFrame, rule: Rule) -> DataFrame:
     apart = apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
     tested = tested.unionByName(verified(apart, False))
     roots = components(tested.where("good").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    doubtful = None
-    for exhaust in (False, True):
-        # Where all members were paired with one head, only the others can face each other.
-        members = keyed if doubtful is None else keyed.join(doubtful, "key", "left_semi")
+
+    def across(members: DataFrame) -> DataFrame:
+        """``members`` of keys whose members can face each other across components, with size and root."""
         placed = members.join(roots, "node", "left").join(located.select("node", "n"), "node").select("key", "node", "a", "n", F.coalesce("root", "node").alias("root"))
+        # Where all members were paired with one head, only the others can face each other.
         other = F.when(F.col("node") != F.col("a"), F.col("root"))
         need = F.greatest(F.lit(COORDINATES), F.ceil(F.col("n") / TOKENS_A_COORDINATE))
         blocks = F.ceil(F.sum(F.pow(F.lit(2.0), F.ceil(F.log2(need)))) / BLOCK_COORDINATES).cast("long")
         crossed = placed.groupBy("key").agg(
-            blocks.alias("blocks"),
+            blocks.alias("blocks"), F.count("*").alias("members"),
             (F.min("a") == F.max("a")).alias("one"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(other).alias("other_lo"), F.max(other).alias("other_hi"),
-        ).where(F.when(F.col("one"), F.col("other_lo") < F.col("other_hi")).otherwise(F.col("lo") < F.col("hi"))).select("key", "one", "blocks")
-        facing = placed.join(crossed, "key").where("not one or node != a").select("key", "node", "root", "n", "blocks")
-        least = F.slice(F.sort_array(F.collect_list("key").over(Window.partitionBy("node"))), 1, LISTED)
+        ).where(F.when(F.col("one"), F.col("other_lo") < F.col("other_hi")).otherwise(F.col("lo") < F.col("hi"))).select("key", "one", "blocks", "members")
+        return placed.join(crossed, "key")
+
+    faced = stored(across(keyed), "faced")
+    hot_nodes = stored(faced.where(F.col("members") > HOT).select("node").distinct(), "hot")
+    if not hot_nodes.isEmpty():
+        rare = rare_keys(texts.join(hot_nodes, "node", "left_semi"), rule).withColumn("a", F.lit(-1).cast("long"))
+        faced = faced.where(F.col("members") <= HOT).unionByName(stored(across(rare), "faced"))
+    doubtful = None
+    for exhaust in (False, True):
+        crossing = faced if doubtful is None else across(faced.select("key", "node", "a").join(doubtful, "key", "left_semi"))
+        facing = crossing.where("not one or node != a").select("key", "node", "root", "n", "blocks")
+        least = facing.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LISTED).alias("keys"))
         # Of the keys listed only those before the row's own decide whose a pair is.
-        listed = facing.withColumn("keys", F.filter(least, lambda k: k < F.col("key")))
+        listed = facing.join(least, "node").withColumn("keys", F.filter("keys", lambda k: k < F.col("key")))
         facing = listed.join(located.select("node", "counts"), "node").select("key", "node", "root", "n", "counts", "blocks", "keys")
         facing = cells(facing).repartition(n_parts, "cell").sortWithinPartitions("cell", "key", "node")
         found = stored(facing.mapInArrow(candidates(rule, exhaust), "key long, a long, b long"), "found")

@@ -34,6 +34,65 @@ def test_join_of_keys_in_blocks(spark, monkeypatch, tokens):
     assert [got[i] for i in range(len(rows))] == want
 
 
+@pytest.mark.parametrize("hot", [2, 5])
+def test_join_with_tokens_for_hot_keys(spark, monkeypatch, hot):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    rule = ngram_join.Rule(2, 6, 10)
+    rows = near_copies(9, 300, 12)
+    want = linked_components(rows, rule.words, rule.num, rule.den)
+    got = {r.doc: (r.n_shingles, r.component_id) for r in ngram_join.join(documents(spark, rows, 5), rule).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+
+
+def test_common_passage_makes_no_large_key(spark, monkeypatch):
+    """Unrelated texts with a passage in common, each sixth of them with a near copy."""
+    faced, cells = [], ngram_join.cells
+    monkeypatch.setattr(ngram_join, "cells", lambda placed: faced.append(placed.groupBy("key").count().agg(F.max("count")).first()[0]) or cells(placed))
+    r = random.Random(2)
+    passage, rows = [f"common{i}" for i in range(45)], []
+    for i in range(1200):
+        own = [f"w{r.randrange(1 << 30)}" for _ in range(45)]
+        rows.append((len(rows), " ".join(own + passage)))
+        if i % 6 == 0:
+            own[r.randrange(45)] = "other"
+            rows.append((len(rows), " ".join(own + passage)))
+    got = {row.doc: row.component_id for row in ngram_join.join(documents(spark, rows, 5)).collect()}
+    assert max(x or 0 for x in faced) <= 128
+    texts = [t.split() for _, t in rows]
+    want = [i - 1 if i and len(set(texts[i]) & set(texts[i - 1])) > 80 else i for i in range(len(rows))]
+    assert [got[i] for i in range(len(rows))] == want and sum(i != w for i, w in enumerate(want)) == 200
+
+
+@pytest.mark.parametrize("rule", [ngram_join.Rule(4, 85, 100), ngram_join.Rule(), ngram_join.Rule(2, 6, 10)])
+def test_linked_sets_share_one_of_the_tokens_taken(rule):
+    for n in range(1, 200):
+        taken = rule.without_link(n)
+        linked = [m for m in range(1, 2 * n) if rule.den * min(n, m) >= rule.num * max(n, m)]
+        assert 1 <= taken <= n and all(n - taken < rule.least_overlap(n + m) for m in linked)
+
+
+def test_rows_of_the_largest_component_do_not_search(monkeypatch):
+    r, rule, asked = np.random.default_rng(5), ngram_join.Rule(1), []
+    search = ngram_join.Tree.search
+    monkeypatch.setattr(ngram_join.Tree, "search", lambda self, n, point: asked.append(n) or search(self, n, point))
+    base = r.integers(0, 1 << 40, 60)
+    texts = [" ".join(map(str, [*base[:58], i, -i])) for i in range(200)]
+    batch = pa.RecordBatch.from_pydict({"node": pa.array(range(200), pa.int64()), "text": pa.array(texts)})
+    out = pa.Table.from_batches(ngram_join.points(rule.words)([batch]))
+    counts, size, root = out.column("counts").to_pylist(), out.column("n").to_numpy(), np.array([0] * 196 + [1, 1, 2, 3])
+    for side in (np.zeros(200, np.int8), np.array([1, 2] * 100, np.int8)):
+        asked.clear()
+        got = [(int(i), int(j)) for a, b in ngram_join.group_pairs(counts, size, root, side, rule, True) for i, j in zip(a, b)]
+        assert len(asked) == 4
+        assert sorted(got) == [(i, j) for i in range(200) for j in range(i + 1, 200) if root[i] != root[j] and (not side.any() or side[i] != side[j])]
+
+
+def test_rows_that_list_a_smaller_key_are_settled():
+    owners = ngram_join.Owners(pa.array([[1, 4], [9], [4, 5], [], [2, 4]], pa.list_(pa.int64())))
+    assert owners.settled(0, 5, 7).tolist() == [True, False, True, False, True]
+    assert owners.settled(1, 3, 4).tolist() == [False] * 3
+
+
 def test_hot_key_is_dealt_over_cells(spark):
     n, blocks = 3000, 6
     placed = spark.range(n).select(F.lit(5).cast("long").alias("key"), F.col("id").alias("node"), F.lit(blocks).cast("long").alias("blocks"))
