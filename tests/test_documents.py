@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom import scope
+from factloom.functions import markup
 from factloom.operators import chunks as ck
 from factloom.operators import sections as sc
 from factloom.operators.gates import GateError, enforce
